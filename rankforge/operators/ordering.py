@@ -241,6 +241,18 @@ def percentile_ranks_bounded(
     return out.drop(*specs).withColumnsRenamed({f"_new_{n}": n for n in specs})
 
 
+def explode_range(df: DataFrame, name: str, lo: Column, hi: Column, block: int = 1 << 16) -> DataFrame:
+    """One row per integer lo..hi, in two steps so that no array exceeds ``block``
+    entries by much."""
+    steps = df.withColumn("_lo", lo.cast("long")).withColumn("_hi", hi.cast("long")).filter("_lo <= _hi")
+    starts = steps.withColumn(
+        "_start", F.explode(F.sequence(F.col("_lo"), F.col("_hi"), F.lit(block).cast("long")))
+    )
+    return starts.withColumn(
+        name, F.explode(F.sequence(F.col("_start"), F.least(F.col("_start") + block - 1, F.col("_hi"))))
+    ).drop("_lo", "_hi", "_start")
+
+
 def attach(df: DataFrame, stats: DataFrame, by: Sequence[str] = (), grid: bool = True) -> DataFrame:
     """Give every row the statistics of its group.
 
