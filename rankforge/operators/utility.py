@@ -115,27 +115,38 @@ def engagement_probabilities(frame: DataFrame, threshold: float = 0.999999) -> D
     return frame.withColumn("p_engage", clip(engage, 0, 1)).withColumn("p_convert", clip(convert, 0, 1))
 
 
-def hidden_utility_for_users(pairs: DataFrame, out: str = "hidden") -> DataFrame:
-    """Utility of (user, item) pairs under learned profiles, min-max scaled over
-    each user's pairs. The pairs carry the item's categories, price and
-    recency_pct and the user's maps and price taste."""
+def hidden_raw_for_users() -> Column:
+    """Unscaled utility of a (user, item) pair that carries the item's categories,
+    price and recency_pct and the user's maps and price taste. Shares are relative
+    to the user's largest share."""
+    def share(affinity: str, category: str) -> Column:
+        value = F.coalesce(F.try_element_at(affinity, F.col(category)), F.lit(0.0))
+        best = F.array_max(F.map_values(affinity))
+        return F.when(best > 0, value / best).otherwise(value)
+
     c = F.col
-    scored = pairs.select(
-        "*",
-        F.coalesce(F.try_element_at("cat_lvl2_affinity", c("cat_lvl2")), F.lit(0.0)).alias("_l2"),
-        F.coalesce(F.try_element_at("cat_leaf_affinity", c("cat_leaf")), F.lit(0.0)).alias("_leaf"),
-        clip(1.0 - F.abs(F.log1p("price") - c("log_price_center")) / c("log_price_spread"), 0, 1).alias("_fit"),
-        _recency(c("recency_pct"), c("recency_pref")).alias("_rec"),
+    fit = clip(1.0 - F.abs(F.log1p("price") - c("log_price_center")) / c("log_price_spread"), 0, 1)
+    return (
+        0.45 * share("cat_lvl2_affinity", "cat_lvl2") + 0.25 * share("cat_leaf_affinity", "cat_leaf")
+        + 0.20 * fit + 0.10 * _recency(c("recency_pct"), c("recency_pref"))
     )
-    best = scored.groupBy("user_id").agg(F.max("_l2").alias("_b2"), F.max("_leaf").alias("_bl"))
-    share = lambda x, b: F.when(c(b) > 0, c(x) / c(b)).otherwise(c(x))
-    raw = 0.45 * share("_l2", "_b2") + 0.25 * share("_leaf", "_bl") + 0.20 * c("_fit") + 0.10 * c("_rec")
-    joined = attach(scored, best, ["user_id"], grid=False).withColumn("_raw", raw)
-    return min_max(joined, {out: "_raw"}, ["user_id"], grid=False).drop(
-        "_l2", "_leaf", "_fit", "_rec", "_b2", "_bl", "_raw"
+
+
+def hidden_bounds(pairs: DataFrame) -> DataFrame:
+    """Range of the unscaled utility per user, one small row per task and user."""
+    raw = hidden_raw_for_users()
+    return pairs.select("user_id", raw.alias("_raw")).groupBy("user_id").agg(
+        F.min("_raw").alias("raw_lo"), F.max("_raw").alias("raw_hi")
     )
 
 
+def hidden_utility_for_users(pairs: DataFrame, out: str = "hidden") -> DataFrame:
+    """Scaled utility of pairs that also carry the user's ``raw_lo``, ``raw_hi``."""
+    lo, hi = F.col("raw_lo"), F.col("raw_hi")
+    scaled = (hidden_raw_for_users() - lo) / (hi - lo + F.lit(1e-10))
+    return pairs.withColumn(out, F.when(hi <= lo, F.lit(0.5)).otherwise(scaled))
+
+
 def candidate_pool(
     scored: DataFrame, by: Sequence[str] = (), k: int = pf.TOP_K, n_hidden: int = 30
 ) -> DataFrame:

@@ -1,4 +1,10 @@
-"""Per-user external evaluation on learned profiles."""
+"""Per-user external evaluation on learned profiles.
+
+The number of users is the parameter of their selection (the busiest N), so the
+users travel with the items and the item table is never shuffled. Only each
+user's candidates are kept, ranked and scored per epoch; the full user x item
+product is reduced to ranges inside the tasks that form it.
+"""
 
 from __future__ import annotations
 
@@ -10,43 +16,72 @@ from pyspark.sql import functions as F
 from rankforge.functions import profiles as pf
 from rankforge.functions.hashing import hash_key
 from rankforge.operators import blending, feedback, metrics, utility
+from rankforge.operators.ordering import min_max
 from rankforge.operators.ranking import top_k
+from rankforge.session import materialize
 
 EPOCHS = (1, 2, 5, 10, 20, 30)
 
 
-def user_item_frame(items: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Every item next to every selected user. The number of users is the
-    parameter of the selection (the busiest N), so they travel with the items."""
-    return utility.with_each(items, profiles)
+def ranged_profiles(items: DataFrame, profiles: DataFrame) -> DataFrame:
+    """The users with the range of their utility over all items."""
+    bounds = utility.hidden_bounds(utility.with_each(items, profiles))
+    return materialize(profiles.join(bounds, "user_id"))
+
+
+def hidden_frame(items: DataFrame, ranged: DataFrame) -> DataFrame:
+    """Scaled utility of every item for every selected user."""
+    fields = [c for c in ranged.columns if c != "user_id"]
+    return utility.hidden_utility_for_users(utility.with_each(items, ranged)).drop(*fields)
+
 
+def value_ranges(hidden: DataFrame, epochs: Sequence[int] = EPOCHS) -> DataFrame:
+    """(user, epoch, q_lo, q_hi) over all items of ``hidden``, which carries the
+    logged ``visits`` of each item; one pass for all epochs."""
+    per_epoch = [feedback.constant_reward_value(F.col("hidden"), F.col("visits") * e) for e in epochs]
+    wide = hidden.groupBy("user_id").agg(
+        F.array(*[
+            F.struct(F.lit(e).alias("epoch"), F.min(q).alias("q_lo"), F.max(q).alias("q_hi"))
+            for e, q in zip(epochs, per_epoch)
+        ]).alias("_r")
+    )
+    return wide.select("user_id", F.inline("_r"))
 
-def value_frame(hidden: DataFrame, topsis: DataFrame, visits: DataFrame, epochs: Sequence[int] = EPOCHS) -> DataFrame:
-    """(user, item, epoch): the value after every train visit was repeated
-    ``epoch`` times with the item's utility as reward, next to closeness."""
-    per_epoch = utility.with_grid(hidden.select("user_id", "item_id", "hidden", "popularity_pct"), "epoch", epochs)
-    joined = per_epoch.join(visits, ["user_id", "item_id"], "left").join(topsis.select("item_id", "topsis"), "item_id")
-    n = F.coalesce("visits", F.lit(0)) * F.col("epoch")
-    return joined.withColumn("visits", n).withColumn("q", feedback.constant_reward_value(F.col("hidden"), n))
 
+def candidate_scores(hidden: DataFrame, topsis: DataFrame, candidates: DataFrame, epochs: Sequence[int] = EPOCHS) -> DataFrame:
+    """Scores of each user's candidates per epoch. Values and closeness are scaled
+    over all items, as the ranges are known before the candidates are cut out."""
+    ranges = value_ranges(hidden, epochs)
+    scaled = min_max(topsis.select("item_id", "topsis"), {"t_norm": "topsis"})
+    inside = (
+        hidden.select("user_id", "item_id", "hidden", "popularity_pct", "visits")
+        .join(candidates.select("user_id", "item_id"), ["user_id", "item_id"], "left_semi")
+        .join(scaled, "item_id")
+        .join(ranges, "user_id")
+    )
+    steps = F.col("visits") * F.col("epoch")
+    lo, hi = F.col("q_lo"), F.col("q_hi")
+    return (
+        inside.withColumn("visits", steps)
+        .withColumn("q", feedback.constant_reward_value(F.col("hidden"), F.col("visits")))
+        .withColumn("q_norm", F.when(hi <= lo, 0.5).otherwise((F.col("q") - lo) / (hi - lo + F.lit(1e-10))))
+        .withColumn("lambda_q", blending.gate(F.col("visits"), pf.CONFIDENCE_TAU_EXTERNAL))
+        .withColumn("hybrid", blending.hybrid_score())
+        .withColumn("gated", blending.hybrid_score(F.col("lambda_q")))
+    )
 
-def candidate_lists(values: DataFrame, candidates: DataFrame, k: int = pf.TOP_K) -> DataFrame:
-    """Lists of five methods inside each user's candidates, per epoch. Scores are
-    scaled over all items of the user before the candidates are cut out."""
+
+def candidate_lists(scores: DataFrame, k: int = pf.TOP_K) -> DataFrame:
+    """Lists of six methods inside each user's candidates, per epoch."""
     group = ["user_id", "epoch"]
-    scored = blending.confidence_gated(values, group, tau=pf.CONFIDENCE_TAU_EXTERNAL, grid=False)
-    scored = scored.withColumn("hybrid", blending.hybrid_score())
-    inside = scored.join(candidates.select("user_id", "item_id"), ["user_id", "item_id"], "left_semi")
     h = hash_key("random", F.col("user_id"), F.col("epoch"), F.col("item_id"))
     out = None
-    for name, order in (
-        ("random", [h, F.col("item_id")]), ("popularity", "popularity_pct"), ("topsis_only", "topsis"),
+    for name, score in (
+        ("random", None), ("popularity", "popularity_pct"), ("topsis_only", "topsis"),
         ("rl_only", "q"), ("hybrid", "hybrid"), ("gated", "gated"),
     ):
-        if isinstance(order, str):
-            part = top_k(inside, order, k, group)
-        else:
-            part = top_k(inside, "q", k, group, order=order)
+        order = None if score else [h, F.col("item_id")]
+        part = top_k(scores, score or "q", k, group, order=order)
         part = part.select(*group, F.lit(name).alias("method"), "rank", "item_id")
         out = part if out is None else out.unionByName(part)
     return out
@@ -57,3 +92,11 @@ def evaluate(lists: DataFrame, truth: DataFrame, items: DataFrame) -> DataFrame:
     by = ["user_id", "epoch", "method"]
     scores = metrics.list_metrics(lists, truth, by, ["user_id"])
     return scores.join(metrics.intra_list_distance(lists, items, by), by)
+
+
+def blend_curve(scores: DataFrame, truth: DataFrame, epoch: int = EPOCHS[-1], grid=pf.LAMBDA_GRID) -> DataFrame:
+    """F1 per (user, lambda_q) at one epoch."""
+    frame = utility.with_grid(scores.filter(F.col("epoch") == epoch), "lambda_q", grid)
+    frame = frame.withColumn("score", blending.hybrid_score(F.col("lambda_q")))
+    lists = top_k(frame, "score", pf.TOP_K, ["user_id", "lambda_q"])
+    return metrics.list_metrics(lists, truth, ["user_id", "lambda_q"], ["user_id"])

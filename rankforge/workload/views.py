@@ -224,9 +224,7 @@ cte(
 FROM part JOIN order_lines ON p_partkey = l_partkey GROUP BY p_partkey""",
     "order_lines",
 )
-cte(
-    "composed",
-    f"""SELECT * EXCLUDE (price_rank, count_rank, richness_rank, reviewer_rank, discount_rank),
+COMPOSED_SQL = f"""SELECT * EXCLUDE (price_rank, count_rank, richness_rank, reviewer_rank, discount_rank),
   round(100.0::DOUBLE * (0.7::DOUBLE * ((rating - 1.0::DOUBLE) / 4.0::DOUBLE) + 0.2::DOUBLE * count_rank + 0.1::DOUBLE * richness_rank), 9) AS quality,
   round(100.0::DOUBLE * count_rank, 9) AS popularity,
   round(100.0::DOUBLE * (0.65::DOUBLE * reviewer_rank + 0.35::DOUBLE * discount_rank), 9) AS recency,
@@ -234,9 +232,8 @@ cte(
   1 - price_rank AS price_pct, count_rank AS popularity_pct
 FROM (SELECT *, {pct_sql('price')} AS price_rank, {pct_sql('rating_count')} AS count_rank,
   {pct_sql('review_text_richness')} AS richness_rank, {pct_sql('inferred_reviewer_count')} AS reviewer_rank,
-  {pct_sql('discount_pct')} AS discount_rank, {pct_sql('rating')} AS rating_pct FROM catalog)""",
-    "catalog",
-)
+  {pct_sql('discount_pct')} AS discount_rank, {pct_sql('rating')} AS rating_pct FROM {{source}})"""
+cte("composed", COMPOSED_SQL.format(source="catalog"), "catalog")
 cte(
     "items",
     f"SELECT *, {pct_sql('quality')} AS quality_pct, {pct_sql('recency')} AS recency_pct FROM composed",
