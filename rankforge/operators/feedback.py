@@ -73,8 +73,10 @@ def snapshots(
     by: Sequence[str] = KEY,
     clock: str = "event_no",
     alpha: float = pf.LEARNING_RATE,
+    tie_break: Sequence[str] = (),
 ) -> DataFrame:
     """q and visits as of every checkpoint (events with ``clock`` <= checkpoint).
+    ``clock`` is an event number, or a time with ``tie_break`` columns.
 
     Each event belongs to one interval between checkpoints and is folded there
     once; only the folded intervals, at most one per checkpoint and key, are
@@ -85,7 +87,7 @@ def snapshots(
         ((F.col(clock) > m).cast("int") for m in marks[1:]), (F.col(clock) > marks[0]).cast("int")
     )
     inside = events.filter(F.col(clock) <= marks[-1]).withColumn("_interval", interval)
-    placed = ordered_position(inside, [*by, "_interval"], [clock], "_i", "_n")
+    placed = ordered_position(inside, [*by, "_interval"], [clock, *tie_break], "_i", "_n")
     folded = placed.groupBy(*by, "_interval").agg(
         F.sum(alpha * _decay(alpha, F.col("_n") - F.col("_i")) * F.col("reward")).alias("_fold"),
         F.count("*").alias("_count"),

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from rankforge.session import materialize
 
-SLICE = "_slice"
+SLICE = "_rt_slice"
 
 
 def _col(c: str | Column) -> Column:
@@ -36,7 +36,7 @@ def running_totals(
     order = [_col(c) for c in order]
     amount = F.lit(1).cast("long") if amount is None else _col(amount)
     sliced = materialize(
-        df.withColumn("_amount", amount)
+        df.withColumn("_rt_amount", amount)
         .repartitionByRange(*[F.col(c) for c in by], *order)
         .withColumn(SLICE, F.spark_partition_id())
     )
@@ -46,12 +46,12 @@ def running_totals(
     # groups + slices rows, whatever the size of df.
     offsets = (
         sliced.groupBy(*by, SLICE)
-        .agg(F.sum("_amount").alias("_part"))
+        .agg(F.sum("_rt_amount").alias("_rt_part"))
         .select(
             *by,
             SLICE,
-            F.coalesce(F.sum("_part").over(earlier), F.lit(0)).alias("_base"),
-            F.sum("_part").over(in_group).alias("total"),
+            F.coalesce(F.sum("_rt_part").over(earlier), F.lit(0)).alias("_rt_base"),
+            F.sum("_rt_part").over(in_group).alias("total"),
         )
     )
     inside = (
@@ -62,9 +62,9 @@ def running_totals(
     return (
         sliced.join(offsets, [*by, SLICE])
         .withColumn(
-            "before", F.col("_base") + F.coalesce(F.sum("_amount").over(inside), F.lit(0))
+            "before", F.col("_rt_base") + F.coalesce(F.sum("_rt_amount").over(inside), F.lit(0))
         )
-        .drop(SLICE, "_amount", "_base")
+        .drop(SLICE, "_rt_amount", "_rt_base")
     )
 
 

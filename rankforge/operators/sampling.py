@@ -18,7 +18,7 @@ from rankforge.operators.ordering import (
     quantiles,
 )
 from rankforge.operators.ranking import top_k
-from rankforge.operators.utility import with_grid
+from rankforge.operators.utility import with_grid, with_runs
 from rankforge.session import materialize
 
 OCTANT_COLUMNS = ("price_pct", "quality_pct", "popularity_pct")
@@ -41,18 +41,17 @@ def octants(items: DataFrame) -> DataFrame:
 
 
 def stratified_sample(
-    items: DataFrame, runs: DataFrame | None, n: int, n_runs: int, seed_shift: int = 0
+    items: DataFrame, marked: DataFrame | None, n: int, n_runs: int, seed_shift: int = 0
 ) -> DataFrame:
     """n items per run: up to n/8 per octant, topped up from the rest, then the
     five percentile columns again inside the sample.
 
     An octant can contribute at most n/8 + n items, so each task keeps only those
-    and the rest of the work runs over at most 9n rows per run.
+    and the rest of the work runs over at most 9n rows per run. ``marked`` may
+    pass items whose octants are known.
     """
-    from rankforge.operators.utility import with_runs
-
     quota = n // 8
-    frame = with_runs(octants(items) if runs is None else runs, n_runs)
+    frame = with_runs(octants(items) if marked is None else marked, n_runs)
     frame = frame.withColumn("seed", F.col("seed") + seed_shift)
     drawn = frame.withColumn("_h", hash_key(F.col("seed"), F.col("item_id")))
     order = [F.col("_h"), F.col("item_id")]

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 MODULES = (
-    "catalog_queries", "ranking_queries", "interaction_queries",
+    "catalog_queries", "ranking_queries", "interaction_queries", "feedback_queries", "experiment_queries", "recommend_queries", "report_queries",
+    "explain_queries", "source_queries",
 )
 
 

@@ -60,6 +60,7 @@ def shared(fn: Callable[[SparkSession, str], DataFrame]):
         return _TABLES[key]
 
     view.__name__ = fn.__name__
+    view.__wrapped__ = fn  # the plan without the written table
     return view
 
 

@@ -28,7 +28,7 @@ def canonical(row, names):
     for n in sorted(names):
         v = row[n]
         if isinstance(v, float):
-            v = "nan" if math.isnan(v) else repr(v + 0.0)
+            v = "nan" if math.isnan(v) else repr(v)
         elif isinstance(v, (list, tuple)) or hasattr(v, "tolist"):
             v = repr([float(x) if isinstance(x, float) else x for x in v])
         out.append(repr(v) if not isinstance(v, str) else v)
