@@ -28,10 +28,12 @@ def running_totals(
     by: Sequence[str],
     order: Sequence[str | Column],
     amount: str | Column | None = None,
+    grand: str | None = None,
 ) -> DataFrame:
     """Add ``before`` (sum of ``amount`` over strictly earlier rows of the group)
     and ``total`` (sum over the group). ``order`` must be total inside a group.
-    ``amount`` defaults to one per row."""
+    ``amount`` defaults to one per row. ``grand`` names a column for the sum over
+    all groups."""
     by = list(by)
     order = [_col(c) for c in order]
     amount = F.lit(1).cast("long") if amount is None else _col(amount)
@@ -59,13 +61,14 @@ def running_totals(
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    return (
+    out = (
         sliced.join(offsets, [*by, SLICE])
         .withColumn(
             "before", F.col("_rt_base") + F.coalesce(F.sum("_rt_amount").over(inside), F.lit(0))
         )
         .drop(SLICE, "_rt_amount", "_rt_base")
     )
+    return attach(out, sliced.agg(F.sum("_rt_amount").alias(grand))) if grand else out
 
 
 def ordered_position(
@@ -91,8 +94,8 @@ def join_unique(
     share of ``left``.
 
     ``hot`` marks the right rows of frequent keys. The caller guarantees that
-    their number is bounded (a key with at least 1/1000 of the rows of its group
-    can occur at most 1000 times per group), so they are broadcast. Left rows
+    their number is bounded (at most 1000 keys can hold 1/1000 of all rows each),
+    so they are broadcast. Left rows
     already served are spread over all tasks by ``spread`` instead of meeting in
     the task of their key.
     """
@@ -157,12 +160,13 @@ def percentile_ranks(
     """
     by, key = list(by), [k for k in key if k not in by]
     columns = sorted({c for c, _ in specs.values()})
-    ranked = running_totals(value_counts(df, by, columns), [*by, "ord"], ["value"], "n").select(
+    counted = value_counts(df, by, columns)
+    ranked = running_totals(counted, [*by, "ord"], ["value"], "n", grand="_all").select(
         *by,
         "ord",
         "value",
         "n",
-        "total",
+        "_all",
         ((F.col("before") + (F.col("n") + 1) / 2) / F.col("total")).alias("pct"),
     )
     long = df.select(
@@ -178,7 +182,7 @@ def percentile_ranks(
         ).alias("_v"),
     ).select(*by, *key, "_v.ord", "_v.value")
     matched = join_unique(
-        long, ranked, [*by, "ord", "value"], F.col("n") * 1000 >= F.col("total"), key
+        long, ranked, [*by, "ord", "value"], F.col("n") * 1000 >= F.col("_all"), key
     )
     pct = {
         c: F.max(F.when(F.col("ord") == i, F.col("pct"))) for i, c in enumerate(columns)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankforge.functions.profiles import FEATURES, LIST_K
-from rankforge.functions.scalars import dot, l2_normalize
+from rankforge.functions.scalars import dot
 from rankforge.operators.interactions import with_degree
 from rankforge.operators.ordering import attach, explode_range, join_unique, ordered_position
 from rankforge.operators.ranking import score_order, top_k
@@ -144,70 +144,96 @@ def user_knn(edges: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     )
 
 
-def unit_features(items: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
-    return items.select("item_id", l2_normalize(F.array(*features)).alias("x"))
-
-
 def content_profiles(edges: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
-    """Unit mean of the unit vectors of each user's items."""
+    """Unit mean of the unit vectors of each user's items, as u0, u1, ... with the
+    number of items. ``vectors`` carries x0, x1, ..."""
     means = (
         edges.select("user_id", "item_id").join(vectors, "item_id")
         .groupBy("user_id")
-        .agg(F.array(*[F.avg(F.col("x")[d]) for d in range(dim)]).alias("u"), F.count("*").alias("n_seen"))
+        .agg(*[F.avg(f"x{d}").alias(f"m{d}") for d in range(dim)], F.count("*").alias("n_seen"))
     )
-    return means.select("user_id", l2_normalize(F.col("u")).alias("u"), "n_seen")
+    return means.select("user_id", "n_seen", *_unit(dim, "m", "u"))
+
+
+def _sum(parts: Sequence[Column]) -> Column:
+    return sum(parts[1:], parts[0])
+
+
+def _unit(dim: int, source: str, out: str) -> list[Column]:
+    length = F.sqrt(_sum([F.col(f"{source}{d}") * F.col(f"{source}{d}") for d in range(dim)]))
+    safe = F.when(length == 0, F.lit(1.0)).otherwise(length)
+    return [(F.col(f"{source}{d}") / safe).alias(f"{out}{d}") for d in range(dim)]
 
 
-def _angle(c: Column) -> Column:
-    return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c)))
+def _angle(dim: int, a: str, b: str) -> Column:
+    cosine = _sum([F.col(f"{a}{d}") * F.col(f"{b}{d}") for d in range(dim)])
+    return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))
+
+
+def _cells(placed: DataFrame, level: int, dim: int) -> DataFrame:
+    """Per cell of one level: parent cell, size, centre direction and radius."""
+    name = f"cell{level}"
+    parent = [f"cell{level - 1}"] if level else []
+    centres = placed.groupBy(name, *parent).agg(
+        *[F.avg(f"x{d}").alias(f"m{d}") for d in range(dim)], F.count("*").alias("n_cell")
+    ).select(name, *parent, "n_cell", *_unit(dim, "m", "c"))
+    radius = placed.join(centres.drop("n_cell", *parent), name).groupBy(name).agg(
+        (F.max(_angle(dim, "x", "c")) + 1e-6).alias("radius")
+    )
+    return materialize(centres.join(radius, name))
+
+
+def _open(bounds: DataFrame, level: int, k: int, dim: int) -> DataFrame:
+    """Cells of one level that can still hold one of a user's k best unseen items.
+
+    All items of a cell lie within its radius of its centre. The cells whose worst
+    items are best, taken until they hold k + n_seen items, set a bar; a cell
+    whose best item cannot reach the bar is closed. The window of a user sees the
+    cells of one level, not items.
+    """
+    angle = _angle(dim, "u", "c")
+    near = bounds.withColumn("_angle", angle).select(
+        *[c for c in bounds.columns if c not in {f"c{d}" for d in range(dim)}],
+        F.cos(F.least(F.col("_angle") + F.col("radius"), F.lit(3.141592653589793))).alias("_low"),
+        F.cos(F.greatest(F.col("_angle") - F.col("radius"), F.lit(0.0))).alias("_high"),
+    )
+    surest = Window.partitionBy("user_id").orderBy(F.col("_low").desc(), f"cell{level}")
+    held = near.withColumn("_held", F.sum("n_cell").over(surest))
+    bar = F.max(F.when(F.col("_held") >= k + F.col("n_seen"), F.col("_low"))).over(Window.partitionBy("user_id"))
+    barred = held.withColumn("_bar", bar)
+    return barred.filter(F.col("_bar").isNull() | (F.col("_high") >= F.col("_bar") - 1e-6)).select(
+        "user_id", "n_seen", *[f"u{d}" for d in range(dim)], f"cell{level}"
+    )
 
 
 def content_top_k(
-    edges: DataFrame, items: DataFrame, k: int = LIST_K, features: Sequence[str] = FEATURES, grid: int = 4
+    edges: DataFrame, items: DataFrame, k: int = LIST_K, features: Sequence[str] = FEATURES,
+    grids: Sequence[int] = (3, 6, 12),
 ) -> DataFrame:
     """The k unseen items of highest cosine to each user's content profile, exactly,
     without scoring every (user, item).
 
-    Unit vectors are put into grid cells (at most grid^dim, far fewer on the
-    sphere). The angle between a user and a cell's centre, plus or minus the
-    cell's radius, bounds the cosine of all its items. Cells that certainly hold
-    k + n_seen better items set a threshold; only cells that can reach it are
-    opened.
+    Unit vectors are put into nested grid cells. Coarse cells (at most
+    grids[0]^dim) are compared with every user; only cells that can hold a winner
+    are opened into the next finer level, and finally into items.
     """
     dim = len(features)
-    vectors = unit_features(items, features)
-    cell = F.aggregate(
-        F.transform("x", lambda v: F.floor(F.least(v * grid, F.lit(grid - 1.0)))),
-        F.lit(0).cast("long"), lambda acc, v: acc * grid + v,
-    )
-    placed = materialize(vectors.withColumn("cell", cell))
-    centres = placed.groupBy("cell").agg(
-        F.array(*[F.avg(F.col("x")[d]) for d in range(dim)]).alias("c"), F.count("*").alias("n_cell")
-    ).select("cell", l2_normalize(F.col("c")).alias("c"), "n_cell")
-    # At most grid^dim rows.
-    radius = placed.select("cell", "x").join(F.broadcast(centres), "cell").groupBy("cell").agg(
-        F.first("c").alias("c"), F.first("n_cell").alias("n_cell"),
-        (F.max(_angle(dot(F.col("x"), F.col("c")))) + 1e-6).alias("radius"),
-    )
-    users = materialize(content_profiles(edges, placed.select("item_id", "x"), dim))
-    bounds = with_each(users, radius)
-    angle = _angle(dot(F.col("u"), F.col("c")))
-    bounds = bounds.withColumn("_angle", angle).select(
-        "user_id", "u", "n_seen", "cell", "n_cell",
-        F.cos(F.least(F.col("_angle") + F.col("radius"), F.lit(3.141592653589793))).alias("lower"),
-        F.cos(F.greatest(F.col("_angle") - F.col("radius"), F.lit(0.0))).alias("upper"),
-    )
-    surest = Window.partitionBy("user_id").orderBy(F.col("lower").desc(), "cell")
-    per_user = Window.partitionBy("user_id")
-    enough = F.sum("n_cell").over(surest) >= k + F.col("n_seen")
-    bounds = bounds.withColumn("_enough", enough).withColumn(
-        "_bar", F.max(F.when(F.col("_enough"), F.col("lower"))).over(per_user)
-    )
-    opened = bounds.filter(F.col("_bar").isNull() | (F.col("upper") >= F.col("_bar") - 1e-6))
-    scored = opened.select("user_id", "u", "cell").join(placed, "cell").select(
-        "user_id", "item_id", dot(F.col("u"), F.col("x")).alias("score")
-    )
-    return masked_top_k(scored, edges, "score", k)
+    raw = items.select("item_id", *[F.col(f).alias(f"f{d}") for d, f in enumerate(features)])
+    vectors = raw.select("item_id", *_unit(dim, "f", "x"))
+    for level, g in enumerate(grids):
+        steps = [F.floor(F.greatest(F.least(F.col(f"x{d}"), F.lit(1 - 1e-12)), F.lit(0.0)) * g) for d in range(dim)]
+        cell = _sum([c * (g**d) for d, c in enumerate(steps)])
+        vectors = vectors.withColumn(f"cell{level}", cell.cast("long"))
+    placed = materialize(vectors)
+    users = materialize(content_profiles(edges, placed.select("item_id", *[f"x{d}" for d in range(dim)]), dim))
+    opened = _open(with_each(users, _cells(placed, 0, dim)), 0, k, dim)
+    for level in range(1, len(grids)):
+        finer = opened.join(_cells(placed, level, dim), f"cell{level - 1}").drop(f"cell{level - 1}")
+        opened = _open(finer, level, k, dim)
+    last = f"cell{len(grids) - 1}"
+    score = _sum([F.col(f"u{d}") * F.col(f"x{d}") for d in range(dim)])
+    scored = opened.join(placed.select("item_id", last, *[f"x{d}" for d in range(dim)]), last)
+    return masked_top_k(scored.select("user_id", "item_id", score.alias("score")), edges, "score", k)
 
 
 def implicit_factors(edges: DataFrame, rank: int = 16, iterations: int = 5, seed: int = 7):

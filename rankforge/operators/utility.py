@@ -35,10 +35,18 @@ def with_profiles(df: DataFrame, profiles=pf.PROFILES) -> DataFrame:
     return out.select(*df.columns, *[F.col("_p")[f].alias(f) for f in PROFILE_FIELDS])
 
 
-def with_each(df: DataFrame, few: DataFrame) -> DataFrame:
+# Most rows that with_each lets travel with every row.
+FEW = 100_000
+
+
+def with_each(df: DataFrame, few: DataFrame, most: int = FEW) -> DataFrame:
     """Repeat every row for each row of ``few``, whose size is a parameter of the
-    caller (selected users, states). The few rows travel as one array value."""
-    rows = few.select(F.collect_list(F.struct(*few.columns)).alias("r")).scalar()
+    caller (selected users, states, grid cells). The few rows travel as one array
+    value; more than ``most`` of them are an error."""
+    listed = F.collect_list(F.struct(*few.columns))
+    rows = few.limit(most + 1).select(
+        F.when(F.size(listed) > most, F.raise_error(F.lit(f"more than {most} rows to repeat"))).otherwise(listed).alias("r")
+    ).scalar()
     out = df.withColumn("_r", F.explode(rows))
     return out.select(*df.columns, *[F.col("_r")[c].alias(c) for c in few.columns])
 
@@ -115,16 +123,22 @@ def engagement_probabilities(frame: DataFrame, threshold: float = 0.999999) -> D
     return frame.withColumn("p_engage", clip(engage, 0, 1)).withColumn("p_convert", clip(convert, 0, 1))
 
 
+def relative_shares(profiles: DataFrame) -> DataFrame:
+    """Category shares relative to the user's largest share, once per user."""
+    def scale(c: str) -> Column:
+        best = F.array_max(F.map_values(c))
+        return F.transform_values(c, lambda _, x: F.when(best > 0, x / best).otherwise(x))
+
+    return profiles.withColumn("cat_lvl2_affinity", scale("cat_lvl2_affinity")).withColumn(
+        "cat_leaf_affinity", scale("cat_leaf_affinity")
+    )
+
+
 def hidden_raw_for_users() -> Column:
     """Unscaled utility of a (user, item) pair that carries the item's categories,
-    price and recency_pct and the user's maps and price taste. Shares are relative
-    to the user's largest share."""
-    def share(affinity: str, category: str) -> Column:
-        value = F.coalesce(F.try_element_at(affinity, F.col(category)), F.lit(0.0))
-        best = F.array_max(F.map_values(affinity))
-        return F.when(best > 0, value / best).otherwise(value)
-
+    price and recency_pct and the user's relative shares and price taste."""
     c = F.col
+    share = lambda m, k: F.coalesce(F.try_element_at(m, c(k)), F.lit(0.0))
     fit = clip(1.0 - F.abs(F.log1p("price") - c("log_price_center")) / c("log_price_spread"), 0, 1)
     return (
         0.45 * share("cat_lvl2_affinity", "cat_lvl2") + 0.25 * share("cat_leaf_affinity", "cat_leaf")

@@ -24,9 +24,10 @@ EPOCHS = (1, 2, 5, 10, 20, 30)
 
 
 def ranged_profiles(items: DataFrame, profiles: DataFrame) -> DataFrame:
-    """The users with the range of their utility over all items."""
-    bounds = utility.hidden_bounds(utility.with_each(items, profiles))
-    return materialize(profiles.join(bounds, "user_id"))
+    """The users with relative shares and the range of their utility over all items."""
+    relative = utility.relative_shares(profiles)
+    bounds = utility.hidden_bounds(utility.with_each(items, relative))
+    return materialize(relative.join(bounds, "user_id"))
 
 
 def hidden_frame(items: DataFrame, ranged: DataFrame) -> DataFrame:
