@@ -31,37 +31,42 @@ def masked_top_k(scores: DataFrame, seen: DataFrame, score: str = "score", k: in
 
 
 def masked_global_top_k(
-    ranked: DataFrame, seen: DataFrame, users: DataFrame, score: str, k: int = LIST_K
+    ranked: DataFrame, seen: DataFrame, users: DataFrame, score: str, k: int = LIST_K, by: Sequence[str] = ()
 ) -> DataFrame:
-    """The k best unseen items of one global ranking, for every user.
+    """The k best unseen items of one global ranking, for every user. With ``by``
+    there are a few rankings and ``users`` says which one each user gets.
 
     With a user's seen items at positions p1 < p2 < ..., the list must reach to
     position k + c, where c counts the j with p_j - j < k. Only those positions
     are listed, so the work is k rows per user plus the seen rows.
     """
+    by = list(by)
+    users = users.select("user_id", *by).distinct()
     placed = materialize(
-        ordered_position(ranked.select("item_id", score), [], score_order(score, "item_id"), "place", "_n").drop("_n")
+        ordered_position(
+            ranked.select(*by, "item_id", score), by, score_order(score, "item_id"), "place", "_listed"
+        )
     )
     seen = seen.select("user_id", "item_id").distinct()
+    own = seen.join(users, "user_id") if by else seen
     met = ordered_position(
-        seen.join(placed.select("item_id", "place"), "item_id"), ["user_id"], ["place"], "_j", "_s"
+        own.join(placed.select(*by, "item_id", "place"), [*by, "item_id"]), ["user_id"], ["place"], "_j", "_s"
     )
     blocking = materialize(met.filter(F.col("place") - F.col("_j") < k).select("user_id", "place"))
-    ends = (
-        users.select("user_id").distinct()
-        .join(blocking.groupBy("user_id").agg(F.count("*").alias("_c")), "user_id", "left")
-        .withColumn("_end", k + F.coalesce("_c", F.lit(0)))
-    )
-    reach = explode_range(ends, "place", F.lit(1), F.col("_end")).select("user_id", "place")
+    ends = users.join(
+        blocking.groupBy("user_id").agg(F.count("*").alias("_c")), "user_id", "left"
+    ).withColumn("_end", k + F.coalesce("_c", F.lit(0)))
+    reach = explode_range(ends, "place", F.lit(1), F.col("_end")).select("user_id", *by, "place")
     free = reach.join(blocking, ["user_id", "place"], "left_anti")
-    # Everyone needs the first places, so these are broadcast (HEAD rows at
-    # most); later places are asked for by few users each.
+    # Everyone needs the first places, so these are broadcast (HEAD rows per
+    # ranking at most); later places are asked for by few users each.
+    places = placed.drop("_listed")
     head = free.filter(F.col("place") <= HEAD).join(
-        F.broadcast(placed.filter(F.col("place") <= HEAD)), "place"
+        F.broadcast(places.filter(F.col("place") <= HEAD)), [*by, "place"]
     )
-    tail = free.filter(F.col("place") > HEAD).join(placed.filter(F.col("place") > HEAD), "place")
+    tail = free.filter(F.col("place") > HEAD).join(places.filter(F.col("place") > HEAD), [*by, "place"])
     found = head.unionByName(tail)
-    return top_k(found, score, k, ["user_id"], order=[F.col("place").asc()]).drop("place")
+    return top_k(found, score, k, ["user_id"], order=[F.col("place").asc()]).drop("place", *by)
 
 
 def basket_pairs(edges: DataFrame, user: str = "user_id", item: str = "item_id", chunk: int = CHUNK) -> DataFrame:
@@ -123,25 +128,87 @@ def _sum_over_seen(edges: DataFrame, matrix: DataFrame, value: str) -> DataFrame
     )
 
 
+def neighbour_matrix(edges: DataFrame, kind: str, pairs: DataFrame | None = None) -> DataFrame:
+    """matrix[item, other] whose row sums over a user's items are the scores.
+
+    ``item``: cosine of two items over their users. ``user``: shared users weighted
+    by 1/sqrt(basket size). The latter serves user neighbourhoods, because
+    sum_v cos(u, v) A_vj equals 1/sqrt(n_u) times the sum, over the items i of u,
+    of sum_v A_vi A_vj / sqrt(n_v). So user similarity is never formed and a
+    popular item does not pair all of its users. Own items are masked at the end,
+    which removes v = u.
+    """
+    pairs = co_occurrence(edges) if pairs is None else pairs
+    if kind == "item":
+        return item_similarity(edges, pairs).withColumnRenamed("sim", "w")
+    return mirrored(pairs, "w_shared").withColumnRenamed("w_shared", "w")
+
+
 def item_knn(edges: DataFrame, similarity: DataFrame) -> DataFrame:
     """Score of every item that is similar to something the user has."""
     return mask_seen(_sum_over_seen(edges, similarity, "sim"), edges)
 
 
 def user_knn(edges: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """Score of every item of a similar user.
+    """Score of every item of a similar user."""
+    scores = mask_seen(_sum_over_seen(edges, neighbour_matrix(edges, "user", pairs), "w"), edges)
+    return _per_user_scale(scores, edges)
 
-    sum_v cos(u, v) A_vj equals 1/sqrt(n_u) times the sum, over the items i of u,
-    of sum_v A_vi A_vj / sqrt(n_v). So user similarity is never formed: the item
-    pairs weighted by basket size are enough, and a very popular item does not
-    pair all of its users. Own items are masked, which removes v = u.
-    """
-    pairs = co_occurrence(edges) if pairs is None else pairs
-    scores = mask_seen(_sum_over_seen(edges, mirrored(pairs, "w_shared"), "w_shared"), edges)
+
+def _per_user_scale(scores: DataFrame, edges: DataFrame) -> DataFrame:
     sizes = edges.groupBy("user_id").agg(F.count("*").alias("_n"))
-    return scores.join(sizes, "user_id").select(
-        "user_id", "item_id", (F.col("score") / F.sqrt(F.col("_n").cast("double"))).alias("score")
+    return scores.join(sizes, "user_id").withColumn(
+        "score", F.col("score") / F.sqrt(F.col("_n").cast("double"))
+    ).drop("_n")
+
+
+def neighbour_top_k(
+    edges: DataFrame, kind: str = "item", k: int = LIST_K, pairs: DataFrame | None = None,
+    most_hot: int = 6, hot_share: float = 0.001,
+) -> DataFrame:
+    """The k best unseen items per user by item or user neighbourhood, exactly.
+
+    An item that a large share of users own would give each of them its whole row
+    of the matrix. The few such items (at most ``most_hot``, each with at least
+    ``hot_share`` of all edges) are taken out of the join. Users who own the same
+    of them share one vector of scores from them: a candidate found through other
+    items looks its part up in that vector, and items found in no other way can
+    only come from the vector's own best unseen ones. Together these contain every
+    winner with its full score.
+    """
+    edges = edges.select("user_id", "item_id")
+    total = edges.agg(F.count("*").alias("_total"))
+    degree = attach(edges.groupBy("item_id").agg(F.count("*").alias("_n")), total)
+    top = top_k(degree.filter(F.col("_n") >= hot_share * F.col("_total")), "_n", most_hot)
+    hot = materialize(top.select("item_id", F.pow(F.lit(2.0), F.col("rank") - 1).cast("int").alias("bit")))
+    matrix = neighbour_matrix(edges, kind, pairs)
+    if hot.isEmpty():
+        plain = mask_seen(_sum_over_seen(edges, matrix, "w"), edges)
+        return top_k(_per_user_scale(plain, edges) if kind == "user" else plain, "score", k, ["user_id"])
+    # ``hot`` has at most most_hot rows, so these sides are broadcast.
+    marked = edges.join(F.broadcast(hot), "item_id", "left")
+    owners = marked.filter("bit IS NOT NULL").groupBy("user_id").agg(F.sum("bit").cast("int").alias("pattern"))
+    cold = marked.filter("bit IS NULL").select("user_id", "item_id")
+    own = materialize(edges.select("user_id").distinct().join(owners, "user_id", "left").fillna(0, ["pattern"]))
+    found = mask_seen(_sum_over_seen(cold, matrix, "w"), edges).join(own, "user_id")
+
+    patterns = own.filter("pattern > 0").select("pattern").distinct()
+    rows = matrix.join(F.broadcast(hot), "item_id")
+    vectors = materialize(
+        with_each(rows, patterns, most=1 << most_hot)
+        .filter(F.col("pattern").bitwiseAND(F.col("bit")) > 0)
+        .groupBy("pattern", F.col("other").alias("item_id"))
+        .agg(F.sum("w").alias("shared"))
+    )
+    full = found.join(vectors, ["pattern", "item_id"], "left").select(
+        "user_id", "item_id", (F.col("score") + F.coalesce("shared", F.lit(0.0))).alias("score")
     )
+    best = masked_global_top_k(vectors, edges, own.filter("pattern > 0"), "shared", k, ["pattern"])
+    both = full.unionByName(best.select("user_id", "item_id", F.col("shared").alias("score")))
+    scores = both.groupBy("user_id", "item_id").agg(F.max("score").alias("score"))
+    if kind == "user":
+        scores = _per_user_scale(scores, edges)
+    return top_k(scores, "score", k, ["user_id"])
 
 
 def content_profiles(edges: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:

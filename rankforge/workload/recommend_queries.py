@@ -179,13 +179,12 @@ cte(
 
 @shared
 def item_knn_lists(spark, sf):
-    seen = train(spark, sf)
-    return top_k(recommend.item_knn(seen, recommend.item_similarity(seen, pairs(spark, sf))), "score", K, ["user_id"])
+    return recommend.neighbour_top_k(train(spark, sf), "item", K, pairs(spark, sf))
 
 
 @shared
 def user_knn_lists(spark, sf):
-    return top_k(recommend.user_knn(train(spark, sf), pairs(spark, sf)), "score", K, ["user_id"])
+    return recommend.neighbour_top_k(train(spark, sf), "user", K, pairs(spark, sf))
 
 
 @query("item_knn_recommender", "R5 J7 T5", "SELECT user_id, rank, item_id FROM item_knn_lists", "item_knn_lists")

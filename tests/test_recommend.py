@@ -61,6 +61,21 @@ def test_neighbourhood_scores(data):
             assert user.get((u, j), 0.0) == pytest.approx(user_sim[u] @ a[:, j], abs=1e-12)
 
 
+@pytest.mark.parametrize("kind", ["item", "user"])
+@pytest.mark.parametrize("share", [0.0, 0.03, 2.0])
+def test_hot_items_do_not_change_lists(data, kind, share):
+    """All, some or no items treated as hot: the same lists as scoring everything."""
+    rows, edges = data
+    got = defaultdict(list)
+    for r in rec.neighbour_top_k(edges, kind, 5, most_hot=4, hot_share=share).orderBy("user_id", "rank").collect():
+        got[r.user_id].append(r.item_id)
+    scores = rec.item_knn(edges, rec.item_similarity(edges)) if kind == "item" else rec.user_knn(edges)
+    per = defaultdict(list)
+    for r in scores.collect():
+        per[r.user_id].append((-round(r.score, 9), r.item_id))
+    assert dict(got) == {u: [i for _, i in sorted(v)[:5]] for u, v in per.items()}
+
+
 def test_masked_global_lists(data, spark):
     rows, edges = data
     ranked = spark.range(60).select(F.col("id").alias("item_id"), (60 - F.col("id")).cast("double").alias("score"))
