@@ -164,13 +164,13 @@ def _per_user_scale(scores: DataFrame, edges: DataFrame) -> DataFrame:
 
 def neighbour_top_k(
     edges: DataFrame, kind: str = "item", k: int = LIST_K, pairs: DataFrame | None = None,
-    most_hot: int = 6, hot_share: float = 0.001,
+    most_hot: int = 6, hot_share: float = 0.001, least_hot: int = 1_000,
 ) -> DataFrame:
     """The k best unseen items per user by item or user neighbourhood, exactly.
 
     An item that a large share of users own would give each of them its whole row
     of the matrix. The few such items (at most ``most_hot``, each with at least
-    ``hot_share`` of all edges) are taken out of the join. Users who own the same
+    ``hot_share`` of all edges and ``least_hot`` users) are taken out of the join. Users who own the same
     of them share one vector of scores from them: a candidate found through other
     items looks its part up in that vector, and items found in no other way can
     only come from the vector's own best unseen ones. Together these contain every
@@ -179,7 +179,9 @@ def neighbour_top_k(
     edges = edges.select("user_id", "item_id")
     total = edges.agg(F.count("*").alias("_total"))
     degree = attach(edges.groupBy("item_id").agg(F.count("*").alias("_n")), total)
-    top = top_k(degree.filter(F.col("_n") >= hot_share * F.col("_total")), "_n", most_hot)
+    top = top_k(
+        degree.filter((F.col("_n") >= hot_share * F.col("_total")) & (F.col("_n") >= least_hot)), "_n", most_hot
+    )
     hot = materialize(top.select("item_id", F.pow(F.lit(2.0), F.col("rank") - 1).cast("int").alias("bit")))
     matrix = neighbour_matrix(edges, kind, pairs)
     if hot.isEmpty():

@@ -67,7 +67,7 @@ def test_hot_items_do_not_change_lists(data, kind, share):
     """All, some or no items treated as hot: the same lists as scoring everything."""
     rows, edges = data
     got = defaultdict(list)
-    for r in rec.neighbour_top_k(edges, kind, 5, most_hot=4, hot_share=share).orderBy("user_id", "rank").collect():
+    for r in rec.neighbour_top_k(edges, kind, 5, most_hot=4, hot_share=share, least_hot=1).orderBy("user_id", "rank").collect():
         got[r.user_id].append(r.item_id)
     scores = rec.item_knn(edges, rec.item_similarity(edges)) if kind == "item" else rec.user_knn(edges)
     per = defaultdict(list)
