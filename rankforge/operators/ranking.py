@@ -43,6 +43,21 @@ def top_k(
     return ordered_position(df, by, order, rank, "_size").filter(F.col(rank) <= k).drop("_size")
 
 
+def top_k_of_unit_scores(
+    df: DataFrame, score: str, k: int, by: Sequence[str], item: str = "item_id", rank: str = "rank", buckets: int = 1000
+) -> DataFrame:
+    """``top_k`` for long lists of scores in [0, 1]: a histogram per group finds the
+    bucket that holds the k-th best, and only rows from there up are sorted."""
+    bucket = F.floor(F.round(F.col(score), TIE_DIGITS) * buckets)
+    counts = df.groupBy(*by, bucket.alias("_bucket")).agg(F.count("*").alias("_n"))
+    best_first = Window.partitionBy(*by).orderBy(F.col("_bucket").desc())
+    reached = counts.withColumn("_above", F.sum("_n").over(best_first) - F.col("_n"))
+    # The last bucket that still has fewer than k rows above it.
+    cut = reached.filter(F.col("_above") < k).groupBy(*by).agg(F.min("_bucket").alias("_cut"))
+    kept = df.join(cut, list(by)).filter(bucket >= F.col("_cut")).drop("_cut")
+    return top_k(kept, score, k, by, item, rank)
+
+
 def full_rank(
     df: DataFrame,
     score: str,

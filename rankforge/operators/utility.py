@@ -11,7 +11,7 @@ from rankforge.functions import profiles as pf
 from rankforge.functions.hashing import hash_normal
 from rankforge.functions.scalars import clip
 from rankforge.operators.ordering import attach, min_max
-from rankforge.operators.ranking import top_k
+from rankforge.operators.ranking import top_k, top_k_of_unit_scores
 
 PROFILE_FIELDS = (
     "profile_idx", "profile", "brand_pref", "cat_affinity", "price_lo", "price_hi", "recency_weight",
@@ -134,16 +134,27 @@ def relative_shares(profiles: DataFrame) -> DataFrame:
     )
 
 
-def hidden_raw_for_users() -> Column:
-    """Unscaled utility of a (user, item) pair that carries the item's categories,
-    price and recency_pct and the user's relative shares and price taste."""
+def user_item_frame(items: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Every item with the category score and price taste of every selected user.
+
+    Shares are looked up once per user and category pair (the number of users is
+    the parameter of their selection). Items then meet them by their categories,
+    as narrow rows of numbers.
+    """
     c = F.col
     share = lambda m, k: F.coalesce(F.try_element_at(m, c(k)), F.lit(0.0))
-    fit = clip(1.0 - F.abs(F.log1p("price") - c("log_price_center")) / c("log_price_spread"), 0, 1)
-    return (
-        0.45 * share("cat_lvl2_affinity", "cat_lvl2") + 0.25 * share("cat_leaf_affinity", "cat_leaf")
-        + 0.20 * fit + 0.10 * _recency(c("recency_pct"), c("recency_pref"))
-    )
+    cells = with_each(items.select("cat_lvl2", "cat_leaf").distinct(), profiles)
+    cells = cells.withColumn(
+        "_cat", 0.45 * share("cat_lvl2_affinity", "cat_lvl2") + 0.25 * share("cat_leaf_affinity", "cat_leaf")
+    ).drop("cat_lvl2_affinity", "cat_leaf_affinity")
+    return items.withColumn("_log_price", F.log1p("price")).join(cells, ["cat_lvl2", "cat_leaf"])
+
+
+def hidden_raw_for_users() -> Column:
+    """Unscaled utility of a row of ``user_item_frame``."""
+    c = F.col
+    fit = clip(1.0 - F.abs(c("_log_price") - c("log_price_center")) / c("log_price_spread"), 0, 1)
+    return c("_cat") + 0.20 * fit + 0.10 * _recency(c("recency_pct"), c("recency_pref"))
 
 
 def hidden_bounds(pairs: DataFrame) -> DataFrame:
@@ -181,7 +192,7 @@ def candidate_pool_for_users(
         "item_id", F.explode(best.select(F.collect_list("item_id")).scalar())
     )
     return (
-        top_k(hidden, "hidden", n_hidden, ["user_id"]).select("user_id", "item_id")
+        top_k_of_unit_scores(hidden, "hidden", n_hidden, ["user_id"]).select("user_id", "item_id")
         .union(listed)
         .union(train.select("user_id", "item_id"))
         .distinct()

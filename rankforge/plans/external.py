@@ -1,7 +1,6 @@
 """Per-user external evaluation on learned profiles.
 
-The number of users is the parameter of their selection (the busiest N), so the
-users travel with the items and the item table is never shuffled. Only each
+The number of users is the parameter of their selection (the busiest N). Only each
 user's candidates are kept, ranked and scored per epoch; the full user x item
 product is reduced to ranges inside the tasks that form it.
 """
@@ -26,14 +25,14 @@ EPOCHS = (1, 2, 5, 10, 20, 30)
 def ranged_profiles(items: DataFrame, profiles: DataFrame) -> DataFrame:
     """The users with relative shares and the range of their utility over all items."""
     relative = utility.relative_shares(profiles)
-    bounds = utility.hidden_bounds(utility.with_each(items, relative))
+    bounds = utility.hidden_bounds(utility.user_item_frame(items, relative))
     return materialize(relative.join(bounds, "user_id"))
 
 
 def hidden_frame(items: DataFrame, ranged: DataFrame) -> DataFrame:
     """Scaled utility of every item for every selected user."""
-    fields = [c for c in ranged.columns if c != "user_id"]
-    return utility.hidden_utility_for_users(utility.with_each(items, ranged)).drop(*fields)
+    pairs = utility.user_item_frame(items, ranged)
+    return utility.hidden_utility_for_users(pairs).select("user_id", *items.columns, "hidden")
 
 
 def value_ranges(hidden: DataFrame, epochs: Sequence[int] = EPOCHS) -> DataFrame:

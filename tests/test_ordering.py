@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankforge.operators import ordering as o
-from rankforge.operators.ranking import full_rank, keep_first, top_k
+from rankforge.operators.ranking import full_rank, keep_first, top_k, top_k_of_unit_scores
 
 
 @pytest.fixture(scope="module")
@@ -94,3 +94,13 @@ def test_top_k_large_equals_small_path(spark):
 def test_keep_first(spark):
     df = spark.createDataFrame([("a", 1, 5), ("a", 2, 4), ("b", 1, 1)], "k string, x int, y int")
     assert sorted(map(tuple, keep_first(df, ["k"], [-F.col("x")]).collect())) == [("a", 2, 4), ("b", 1, 1)]
+
+
+@pytest.mark.parametrize("k", [1, 7, 40, 5000])
+def test_histogram_top_k_equals_top_k(spark, k):
+    df = spark.range(3000).select(
+        F.col("id").alias("item_id"), (F.col("id") % 2).alias("g"), ((F.col("id") * 37 % 500) / 499.0).alias("s")
+    )
+    got = top_k_of_unit_scores(df, "s", k, ["g"], buckets=10)
+    assert got.select("g", "item_id", "rank").exceptAll(top_k(df, "s", k, ["g"]).select("g", "item_id", "rank")).count() == 0
+    assert got.count() == 2 * min(k, 1500)
