@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankforge.llm import exact_dedup, mixing
+from rankforge.llm import exact_dedup, mixing, packing, simhash
 from rankforge.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op2_golay_simhash")
+def op2_golay_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_groups(table(spark, folder, "documents"))
+
+
 @query("op4_weighted_fair_mix", mixing.SQL)
 def op4_weighted_fair_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.weighted_fair_mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -31,3 +36,10 @@ def op4_weighted_fair_mix(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_block_naming", exact_dedup.SQL)
 def op5_block_naming(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, folder, "documents"))
+
+
+@query("op7_concatenate_and_cut")
+def op7_concatenate_and_cut(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(table(spark, folder, "documents"), public_tokenizers.path(packing.TOKENIZER), with_ids=False)
