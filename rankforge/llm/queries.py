@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankforge.llm import exact_dedup, mixing, packing, simhash
+from rankforge.llm import exact_dedup, host_rules, mixing, packing, simhash
 from rankforge.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,11 @@ def op2_golay_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_groups(table(spark, folder, "documents"))
 
 
+@query("op3_host_rules", host_rules.SQL)
+def op3_host_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return host_rules.judge_documents(table(spark, folder, "documents"))
+
+
 @query("op4_weighted_fair_mix", mixing.SQL)
 def op4_weighted_fair_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.weighted_fair_mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
