@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankforge.llm import exact_dedup, host_rules, mixing, packing, simhash
+from rankforge.llm import exact_dedup, host_rules, mixing, packing, quality, secret_scan, simhash
 from rankforge.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +48,13 @@ def op7_concatenate_and_cut(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path(packing.TOKENIZER), with_ids=False)
+
+
+@query("op8_naive_bayes_svm")
+def op8_naive_bayes_svm(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op10_guess_cost")
+def op10_guess_cost(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.scan(table(spark, folder, "documents"))
