@@ -91,13 +91,12 @@ def weighted_fair_mix(
     )
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = materialize(source_targets(sizes, weights, share, passes))
-    queued = running_totals(rows, ["source"], ["_order", "key", "size", "_row"], "size").drop("total")
-    # Null-safe join as two plain keys, so that a hot source can be split.
-    name, absent = F.coalesce("source", F.lit("")), F.col("source").isNull()
+    # Two plain keys in place of a source that may be null: joins drop nulls, and a
+    # null-safe join of a hot source can't be split.
+    plain = {"_name": F.coalesce("source", F.lit("")), "_absent": F.col("source").isNull()}
     queued = (
-        queued.withColumns({"_name": name, "_absent": absent})
-        .join(targets.withColumns({"_name": name, "_absent": absent}).drop("source"), ["_name", "_absent"])
-        .drop("_name", "_absent")
+        running_totals(rows.withColumns(plain), list(plain), ["_order", "key", "size", "_row"], "size").drop("total")
+        .join(targets.withColumns(plain).drop("source"), list(plain)).drop(*plain)
     )
     sent = F.col("pass") * F.col("source_size") + F.col("before") + F.col("size")
     copies = queued.withColumn("pass", F.explode(F.array(*[F.lit(i) for i in range(passes)]))).select(

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankforge.llm import exact_dedup, host_rules, mixing, packing, quality, secret_scan, simhash
+from rankforge.llm import chat_format, exact_dedup, host_rules, mixing, packing, quality, secret_scan, simhash, url_lists
 from rankforge.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,12 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_schema_fingerprints", chat_format.SQL)
+def op1_schema_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    records = chat_format.turn_records(table(spark, folder, "conversations")).unionByName(chat_format.probe_records(spark))
+    return chat_format.digests(chat_format.format_records(records))
+
+
 @query("op2_golay_simhash")
 def op2_golay_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_groups(table(spark, folder, "documents"))
@@ -43,6 +49,12 @@ def op5_block_naming(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, folder, "documents"))
 
 
+@query("op6_temporal_lists", url_lists.SQL)
+def op6_temporal_lists(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    return url_lists.judge_captures(url_lists.dated_captures(pages), url_lists.list_of_hosts(pages))
+
+
 @query("op7_concatenate_and_cut")
 def op7_concatenate_and_cut(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
