@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankforge.llm import chat_format, exact_dedup, host_rules, mixing, packing, quality, secret_scan, simhash, url_lists
+from rankforge.llm import chat_format, exact_dedup, host_rules, lm_score, mixing, packing, quality, secret_scan, simhash, url_lists
 from rankforge.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,6 +67,11 @@ def op8_naive_bayes_svm(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@query("op9_deleted_interpolation")
+def op9_deleted_interpolation(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_score.score_documents(table(spark, folder, "documents"))
+
+
 @query("op10_guess_cost")
 def op10_guess_cost(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.scan(table(spark, folder, "documents"))
