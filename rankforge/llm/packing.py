@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,38 +28,56 @@ from rankforge.session import materialize
 SEQUENCE = 2048
 END = 1
 TOKENIZER = "word_bpe_49k.json"
-#: Words kept with their ids in a Python worker, and the longest word kept.
-CACHED_WORDS, CACHED_BYTES = 500_000, 64
+MARKS = b".,;:!?*#$%&|\"')("
+#: Words and parts kept with their ids in a Python worker, and the longest one kept.
+CACHED_WORDS, CACHED_PARTS, CACHED_BYTES = 400_000, 800_000, 64
 _CACHES: dict[str, "WordIds"] = {}
 
 
 class WordIds:
     """Ids of texts, word by word. The tokenizer treats white space as a border and
-    nothing else, so a text's ids are the ids of its words in a row."""
+    nothing else, so a text's ids are the ids of its words in a row. It also cuts a run
+    of marks off the letters before it, so many words share their letters' ids."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[bytes, bytes] = {}  # whole words
+        self.parts: dict[bytes, bytes] = {}  # letters and marks
 
     def __call__(self, text: str) -> bytes:
         words = text.encode().split()
-        known = self.known
         try:
-            return b"".join([known[w] for w in words])
+            return b"".join([self.known[w] for w in words])
         except KeyError:
-            pass
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        ids = dict(zip(new, (np.asarray(e.ids, "<u4").tobytes() for e in found)))
+            if len(self.known) > CACHED_WORDS:
+                self.known = {}
+            if len(self.parts) > CACHED_PARTS:
+                self.parts = {}
+        known, parts = self.known, self.parts
+        cut = {w: _letters_and_marks(w) for w in dict.fromkeys(words) if w not in known}
+        new = [p for p in dict.fromkeys(p for both in cut.values() for p in both) if p not in parts]
+        found = self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)
+        fresh = {p: array("I", e.ids).tobytes() for p, e in zip(new, found)}
+        ids = {w: b"".join([fresh[p] if p in fresh else parts[p] for p in both]) for w, both in cut.items()}
+        parts.update((p, i) for p, i in fresh.items() if len(p) <= CACHED_BYTES)
         known.update((w, i) for w, i in ids.items() if len(w) <= CACHED_BYTES)
         return b"".join([ids[w] if w in ids else known[w] for w in words])
 
 
+def _letters_and_marks(word: bytes) -> tuple[bytes, ...]:
+    """The word, or its letters and the marks behind them. A special token stays whole.
+    Only an ASCII word may be folded here: H with a line below is one letter in lower
+    case alone."""
+    low = word.lower() if word.isascii() else word
+    letters = low.rstrip(MARKS)
+    if b"<|" in word or not letters or not letters[-1:].isalnum():
+        return (word,)
+    return (letters, low[len(letters):]) if len(letters) < len(low) else (letters,)
+
+
 def word_ids(path: str) -> WordIds:
     if path not in _CACHES:
         _CACHES[path] = WordIds(path)
