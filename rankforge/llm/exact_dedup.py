@@ -54,10 +54,11 @@ def text_identities(docs: DataFrame, text: Column, keep: dict[str, Column], bloc
     """One row per input row: the columns of ``keep``, a row number ``row``, and
     ``identity`` (levels, name), equal exactly for equal texts."""
     hashed = F.xxhash64("block") if hashed is None else hashed
-    cut = docs.select(*[c.alias(n) for n, c in keep.items()], blocks_of(text, block).alias("_blocks"))
-    blocks = cut.select(
-        F.monotonically_increasing_id().alias("row"), *keep, F.size("_blocks").alias("n"), F.posexplode("_blocks").alias("i", "block")
-    ).withColumn("h", hashed)
+    # The row number comes before the blocks are exploded: all blocks of a row share it.
+    cut = docs.select(
+        F.monotonically_increasing_id().alias("row"), *[c.alias(n) for n, c in keep.items()], blocks_of(text, block).alias("_blocks")
+    )
+    blocks = cut.select("row", *keep, F.size("_blocks").alias("n"), F.posexplode("_blocks").alias("i", "block")).withColumn("h", hashed)
     clashes = _clashes(blocks)
     if clashes is None:
         blocks = blocks.withColumn("ordinal", F.lit(0).cast("long"))
@@ -115,6 +116,20 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", block
     )
 
 
+def drop_exact_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
+    """The documents with one row of every group of equal texts left, the one that
+    ``exact_groups`` keeps. A row is found by key, digest and length; rows that agree in
+    all three are the same to the rule, and one of them is left."""
+    bare = without_spaces(text)
+    about = {"_k": F.coalesce(col(key).cast("string"), F.lit("")), "_null": col(key).isNull(), "_sha": F.sha2(bare.cast("binary"), 256),
+             "_chars": F.length(text_of(text)).cast("long")}
+    rows = materialize(text_identities(docs, bare, {"key": col(key), **about}, block))
+    best = F.min_by(F.struct(*about), F.struct((-F.col("_chars")).alias("c"), F.col("_null").alias("u"), F.col("key").alias("k"), F.col("row").alias("r")))
+    stay = rows.groupBy("identity").agg(best.alias("_best")).select("_best.*")
+    first = Window.partitionBy(*about).orderBy(F.lit(0))
+    return docs.withColumns(about).join(stay, list(about)).withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").select(*docs.columns)
+
+
 SQL = r"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS bare
            FROM documents),

@@ -39,7 +39,7 @@ def hard(spark, tmp_path_factory):
     """Nulls, empty and long texts, ties, repeated texts, columns with clashing names."""
     folder = tmp_path_factory.mktemp("hard")
     texts = [None, "", " \n\t", "one", "one two", "a b a b a b a b", "x " * 200, "line\nline\nline\n\n", "É é ü #$%\n\x0b\x0c\r z", LONG, LONG + " ",
-             "on e", "o n e", "\n".join(["same line here"] * 40), "&&& *** <b>|</b>", "one two three one two three", LONG.replace(" ", "")]
+             "on e", "o n e", "\n".join(["same line here"] * 40), "&&& *** <b>|</b>", "one two three one two three", LONG.replace(" ", ""), LONG + "a", LONG + "b", "a" + LONG]
     docs = [(i, t, "en", [None, "", "a", "b", "hot", "hot", "hot"][i % 7], 0, "k", "s", 1, "n") for i, t in enumerate(texts * 3)]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long, key string, host string, size int, name string").repartition(4, "doc_id").write.parquet(f"{folder}/documents.parquet")
     turns = [(1, 0, "user", "hi"), (1, 1, "assistant", None), (2, None, "user", "<|im_start|> <\\|im_end|> <<SYS>> [\\\\/INST] </s>"), (2, 0, None, "%0A%25"),
