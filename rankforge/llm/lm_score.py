@@ -8,7 +8,7 @@ on held-out counts: every training occurrence is judged by the counts that are l
 when it is deleted.
 
 Counts of all training texts are gathered without a row per token. Each task turns
-its texts into chunks of a million tokens and counts the different tokens and pairs
+its texts into chunks of some hundred thousand tokens and counts the different tokens and pairs
 in a chunk once. Sorted hashes, packed, go to buckets by their leading bits; a bucket
 adds up its share of all chunks and sends the totals back in the same order, so a
 frequent word is one number per chunk wherever it goes, and no bucket is larger than
@@ -33,8 +33,8 @@ from rankforge.llm.shared import col, fold, text_of
 from rankforge.session import materialize
 
 FOLDS, HELD_OUT = 5, 1
-CHUNK = 1_000_000  # tokens of a chunk
-BUCKET = 4_000_000  # tokens of the corpus for each bucket
+CHUNK = 400_000  # tokens of a chunk
+BUCKET = 2_000_000  # tokens of the corpus for each bucket
 PAIR_BITS = 48
 SLICE = 1 << 20  # bytes of a text that are split at once
 ROUNDS = 60
