@@ -57,14 +57,17 @@ def eligible(edges: DataFrame, min_items: int) -> DataFrame:
     return edges.join(users.select("user_id"), "user_id", "left_semi")
 
 
-def busiest_users(sequences: DataFrame, max_users: int, min_items: int) -> DataFrame:
-    """The ``max_users`` longest eligible sequences, with the order of selection."""
+def busiest_users(sequences: DataFrame, max_users: int | None, min_items: int) -> DataFrame:
+    """The ``max_users`` longest eligible sequences (all of them for None), with the
+    order of selection."""
     users = (
         sequences.groupBy("user_id")
         .agg(F.count("*").alias("n_items"))
         .filter(F.col("n_items") >= min_items)
     )
     order = [F.col("n_items").desc(), F.col("user_id").asc()]
+    if max_users is None:
+        return ordered_position(users, [], order, "selected", "_users").drop("_users")
     return top_k(users, "n_items", max_users, item="user_id", rank="selected", order=order)
 
 
@@ -74,16 +77,15 @@ def pseudonym(selected: Column) -> Column:
 
 
 def select_sequences(
-    sequences: DataFrame, items: DataFrame, max_users: int, min_items: int
+    sequences: DataFrame, items: DataFrame, max_users: int | None, min_items: int
 ) -> DataFrame:
-    """Sequences of the busiest users, then without items that are not in the
-    item table, then without users that fell below the minimum; positions are
-    renumbered."""
-    users = busiest_users(sequences, max_users, min_items)
+    """Sequences of the busiest users (of all eligible users for None), then without
+    items that are not in the item table, then without users that fell below the
+    minimum; positions are renumbered."""
+    users = busiest_users(sequences, max_users, min_items).select("user_id", "selected")
     kept = (
         sequences.drop("pos", "n")
-        # max_users bounds this side.
-        .join(F.broadcast(users.select("user_id", "selected")), "user_id")
+        .join(users, "user_id")
         .join(items.select("item_id").distinct(), "item_id", "left_semi")
     )
     kept = eligible(kept, min_items)

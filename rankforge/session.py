@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,8 +26,8 @@ def get_spark(app: str = "rankforge", master: str | None = None, **conf: str) ->
 def shared_dir(spark: SparkSession) -> str:
     """Folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
 
-    A cluster must name one that every executor reaches. Only a local master,
-    as in tests, may fall back to a temporary folder.
+    A cluster must name one that every executor reaches. Only a local master may leave
+    it out; its tables then go to a folder in the warehouse.
     """
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
@@ -36,7 +35,7 @@ def shared_dir(spark: SparkSession) -> str:
         return folder
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="spark-")
+    folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work/{sc.applicationId}"
     sc.setCheckpointDir(folder)
     return folder
 

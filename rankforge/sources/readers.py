@@ -53,10 +53,20 @@ def read_records(spark: SparkSession, path: str, schema: str, partitions: int |
     """Text files (also gzip) with one Python literal per line.
 
     A gzip file cannot be split, so its lines are spread over the cluster before
-    they are parsed. Lines that do not parse become null rows and are dropped.
+    they are parsed, one after the other in turn. Lines that do not parse give no
+    record; ``bad_lines`` counts them.
     """
-    lines = spark.read.text(path)
-    lines = lines.repartition(partitions) if partitions else lines.repartition("value")
+    return _parsed(spark, path, partitions).filter("json IS NOT NULL").select(F.from_json("json", schema, {"mode": "PERMISSIVE"}).alias("r")).select("r.*")
+
+
+def bad_lines(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
+    """One row (n_lines, n_bad): the lines of the files, and those that do not parse."""
+    parsed = _parsed(spark, path, partitions)
+    return parsed.agg(F.count("*").alias("n_lines"), F.count_if(F.col("json").isNull()).alias("n_bad"))
+
+
+def _parsed(spark: SparkSession, path: str, partitions: int | None) -> DataFrame:
+    lines = spark.read.text(path).repartition(partitions or int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def to_json(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def convert(line: str) -> str | None:
@@ -68,8 +78,7 @@ def read_records(spark: SparkSession, path: str, schema: str, partitions: int |
         for pdf in batches:
             yield pd.DataFrame({"json": pdf["value"].map(convert)})
 
-    parsed = lines.mapInPandas(to_json, "json string").filter("json IS NOT NULL")
-    return parsed.select(F.from_json("json", schema, {"mode": "PERMISSIVE"}).alias("r")).select("r.*")
+    return lines.mapInPandas(to_json, "json string")
 
 
 def project_metadata(records: DataFrame) -> DataFrame:

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 
+#: Error conditions of a path that is absent or holds no table yet.
+NOTHING_THERE = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+
+
 def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
     """CSV with a header. ``single`` is for small report tables."""
     (df.coalesce(1) if single else df).write.mode("overwrite").option("header", True).csv(path)
@@ -24,27 +28,35 @@ def materialize_runs(spark: SparkSession, samples: DataFrame, path: str, overwri
     if overwrite:
         samples.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(run).parquet(path)
         return spark.read.parquet(path)
+    existing = None
     try:
-        existing = spark.read.parquet(path).select(run).distinct()
-        samples = samples.join(F.broadcast(existing), run, "left_anti")
-    except AnalysisException:
-        pass  # nothing written yet
+        existing = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in NOTHING_THERE:
+            raise
+    if existing is not None:
+        samples = samples.join(existing.select(run).distinct(), run, "left_anti")
     samples.write.mode("append").partitionBy(run).parquet(path)
     return spark.read.parquet(path)
 
 
 def manifest(table: DataFrame, by: Sequence[str] = ("run",), item: str = "item_id") -> DataFrame:
-    """Rows, unique items and an order-free content fingerprint per run."""
+    """Rows, unique items and an order-free content fingerprint per run: the hashes of
+    the rows combined and added up, so a row that occurs twice counts twice."""
+    row = F.xxhash64(*sorted(table.columns))
     return table.groupBy(*by).agg(
         F.count("*").alias("n_rows"),
         F.countDistinct(item).alias("n_items"),
-        F.bit_xor(F.xxhash64(*sorted(table.columns))).alias("fingerprint"),
+        F.bit_xor(row).alias("fingerprint"),
+        F.sum(row.cast("decimal(38,0)")).cast("string").alias("hash_sum"),
     )
 
 
 def publish(df: DataFrame, allowed: Sequence[str]) -> DataFrame:
-    """Only the columns that may leave the house."""
-    return df.select(*[c for c in allowed if c in df.columns])
+    """Only the columns that may leave the house; one that is missing is an error."""
+    if missing := [c for c in allowed if c not in df.columns]:
+        raise ValueError(f"missing columns: {missing}")
+    return df.select(*allowed)
 
 
 def policy_tables(lists: DataFrame, policy: DataFrame, path: str) -> None:

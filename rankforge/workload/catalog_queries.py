@@ -277,7 +277,7 @@ def enrich_catalog(spark, sf):
     "SELECT product_id, product_name, category, rating_count FROM raw_catalog", "raw_catalog",
 )
 def publication_projection(spark, sf):
-    return publish(v.raw_catalog(spark, sf), ["product_id", "product_name", "category", "rating_count", "absent"])
+    return publish(v.raw_catalog(spark, sf), ["product_id", "product_name", "category", "rating_count"])
 
 
 PCT = ("price_pct", "quality_pct", "popularity_pct", "rating_pct", "recency_pct")

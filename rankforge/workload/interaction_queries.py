@@ -50,7 +50,7 @@ def pseudonyms(spark, sf):
 
 @query("refiltered_sequences", "F4 F3 J2", "SELECT user_id, item_id, pos, n, split FROM selected_users", "selected_users")
 def refiltered_sequences(spark, sf):
-    kept = ix.select_sequences(v.sequences(spark, sf), v.metadata(spark, sf), v.MAX_USERS, v.MIN_ITEMS)
+    kept = ix.select_sequences(v.sequences(spark, sf), v.metadata(spark, sf), None, v.MIN_ITEMS)
     return ix.split_last_k(kept, v.TEST_K).select("user_id", "item_id", "pos", "n", "split")
 
 

@@ -80,9 +80,9 @@ def random_recommender(spark, sf):
     return out(random_lists.__wrapped__(spark, sf))
 
 
-def global_sql(scores: str, score: str) -> str:
+def global_sql(scores: str, score: str, seen: str = "tr") -> str:
     return user_top(
-        f"(SELECT u.user_id, p.item_id, p.{score} AS score FROM (SELECT DISTINCT user_id FROM tr) u CROSS JOIN {scores} p WHERE NOT EXISTS (SELECT 1 FROM tr WHERE tr.user_id = u.user_id AND tr.item_id = p.item_id))"
+        f"(SELECT u.user_id, p.item_id, p.{score} AS score FROM (SELECT DISTINCT user_id FROM {seen}) u CROSS JOIN {scores} p WHERE NOT EXISTS (SELECT 1 FROM {seen} s WHERE s.user_id = u.user_id AND s.item_id = p.item_id))"
     )
 
 
@@ -320,17 +320,25 @@ def single_truth_metrics(spark, sf):
 
 
 cte("last7", "SELECT user_id, item_id FROM selected_users WHERE split = 'test'", "selected_users")
+cte("last7_train", "SELECT user_id, item_id FROM selected_users WHERE split = 'train'", "selected_users")
+cte("last7_popularity", "SELECT item_id, count(DISTINCT user_id) AS popularity FROM last7_train GROUP BY item_id", "last7_train")
+cte("last7_lists", global_sql("last7_popularity", "popularity", "last7_train"), "last7_train", "last7_popularity")
 
 
 @query(
     "best_hit_metrics", "E5 W9",
     """SELECT user_id, best_rank, (best_rank IS NOT NULL)::INTEGER::DOUBLE AS hit, round(coalesce(1 / log2(best_rank + 1.0::DOUBLE), 0), 6) AS ndcg, round(coalesce(1.0::DOUBLE / best_rank, 0), 6) AS mrr FROM (
-SELECT l.user_id, min(CASE WHEN t.item_id IS NOT NULL THEN rank END) AS best_rank FROM popularity_lists l LEFT JOIN last7 t ON t.user_id = l.user_id AND t.item_id = l.item_id GROUP BY l.user_id)""",
-    "popularity_lists last7",
+SELECT l.user_id, min(CASE WHEN t.item_id IS NOT NULL THEN rank END) AS best_rank FROM last7_lists l LEFT JOIN last7 t ON t.user_id = l.user_id AND t.item_id = l.item_id GROUP BY l.user_id)""",
+    "last7_lists last7",
 )
 def best_hit_metrics(spark, sf):
-    truth = v.selected(spark, sf).filter("split = 'test'").select("user_id", "item_id")
-    ranks = metrics.best_hit_rank(popularity_lists(spark, sf), truth, ["user_id"], ["user_id"])
+    """Lists from the train part, truth from the test part of one split; every user of
+    the split has seven test items."""
+    rows = v.selected(spark, sf)
+    seen = rows.filter("split = 'train'").select("user_id", "item_id")
+    truth = rows.filter("split = 'test'").select("user_id", "item_id")
+    lists = recommend.masked_global_top_k(ix.popularity(seen), seen, seen, "popularity", K)
+    ranks = metrics.best_hit_rank(lists, truth, ["user_id"], ["user_id"])
     return s.rounded(metrics.rank_metrics(ranks))
 
 

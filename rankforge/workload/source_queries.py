@@ -96,23 +96,22 @@ def load_reviews(spark, sf):
 
 
 def user_payloads(spark, sf):
-    """Nested user documents, one per interaction, so that no task gathers a user."""
-    c = F.col
-    entry = F.struct(c("item_id").cast("string").alias("asin"), "rating", c("ts").alias("time"))
-    none = F.slice(F.array(entry), 1, 0)
+    """Nested documents, one per user: the whole train list and the whole test list in
+    the order of the sequence. A user's document is one value, as the format asks."""
+    part = lambda name: F.transform(
+        F.array_sort(F.collect_list(F.when(F.col("split") == name, F.struct("pos", "item_id", "rating", "ts")))),
+        lambda r: F.struct(r["item_id"].cast("string").alias("asin"), r["rating"].alias("rating"), r["ts"].alias("time")),
+    )
+    docs = v.selected(spark, sf).groupBy("user_id").agg(F.count("*").alias("n_unique_items"), part("train").alias("train"), part("test").alias("test"))
     profile = v.learned_profiles(spark, sf).select(
         "user_id", F.struct("cat_lvl2_affinity", "cat_leaf_affinity", "log_price_center", "log_price_spread", "recency_pref").alias("profile")
     )
-    return v.selected(spark, sf).join(profile, "user_id").select(
-        F.format_string("user_%06d", "user_id").alias("user_id"), c("n").alias("n_unique_items"),
-        F.when(c("split") == "train", F.array(entry)).otherwise(none).alias("train"),
-        F.when(c("split") == "test", F.array(entry)).otherwise(none).alias("test"), "profile",
-    )
+    return docs.join(profile, "user_id").withColumn("user_id", F.format_string("user_%06d", "user_id"))
 
 
 @query(
     "load_users", "S5 S8",
-    "SELECT format('user_{:06d}', user_id) AS user_id, split, 1::BIGINT AS pos, item_id::VARCHAR AS item_id, rating, ts FROM selected_users",
+    "SELECT format('user_{:06d}', user_id) AS user_id, split, CASE WHEN split = 'train' THEN pos ELSE pos - (n - 7) END AS pos, item_id::VARCHAR AS item_id, rating, ts FROM selected_users",
     "selected_users",
 )
 def load_users(spark, sf):
@@ -121,7 +120,7 @@ def load_users(spark, sf):
     return s.rounded(readers.user_rows(readers.load_users(spark, where, lines=True)))
 
 
-@query("load_first_users", "S5", "SELECT format('user_{:06d}', user_id) AS user_id FROM selected_users ORDER BY user_id LIMIT 100", "selected_users")
+@query("load_first_users", "S5", "SELECT user_id FROM (SELECT DISTINCT format('user_{:06d}', user_id) AS user_id FROM selected_users) ORDER BY user_id LIMIT 100", "selected_users")
 def load_first_users(spark, sf):
     where = path(spark, "users")
     writers.write_json(user_payloads(spark, sf), where)

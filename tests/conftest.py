@@ -1,4 +1,5 @@
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -13,6 +14,7 @@ def spark():
     session = get_spark(
         "tests", "local[4]",
         **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "4g",
+           "spark.checkpoint.dir": tempfile.mkdtemp(prefix="spark-"),
            # Keep all slices of small inputs, so that offsets between slices are tested.
            "spark.sql.adaptive.coalescePartitions.enabled": "false"},
     )
