@@ -189,6 +189,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         .repartition(1).sortWithinPartitions(F.xxhash64("k"), "k", "at")
         .mapInArrow(fitted, "ratios binary, weights binary, slope double, offset double").first()
     )
+    if found is None:  # no labelled rows, no task
+        return fit([], np.zeros(0, bool))
     return Model(np.frombuffer(found["ratios"], "<f4").astype(float), np.frombuffer(found["weights"], "<f4").astype(float), found["slope"], found["offset"])
 
 

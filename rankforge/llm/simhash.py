@@ -19,7 +19,7 @@ of all pairs; components are then found by contracting stars.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import combinations
 
@@ -66,14 +66,14 @@ def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.packbits(2 * ones > len(starts)).view(">i8")[0])
 
 
-def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "_fp", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """``docs`` with one more column, the fingerprint of ``text``."""
+def with_fingerprint(docs: DataFrame, mark: Callable[[str], int], text: str = "text", name: str = "_fp") -> DataFrame:
+    """``docs`` with one more column, the fingerprint ``mark`` of ``text``."""
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())])
     arrow, at = to_arrow_schema(schema), docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [fingerprint(t.as_py() or "", shingle, seed) for t in b.column(at)]
+            fps = [mark(t.as_py() or "") for t in b.column(at)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps, pa.int64())], schema=arrow)
 
     return docs.mapInArrow(run, schema)
@@ -272,7 +272,7 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     rows that repeat are one node; an empty table gives no rows; other columns are
     ignored.
     """
-    rows = materialize(with_fingerprint(docs.select(col(key).alias("key"), text_of(text).alias("text")), "text", "fp", shingle).select("key", "fp"))
+    rows = materialize(with_fingerprint(docs.select(col(key).alias("key"), text_of(text).alias("text")), lambda t: fingerprint(t, shingle), "text", "fp").select("key", "fp"))
     nodes = materialize(rows.groupBy("fp").agg(F.min("key").alias("low")))
     rooted = nodes.join(fingerprint_roots(nodes, bits, block), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = materialize(rooted)
@@ -283,11 +283,141 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     )
 
 
-def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, bits: int = BITS, block: int = BLOCK) -> DataFrame:
-    """The documents with one row per component left, the one with the smallest key."""
-    rows = materialize(with_fingerprint(docs, text, "_fp", shingle).withColumn("_row", F.monotonically_increasing_id()))
-    nodes = rows.groupBy(F.col("_fp").alias("fp")).agg(F.min(F.struct(col(key).isNull().alias("u"), col(key).alias("k"), F.col("_row").alias("r"))).alias("low"))
-    nodes = materialize(nodes)
-    rooted = nodes.join(fingerprint_roots(nodes, bits, block), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    stay = rooted.groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.r").alias("_row"))
-    return rows.join(stay, "_row", "left_semi").select(*docs.columns)
+# near copies by similarity of their shingles
+
+COPY_SHINGLE, COPY_SIMILARITY, COPY_BITS = 5, 0.8, 10
+PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+
+
+def word_fingerprint(text: str, seed: int = SEED) -> int:
+    """The SimHash of the different words of a text: a few edits change few of its bits,
+    where each edit changes as many shingles as they have words."""
+    words = set(text.encode().lower().split())
+    if not words:
+        return 0
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words)).astype(">u8")
+    ones = sum(np.unpackbits(hashes[lo:lo + (1 << 15)].view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.uint32).astype(np.int64) for lo in range(0, len(hashes), 1 << 15))
+    return int(np.packbits(2 * ones > len(hashes)).view(">i8")[0])
+
+
+def segment_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key): the Golay indices of every two of the three segments. Two fingerprints
+    share a key if two of their segments are at most two bits apart, and often beyond."""
+    u = fps.view(np.uint64)
+    parts = [golay_indices((u >> np.uint64(s) & np.uint64(m)).astype(np.int64)) for s, m in ((0, (1 << 23) - 1), (23, (1 << 23) - 1), (46, (1 << 18) - 1))]
+    keys = np.concatenate([
+        (parts[i][:, :, None] << 12 | parts[j][:, None, :]).reshape(len(u), 36) | n << 24 for n, (i, j) in enumerate(combinations(range(3), 2))
+    ], axis=1)
+    keys.sort(axis=1)
+    new = np.ones(keys.shape, bool)
+    new[:, 1:] = keys[:, 1:] != keys[:, :-1]
+    return np.nonzero(new)[0], keys[new]
+
+
+def _segment_keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        row, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        for lo in range(0, len(fps), 2048):
+            at, keys = segment_keys(fps[lo:lo + 2048])
+            yield pa.record_batch([pa.array(keys), pa.array(row[lo:lo + 2048][at]), pa.array(fps[lo:lo + 2048][at])], names=["key", "row", "fp"])
+
+
+def _clustered(bits: int):
+    """Rows sorted by key and row to candidate pairs: in each bucket a row goes to the first
+    leader within ``bits``, or becomes one; it is paired with its leader and with the row
+    that went there before it. A bucket streams through; only its leaders are kept."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, leaders, rows, last = None, np.empty(0, np.int64), [], []
+        for batch in batches:
+            keys, row, fps = (batch.column(i).to_numpy() for i in range(3))
+            cuts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True]) if len(keys) else np.zeros(1, np.int64)
+            found = []
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if keys[lo] != key:
+                    key, leaders, rows, last = keys[lo], np.empty(0, np.int64), [], []
+                    if hi - lo == 1 and hi < len(keys):
+                        continue
+                todo = np.arange(lo, hi)
+                for n in range(len(leaders)):
+                    near = np.bitwise_count(fps[todo] ^ leaders[n]) <= bits
+                    took(found, row[todo[near]], n, rows, last)
+                    todo = todo[~near]
+                while len(todo):
+                    leaders, n = np.append(leaders, fps[todo[0]]), len(rows)
+                    rows.append(int(row[todo[0]]))
+                    last.append(int(row[todo[0]]))
+                    near = np.bitwise_count(fps[todo] ^ leaders[n]) <= bits
+                    near[0] = True
+                    took(found, row[todo[near][1:]], n, rows, last)
+                    todo = todo[~near]
+            if found:
+                pairs = np.unique(np.concatenate(found), axis=0)
+                yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    def took(found: list, own: np.ndarray, n: int, rows: list[int], last: list[int]) -> None:
+        if len(own):
+            before = np.r_[last[n], own[:-1]]
+            pairs = np.concatenate([np.c_[np.full(len(own), rows[n]), own], np.c_[before, own]])
+            found.append(np.sort(pairs, axis=1))
+            last[n] = int(own[-1])
+
+    return run
+
+
+def shingles(text: str, size: int = COPY_SHINGLE) -> set[bytes]:
+    """The different shingles of a text; of a shorter text all words; without words none."""
+    words = text.encode().lower().split()
+    return {b" ".join(words[i:i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+
+
+def _similar(least: float, size: int):
+    """Rows (a, b, text a, text b), those of one a together as far as they come so, to the
+    pairs whose shingles have a Jaccard similarity of ``least`` or more."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own = None, set()
+        for batch in batches:
+            ok = []
+            for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
+                if a != at:
+                    at, own = a, shingles(x.as_py(), size)
+                other = shingles(y.as_py(), size)
+                common = len(own & other)
+                ok.append(common >= least * (len(own) + len(other) - common))
+            kept = batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+            yield pa.record_batch(kept.columns, names=["a", "b"])
+
+    return run
+
+
+def drop_near_copies(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = COPY_SIMILARITY, shingle: int = COPY_SHINGLE, bits: int = COPY_BITS
+) -> DataFrame:
+    """The documents with one row per group of near copies left, the one with the smallest key.
+
+    Near copies have a Jaccard similarity of ``similarity`` or more in shingles of
+    ``shingle`` words. Candidates are rows whose word fingerprints share the Golay indices
+    of two segments and differ in ``bits`` or fewer bits; every candidate pair is verified
+    on the whole texts, so only near copies are dropped. A row is paired with two others
+    of its cluster in each bucket, never with all.
+
+    Defined cases: a null text has no words, and texts without words are copies of each
+    other; rows that repeat are copies; a null key is never the smallest unless there is
+    no other; an empty table gives no rows.
+    """
+    rows = materialize(with_fingerprint(docs, word_fingerprint, text).withColumn("_row", F.monotonically_increasing_id()))
+    keyed = rows.select("_row", "_fp").mapInArrow(_segment_keyed, "key long, row long, fp long")
+    pairs = materialize(keyed.repartition("key").sortWithinPartitions("key", "row").mapInArrow(_clustered(bits), PAIR).distinct())
+    involved = pairs.select(F.col("a").alias("_row")).unionByName(pairs.select(F.col("b").alias("_row"))).distinct()
+    texts = materialize(rows.join(involved, "_row", "left_semi").select(F.col("_row").alias("r"), text_of(text).alias("t")))
+    both = (
+        pairs.join(texts.select(F.col("r").alias("b"), F.col("t").alias("y")), "b")
+        .join(texts.select(F.col("r").alias("a"), F.col("t").alias("x")), "a").select("a", "b", "x", "y")
+    )
+    roots = components(both.mapInArrow(_similar(similarity, shingle), PAIR)).select(F.col("node").alias("_row"), "root")
+    order = F.struct(col(key).isNull().alias("u"), col(key).alias("k"), F.col("_row").alias("r"))
+    grouped = rows.select("_row", key).join(roots, "_row")
+    members = grouped.unionByName(rows.select("_row", key).join(roots.select(F.col("root").alias("_row")).distinct(), "_row").withColumn("root", F.col("_row"))).distinct()
+    stay = members.groupBy("root").agg(F.min(order).alias("_low")).select(F.col("_low.r").alias("_row"))
+    gone = members.select("_row").join(stay, "_row", "left_anti").distinct()
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
+
