@@ -415,9 +415,6 @@ def drop_near_copies(
     )
     roots = components(both.mapInArrow(_similar(similarity, shingle), PAIR)).select(F.col("node").alias("_row"), "root")
     order = F.struct(col(key).isNull().alias("u"), col(key).alias("k"), F.col("_row").alias("r"))
-    grouped = rows.select("_row", key).join(roots, "_row")
-    members = grouped.unionByName(rows.select("_row", key).join(roots.select(F.col("root").alias("_row")).distinct(), "_row").withColumn("root", F.col("_row"))).distinct()
-    stay = members.groupBy("root").agg(F.min(order).alias("_low")).select(F.col("_low.r").alias("_row"))
-    gone = members.select("_row").join(stay, "_row", "left_anti").distinct()
-    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
-
+    labelled = rows.select("_row", key).join(roots, "_row", "left").withColumn("root", F.coalesce("root", "_row"))
+    stay = labelled.groupBy("root").agg(F.min(order).alias("_low")).select(F.col("_low.r").alias("_row"))
+    return rows.join(stay, "_row", "left_semi").select(*docs.columns)
