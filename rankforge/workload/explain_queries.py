@@ -61,25 +61,33 @@ MOVED = ", ".join(
 P = "PARTITION BY run, profile_idx, feature"
 UP = "sqrt(" + " + ".join(f"pow({x} - max({x}) OVER ({P}), 2)" for x in X) + ")"
 DOWN = "sqrt(" + " + ".join(f"pow({x} - min({x}) OVER ({P}), 2)" for x in X) + ")"
-cte(
-    "moved",
-    f"SELECT run, profile_idx, item_id, feature, q_norm, {DOWN} AS dm, {UP} AS dp FROM (SELECT *, {MOVED} FROM learned CROSS JOIN (SELECT unnest([{', '.join(repr(c) for c in CRITERIA)}]) AS feature) f)",
-    "learned",
-)
-cte(
-    "moved_ranks",
-    f"""SELECT *, row_number() OVER ({P} ORDER BY round(score, 9) DESC, item_id) AS perturbed_rank FROM (
+def counterfactual_ctes(suffix: str, rows: str, needs: tuple[str, ...]) -> None:
+    """Distances, ranks and shifts of the perturbed criteria in ``rows``."""
+    cte(f"moved{suffix}", f"SELECT run, profile_idx, item_id, feature, q_norm, {DOWN} AS dm, {UP} AS dp FROM ({rows})", *needs)
+    cte(
+        f"moved_ranks{suffix}",
+        f"""SELECT *, row_number() OVER ({P} ORDER BY round(score, 9) DESC, item_id) AS perturbed_rank FROM (
 SELECT run, profile_idx, item_id, feature, 0.5 * q_norm + 0.5 * {s.mm('t', 'run, profile_idx, feature')} AS score FROM (
-SELECT *, dm / greatest(dp + dm, 1e-10) AS t FROM moved))""",
-    "moved",
-)
-cte(
-    "counterfactuals",
-    """SELECT m.run, m.profile_idx, m.item_id, m.feature AS feature_perturbed, b.hybrid_rank AS base_rank, m.perturbed_rank, b.hybrid_rank - m.perturbed_rank AS rank_shift, m.score - b.hybrid AS score_delta
-FROM moved_ranks m JOIN branches b ON b.run = m.run AND b.profile_idx = m.profile_idx AND b.item_id = m.item_id
+SELECT *, dm / greatest(dp + dm, 1e-10) AS t FROM moved{suffix}))""",
+        f"moved{suffix}",
+    )
+    cte(
+        f"counterfactuals{suffix}",
+        f"""SELECT m.run, m.profile_idx, m.item_id, m.feature AS feature_perturbed, b.hybrid_rank AS base_rank, m.perturbed_rank, b.hybrid_rank - m.perturbed_rank AS rank_shift, m.score - b.hybrid AS score_delta
+FROM moved_ranks{suffix} m JOIN branches b ON b.run = m.run AND b.profile_idx = m.profile_idx AND b.item_id = m.item_id
 WHERE EXISTS (SELECT 1 FROM final_lists f WHERE f.method = 'hybrid' AND f.run = m.run AND f.profile_idx = m.profile_idx AND f.item_id = m.item_id)
    OR EXISTS (SELECT 1 FROM truth t WHERE t.run = m.run AND t.profile_idx = m.profile_idx AND t.item_id = m.item_id)""",
-    "moved_ranks", "branches", "final_lists", "truth",
+        f"moved_ranks{suffix}", "branches", "final_lists", "truth",
+    )
+
+
+MOVED_ROWS = f"SELECT *, {MOVED} FROM learned CROSS JOIN (SELECT unnest([{', '.join(repr(c) for c in CRITERIA)}]) AS feature) f"
+counterfactual_ctes("", MOVED_ROWS, ("learned",))
+# Each perturbed criterion over its length in the group, as the base closeness has it.
+counterfactual_ctes(
+    "_normalized",
+    "SELECT * REPLACE (" + ", ".join(f"coalesce({x} / nullif(sqrt(sum(pow({x} / w_{c}, 2)) OVER ({P})), 0), {x}) AS {x}" for x, c in zip(X, CRITERIA)) + f") FROM ({MOVED_ROWS})",
+    ("learned",),
 )
 
 
@@ -97,9 +105,14 @@ def counterfactual_ranks(spark, sf):
     return s.rounded(out.select(*KEY, "feature_perturbed", "base_rank", "perturbed_rank", "rank_shift", "score_delta"))
 
 
-@query("counterfactual_ranks_normalized", "D7")
+@query(
+    "counterfactual_ranks_normalized", "D7",
+    f"SELECT {G}, item_id, feature_perturbed, base_rank, perturbed_rank, rank_shift, round(score_delta, 6) + 0.0 AS score_delta FROM counterfactuals_normalized",
+    "counterfactuals_normalized",
+)
 def counterfactual_ranks_normalized(spark, sf):
-    return xp.counterfactual_ranks(s.learned(spark, sf), tracked(spark, sf), GROUP, normalize=True)
+    out = xp.counterfactual_ranks(s.learned(spark, sf), tracked(spark, sf), GROUP, normalize=True)
+    return s.rounded(out.select(*KEY, "feature_perturbed", "base_rank", "perturbed_rank", "rank_shift", "score_delta"))
 
 
 @query(

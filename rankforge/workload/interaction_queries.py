@@ -196,13 +196,28 @@ def known_rows(spark, sf):
     return ix.known_rows(rows, known).select("user_id", "item_id", "split")
 
 
-@query("negative_samples", "M3 R11")
+cte("external_numbered", "SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS idx FROM external_items", "external_items")
+cte("train_rows", "SELECT user_id, item_id FROM selected_users WHERE split = 'train'", "selected_users")
+cte("positives", "SELECT user_id, item_id AS request FROM train_rows", "train_rows")
+
+
+def negatives_sql(seed: int) -> str:
+    return f"SELECT user_id, request AS positive, item_id AS negative FROM ({v.draws_sql('positives', 'train_rows', 'external_numbered', 1, seed)})"
+
+
+@query("negative_samples", "M3 R11", negatives_sql(11), "positives train_rows external_numbered")
 def negative_samples(spark, sf):
     train = v.selected(spark, sf).filter("split = 'train'").select("user_id", "item_id")
     return sampling.negative_samples(train, sampling.item_index(v.external_items(spark, sf)), 11)
 
 
-@query("sequence_samples", "R12 W6 W7 M3")
+@query(
+    "sequence_samples", "R12 W6 W7 M3",
+    f"""SELECT w.user_id, next_item, prefix, negative FROM (SELECT user_id, item_id AS next_item, list_concat(
+  list_resize([]::BIGINT[], (20 - least(pos - 1, 20))::BIGINT, 0), list(item_id + 1) OVER (PARTITION BY user_id ORDER BY pos ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)) AS prefix, pos
+FROM selected_users WHERE split = 'train') w JOIN ({negatives_sql(12)}) d ON d.user_id = w.user_id AND d.positive = w.next_item WHERE pos > 1""",
+    "selected_users positives train_rows external_numbered",
+)
 def sequence_samples(spark, sf):
     """(user, padded prefix, next, negative) per training position."""
     seqs = v.selected(spark, sf).filter("split = 'train'")
@@ -217,7 +232,16 @@ def eval_pairs(spark, sf):
     return sampling.eval_candidates(v.selected(spark, sf), sampling.item_index(v.external_items(spark, sf)))
 
 
-@query("eval_candidates", "M4")
+cte("candidate_asks", "SELECT DISTINCT user_id, 0 AS request FROM selected_users", "selected_users")
+cte(
+    "eval_pairs",
+    f"""SELECT user_id, item_id, true AS is_truth FROM selected_users WHERE split = 'test'
+UNION ALL SELECT user_id, item_id, false FROM ({v.draws_sql('candidate_asks', 'selected_users', 'external_numbered', 200, 7000)})""",
+    "selected_users", "candidate_asks", "external_numbered",
+)
+
+
+@query("eval_candidates", "M4", "SELECT user_id, item_id, is_truth FROM eval_pairs", "eval_pairs")
 def eval_candidates(spark, sf):
     return sampling.eval_candidates(v.selected(spark, sf), sampling.item_index(v.external_items(spark, sf)))
 

@@ -55,16 +55,8 @@ def out(df):
 
 
 cte("numbered", "SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS idx FROM items", "items")
-cte(
-    "random_lists",
-    f"""SELECT user_id, rank, item_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY draw) AS rank FROM (
-SELECT user_id, item_id, min(draw) AS draw FROM (
-SELECT u.user_id, draw, (('0x' || substring(md5(concat_ws('|', 9042, u.user_id, 0, draw)), 1, 13))::BIGINT % n) AS idx FROM (
-SELECT user_id, n, unnest(range(CASE WHEN n_seen * 100 < n THEN {2 * K + 6} ELSE {4 * K + 40} END)) AS draw
-FROM (SELECT user_id, count(*) AS n_seen, (SELECT count(*) FROM items) AS n FROM tr GROUP BY user_id)) u) d JOIN numbered USING (idx)
-WHERE NOT EXISTS (SELECT 1 FROM tr WHERE tr.user_id = d.user_id AND tr.item_id = numbered.item_id) GROUP BY user_id, item_id)) WHERE rank <= {K}""",
-    "tr", "items", "numbered",
-)
+cte("random_asks", "SELECT DISTINCT user_id, 0 AS request FROM tr", "tr")
+cte("random_lists", f"SELECT user_id, draw_rank AS rank, item_id FROM ({v.draws_sql('random_asks', 'tr', 'numbered', K, 9042)})", "random_asks", "tr", "numbered")
 
 
 @shared

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from rankforge.operators import paired, sampling, summary
@@ -140,9 +142,20 @@ def bootstrap_summary(spark, sf):
     return s.rounded(summary.summarize(sampling.user_bootstrap(user_metric(spark, sf), "value", ["split"]), "value", ["split"]))
 
 
-@query("poisson_bootstrap", "M5")
+# Cumulative Poisson(1) probabilities of 0..9.
+POISSON = [sum(math.exp(-1) / math.factorial(j) for j in range(i + 1)) for i in range(10)]
+
+
+@query(
+    "poisson_bootstrap", "M5",
+    f"""SELECT split, replicate::BIGINT AS replicate, round(sum(value * times) / nullif(sum(times), 0), 6) AS value FROM (
+SELECT split, value, replicate, {' + '.join(f'(u >= {p!r}::DOUBLE)::INTEGER' for p in POISSON)} AS times FROM (
+SELECT *, ('0x' || substring(md5(concat_ws('|', 42, replicate, user_id)), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+FROM user_metric CROSS JOIN range(30) r(replicate))) GROUP BY split, replicate""",
+    "user_metric",
+)
 def poisson_bootstrap(spark, sf):
-    return sampling.poisson_bootstrap(user_metric(spark, sf), "value", ["split"])
+    return s.rounded(sampling.poisson_bootstrap(user_metric(spark, sf), "value", ["split"]))
 
 
 @query(
