@@ -24,6 +24,8 @@ from rankforge.session import materialize
 WINDOW = 3
 SYMBOLS = "[#*$%&|<>]"
 BASE_WORDS, BASE_REPEATED = 50, 50
+#: The prior counts as so many documents at least, however far the hosts lie apart.
+LEAST_PRIOR = 10.0
 
 
 @dataclass(frozen=True)
@@ -92,7 +94,7 @@ def host_verdicts(measured: DataFrame, host: str = "host", rules: tuple[Rule, ..
     rates = {}
     for r in rules:
         m, v = F.col(f"_m_{r.name}"), F.col(f"_v_{r.name}")
-        weight = F.greatest(m * (1 - m) / v - 1, F.lit(1.0))
+        weight = F.greatest(m * (1 - m) / v - 1, F.lit(LEAST_PRIOR))
         rates[r.name] = (F.col(r.name) + m * weight) / (F.col("n_docs") + weight)
     over = F.lit(False)
     for r in rules:
@@ -130,7 +132,7 @@ def _sql() -> str:
         n = r.name
         sums.append(f"sum(({r.failed})::INT)::DOUBLE AS {n}")
         priors.append(f"sum({n}) / sum(n) AS m_{n}, greatest(sum(n * ({n} / n) * ({n} / n)) / sum(n) - (sum({n}) / sum(n)) ** 2, 1e-9) AS v_{n}")
-        rates.append(f"greatest(m_{n} * (1 - m_{n}) / v_{n} - 1, 1.0) AS w_{n}")
+        rates.append(f"greatest(m_{n} * (1 - m_{n}) / v_{n} - 1, {LEAST_PRIOR}) AS w_{n}")
         over.append(f"({n} + m_{n} * w_{n}) / (n + w_{n}) > {r.limit}")
     return f"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, {words_sql()} AS ws FROM documents),
