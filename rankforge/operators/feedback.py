@@ -24,8 +24,8 @@ def rewards(
     bonus: float | Column = 0.0,
     on: Sequence[str] = KEY,
 ) -> DataFrame:
-    """Reward of each event. ``truth`` holds top-k lists of a few states, so it is
-    small by construction."""
+    """Reward of each event. ``truth`` holds top-k lists by state; Spark broadcasts it
+    only if it measures few of them."""
     engaged, converted = F.col("engaged"), F.col("engaged") & F.col("converted")
     reward = (
         F.lit(pf.REWARD_BASE)
@@ -36,7 +36,7 @@ def rewards(
         return events.withColumn("reward", reward)
     flags = truth.select(*on).distinct().withColumn("_hit", F.lit(True))
     extra = bonus if isinstance(bonus, Column) else F.lit(float(bonus))
-    joined = events.join(F.broadcast(flags), list(on), "left")
+    joined = events.join(flags, list(on), "left")
     in_truth = F.coalesce("_hit", F.lit(False))
     return joined.withColumn("reward", reward + F.when(in_truth, extra).otherwise(0.0)).drop("_hit")
 

@@ -347,8 +347,8 @@ def propagate(edges: DataFrame, vectors: DataFrame, dim: int, rounds: int = 2) -
     total = edges.agg(F.count("*").alias("_total"))
     layer = materialize(vectors.select("node", F.transform("x", lambda v: v.cast("double")).alias("x")))
     layers = [layer]
+    degrees = materialize(edges.groupBy("src").agg(F.first("src_degree").alias("src_degree")))
     for _ in range(rounds):
-        degrees = edges.groupBy("src").agg(F.first("src_degree").alias("src_degree"))
         marked = attach(
             layer.select(F.col("node").alias("src"), "x").join(degrees, "src"), total
         ).withColumn("_hot", F.col("src_degree") * 1000 >= F.col("_total"))

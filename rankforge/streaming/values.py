@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -34,9 +35,10 @@ def streaming_values(
             return
         q, n = state.get if state.exists else (0.0, 0)
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        for r in rows["reward"].to_numpy():
-            q += alpha * (float(r) - q)
-        n += len(rows)
+        reward = rows["reward"].to_numpy(float)
+        kept = (1.0 - alpha) ** np.arange(len(reward), -1, -1)  # what is left of q, and of each reward
+        q = q * kept[0] + alpha * float(kept[1:] @ reward)
+        n += len(reward)
         state.update((float(q), int(n)))
         if idle_ms:
             state.setTimeoutDuration(idle_ms)
