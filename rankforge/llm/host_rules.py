@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankforge.llm.shared import SPACES, col, text_of, words_of, words_sql
+from rankforge.operators.ordering import attach
 from rankforge.session import materialize
 
 WINDOW = 3
@@ -99,7 +100,7 @@ def host_verdicts(measured: DataFrame, host: str = "host", rules: tuple[Rule, ..
     over = F.lit(False)
     for r in rules:
         over = over | (rates[r.name] > r.limit)
-    return counted.join(F.broadcast(prior)).select(
+    return attach(counted, prior).select(
         host, "n_docs", *[x.alias(f"{n}_rate") for n, x in rates.items()], (~over).alias("host_kept")
     )
 

@@ -15,12 +15,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankforge.functions.hashing import hash_key
 from rankforge.llm.shared import col, words_sql, word_count
-from rankforge.operators.ordering import ordered_position, running_totals
+from rankforge.operators.ordering import attach, ordered_position, running_totals
 from rankforge.session import materialize
 
 WEIGHTS = (3, 1, 2)
@@ -53,7 +53,7 @@ def source_targets(
         F.coalesce(F.sum(F.when(F.col("_full"), F.col("_limit"))), F.lit(0)).alias("_taken"),
         F.coalesce(F.sum(F.when(~F.col("_full"), F.col("weight"))), F.lit(1)).alias("_rest"),
     )
-    return marked.join(F.broadcast(sums)).select(  # one row of sums
+    return attach(marked, sums).select(
         "source", "source_size", "weight",
         F.when(F.col("_full"), F.col("_limit").cast("double"))
         .otherwise(F.col("weight") * (F.col("_budget") - F.col("_taken")) / F.col("_rest")).alias("target"),
@@ -128,8 +128,6 @@ def repeat_documents(docs: DataFrame, mix: DataFrame, key: str = "doc_id", sourc
     parts = {"_k": F.coalesce(col(key).cast("string"), F.lit("")), "_s": F.coalesce(col(source).cast("string"), F.lit("")),
              "_e": col(key).isNull().cast("int") * 2 + col(source).isNull().cast("int")}
     names = [*parts, "_size"]
-    from pyspark.sql import Window
-
     left = docs.withColumns({**parts, "_size": size.cast("long")}).withColumn(
         "_i", F.row_number().over(Window.partitionBy(*names).orderBy(F.xxhash64(*[F.col(c) for c in docs.columns])))
     )
