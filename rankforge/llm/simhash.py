@@ -285,89 +285,204 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
 
 # near copies by similarity of their shingles
 
-COPY_SHINGLE, COPY_SIMILARITY, COPY_BITS = 5, 0.8, 10
+COPY_SHINGLE, COPY_SIMILARITY = 5, 0.8
 PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+#: Bits of the parity map of a shingle set, in words of 64.
+MAP_WORDS = 8
+#: One text in SAMPLE is counted to find frequent shingles; those in at least FREQUENT of the
+#: counted texts come last in the order of shingles. The order decides on the work, not on the pairs.
+SAMPLE, FREQUENT, MOST_FREQUENT = 16, 8, 1 << 20
+#: Keys of a set, and cells of a key, by which sets are chained before the complete join.
+CHAIN_KEYS, CHAIN_CELLS = 4, 16
+#: Members of a key's bucket that one task compares; larger ones are dealt out in blocks.
+COPY_BLOCK = 8192
+SIGNED = "row long, digest binary, n long, prefix array<long>, map binary, wide binary"
 
 
-def word_fingerprint(text: str, seed: int = SEED) -> int:
-    """The SimHash of the different words of a text: a few edits change few of its bits,
-    where each edit changes as many shingles as they have words."""
-    words = set(text.encode().lower().split())
+def shingles(text: str, size: int = COPY_SHINGLE) -> set[bytes]:
+    """The different shingles of a text; of a shorter text all words; without words none."""
+    words = text.encode().lower().split()
+    return {b" ".join(words[i:i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+
+
+def shingle_hashes(text: str, size: int = COPY_SHINGLE, seed: int = SEED) -> np.ndarray:
+    """The hashes of ``shingles``, in order."""
+    words = text.encode().lower().split()
     if not words:
-        return 0
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words)).astype(">u8")
-    ones = sum(np.unpackbits(hashes[lo:lo + (1 << 15)].view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.uint32).astype(np.int64) for lo in range(0, len(hashes), 1 << 15))
-    return int(np.packbits(2 * ones > len(hashes)).view(">i8")[0])
+        return np.empty(0, np.uint64)
+    single = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
+    count = max(1, len(words) - size + 1)
+    out = single[:count].copy()
+    for i in range(1, min(size, len(words))):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + single[i:i + count]
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        out = (out ^ out >> np.uint64(shift)) * np.uint64(factor)
+    return np.unique(out ^ out >> np.uint64(31))
+
+
+def prefix(hashes: np.ndarray, least: float, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first shingles of a set in an order that all sets share: two sets whose similarity
+    is ``least`` or more have one of these in common."""
+    if not len(hashes):
+        return hashes
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+        often = np.where(frequent[at] == hashes, counts[at], 0)
+        if often.any():
+            hashes = hashes[np.lexsort((hashes, often))]
+    return hashes[:len(hashes) - int(np.ceil(least * len(hashes) - 1e-9)) + 1]
+
+
+def parity_map(hashes: np.ndarray, words: int = MAP_WORDS) -> np.ndarray:
+    """``words`` words whose bits are parities of the set's members: the bits in which two
+    maps differ are never more than the members in which the sets do. For powers of two, a
+    map folded with xor is the map of half as many words."""
+    odd = np.bincount((hashes >> np.uint64(20)).astype(np.int64) % (64 * words), minlength=64 * words) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
+def wide_map(hashes: np.ndarray) -> np.ndarray:
+    """The parity map with at least a bit for each member."""
+    return parity_map(hashes, max(MAP_WORDS, 1 << (max(1, -(-len(hashes) // 64)) - 1).bit_length()))
+
+
+def _may_be_similar(n: np.ndarray, maps: np.ndarray, m: np.ndarray, others: np.ndarray, least: float) -> np.ndarray:
+    """Whether sizes and maps leave room for a similarity of ``least``."""
+    apart = np.bitwise_count(maps ^ others).sum(axis=-1, dtype=np.int64)
+    return (apart * (1 + least) <= (1 - least) * (n + m) + 1e-6) & (np.minimum(n, m) >= least * np.maximum(n, m) - 1e-6)
+
+
+def _frequent(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, len(batch), 256):
+                found = [shingle_hashes(t.as_py() or "", size) for t in batch.column(0)[lo:lo + 256]]
+                keys, counts = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(counts)], names=["key", "n"])
 
+    return run
 
-def segment_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key): the Golay indices of every two of the three segments. Two fingerprints
-    share a key if two of their segments are at most two bits apart, and often beyond."""
-    u = fps.view(np.uint64)
-    parts = [golay_indices((u >> np.uint64(s) & np.uint64(m)).astype(np.int64)) for s, m in ((0, (1 << 23) - 1), (23, (1 << 23) - 1), (46, (1 << 18) - 1))]
-    keys = np.concatenate([
-        (parts[i][:, :, None] << 12 | parts[j][:, None, :]).reshape(len(u), 36) | n << 24 for n, (i, j) in enumerate(combinations(range(3), 2))
-    ], axis=1)
-    keys.sort(axis=1)
-    new = np.ones(keys.shape, bool)
-    new[:, 1:] = keys[:, 1:] != keys[:, :-1]
-    return np.nonzero(new)[0], keys[new]
 
+def _signed(least: float, size: int, frequent):
+    """Rows (row, text) to (row, digest of the shingle set, its its size, prefix and parity maps)."""
+    schema = to_arrow_schema(T.StructType.fromDDL(SIGNED))
 
-def _segment_keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        row, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        for lo in range(0, len(fps), 2048):
-            at, keys = segment_keys(fps[lo:lo + 2048])
-            yield pa.record_batch([pa.array(keys), pa.array(row[lo:lo + 2048][at]), pa.array(fps[lo:lo + 2048][at])], names=["key", "row", "fp"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = frequent.value
+        for batch in batches:
+            for lo in range(0, len(batch), 512):
+                sets = [shingle_hashes(t.as_py() or "", size) for t in batch.column(1)[lo:lo + 512]]
+                yield pa.record_batch([
+                    batch.column(0)[lo:lo + 512], pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                    pa.array([len(s) for s in sets], pa.int64()), pa.array([prefix(s, least, *known).view(np.int64) for s in sets], pa.list_(pa.int64())),
+                    pa.array([parity_map(s).tobytes() for s in sets], pa.binary()), pa.array([wide_map(s).tobytes() for s in sets], pa.binary()),
+                ], schema=schema)
+
+    return run
 
 
-def _clustered(bits: int):
-    """Rows sorted by key and row to candidate pairs: in each bucket a row goes to the first
-    leader within ``bits``, or becomes one; it is paired with its leader and with the row
-    that went there before it. A bucket streams through; only its leaders are kept."""
+def _maps(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, MAP_WORDS)
+
+
+def _chained(least: float):
+    """Rows (key, cell, row, n, map) sorted by key and cell to pairs of a row and each of the
+    two before it in its cell."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, leaders, rows, last = None, np.empty(0, np.int64), [], []
+        kept = None
         for batch in batches:
-            keys, row, fps = (batch.column(i).to_numpy() for i in range(3))
-            cuts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True]) if len(keys) else np.zeros(1, np.int64)
+            if not len(batch):
+                continue
+            own = [*(batch.column(i).to_numpy() for i in range(4)), _maps(batch.column(4))]
+            key, cell, row, n, maps = own if kept is None else [np.concatenate(x) for x in zip(kept, own)]
             found = []
-            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                if keys[lo] != key:
-                    key, leaders, rows, last = keys[lo], np.empty(0, np.int64), [], []
-                    if hi - lo == 1 and hi < len(keys):
-                        continue
-                todo = np.arange(lo, hi)
-                for n in range(len(leaders)):
-                    near = np.bitwise_count(fps[todo] ^ leaders[n]) <= bits
-                    took(found, row[todo[near]], n, rows, last)
-                    todo = todo[~near]
-                while len(todo):
-                    leaders, n = np.append(leaders, fps[todo[0]]), len(rows)
-                    rows.append(int(row[todo[0]]))
-                    last.append(int(row[todo[0]]))
-                    near = np.bitwise_count(fps[todo] ^ leaders[n]) <= bits
-                    near[0] = True
-                    took(found, row[todo[near][1:]], n, rows, last)
-                    todo = todo[~near]
-            if found:
-                pairs = np.unique(np.concatenate(found), axis=0)
-                yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    def took(found: list, own: np.ndarray, n: int, rows: list[int], last: list[int]) -> None:
-        if len(own):
-            before = np.r_[last[n], own[:-1]]
-            pairs = np.concatenate([np.c_[np.full(len(own), rows[n]), own], np.c_[before, own]])
-            found.append(np.sort(pairs, axis=1))
-            last[n] = int(own[-1])
+            for step in (1, 2):
+                same = (key[step:] == key[:-step]) & (cell[step:] == cell[:-step]) & _may_be_similar(n[step:], maps[step:], n[:-step], maps[:-step], least)
+                found.append(np.c_[row[:-step][same], row[step:][same]])
+            kept = [x[-2:] for x in (key, cell, row, n, maps)]
+            pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+            yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     return run
 
 
-def shingles(text: str, size: int = COPY_SHINGLE) -> set[bytes]:
-    """The different shingles of a text; of a shorter text all words; without words none."""
-    words = text.encode().lower().split()
-    return {b" ".join(words[i:i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+def _undecided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, root, row) sorted by key and root, without the keys that have one root."""
+    key, root, row, passed = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), None
+    names = ["key", "root", "row"]
+    for batch in batches:
+        key, root, row = (np.concatenate([x, batch.column(i).to_numpy()]) for i, x in enumerate((key, root, row)))
+        if not len(key):
+            continue
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        ends = np.r_[starts[1:], len(key)]
+        several = root[starts] != root[ends - 1]
+        several[0] |= key[0] == passed
+        if several[-1]:  # the rest of this key passes as it comes
+            passed = key[-1]
+        take = np.repeat(several, ends - starts)
+        yield pa.record_batch([pa.array(x[take]) for x in (key, root, row)], names=names)
+        rest = len(key) if several[-1] else starts[-1]
+        key, root, row = key[rest:], root[rest:], row[rest:]
+
+
+def _compared(least: float):
+    """Rows (key, i, j, root, row, n, map) sorted by key, i and j to the pairs of different
+    roots that may be similar."""
+    def inside(root, row, n, maps):
+        roots, at, sizes = np.unique(root, return_inverse=True, return_counts=True)
+        for r in np.argsort(sizes, kind="stable")[:-1]:  # each root's rows meet all roots that come later
+            for x in np.flatnonzero(at == r):
+                near = np.flatnonzero((at != r) & _may_be_similar(n[x], maps[x], n, maps, least))
+                if len(near):
+                    yield np.c_[np.full(len(near), row[x]), row[near]]
+            keep = at != r
+            root, row, n, maps, at = root[keep], row[keep], n[keep], maps[keep], at[keep]
+
+    def groups(cols):
+        key, i, j, root, row, n, maps = cols
+        starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+        sizes = np.diff(np.r_[starts, len(key)])
+        two = starts[sizes == 2]
+        near = two[(root[two] != root[two + 1]) & _may_be_similar(n[two], maps[two], n[two + 1], maps[two + 1], least)]
+        found = [np.c_[row[near], row[near + 1]]]
+        for s, m in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+            found += inside(*(x[s:s + m] for x in (root, row, n, maps)))
+        pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+        return pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            own = [*(batch.column(c).to_numpy() for c in range(6)), _maps(batch.column(6))]
+            cols = own if kept is None else [np.concatenate(x) for x in zip(kept, own)]
+            key, i, j = cols[:3]
+            last = int(np.argmax((key == key[-1]) & (i == i[-1]) & (j == j[-1])))  # may go on in the next batch
+            if last:
+                yield groups([x[:last] for x in cols])
+            kept = [x[last:] for x in cols]
+        if kept is not None:
+            yield groups(kept)
+
+    return run
+
+
+def _narrowed(least: float):
+    """Rows (a, b, n a, n b, wide map a, wide map b) to the pairs that may be similar."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for n, m, x, y in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
+                x, y = (np.frombuffer(z, np.uint64) for z in (x, y))
+                words = min(len(x), len(y))
+                x, y = (np.bitwise_xor.reduce(z.reshape(-1, words), axis=0) for z in (x, y))
+                ok.append(bool(_may_be_similar(n, x, m, y, least)))
+            kept = batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+            yield pa.record_batch(kept.columns, names=["a", "b"])
+
+    return run
 
 
 def _similar(least: float, size: int):
@@ -389,31 +504,77 @@ def _similar(least: float, size: int):
     return run
 
 
-def drop_near_copies(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = COPY_SIMILARITY, shingle: int = COPY_SHINGLE, bits: int = COPY_BITS
-) -> DataFrame:
+def similar_links(texts: DataFrame, least: float = COPY_SIMILARITY, size: int = COPY_SHINGLE, block: int = COPY_BLOCK) -> DataFrame:
+    """Links (a, b) that connect all rows of (row, text) whose shingle sets have a Jaccard
+    similarity of ``least`` or more, as far as they are connected.
+
+    Equal sets are linked at once and go on as one. The others meet by prefix filter: two
+    similar sets share one of the first shingles of each. Sets are first chained in cells
+    of few of these, so that a family of near copies becomes one component without its
+    square of pairs; then all keys are joined, and in each bucket every two sets of
+    different components are compared, by sizes and parity maps, which lose no similar
+    pair, and then by whole texts. A bucket of more than ``block`` members is dealt into blocks,
+    and every two blocks meet in a task of their own.
+    """
+    sc = texts.sparkSession.sparkContext
+    counted = texts.filter(F.pmod(F.xxhash64("row"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(_frequent(size), "key long, n long")
+    often = counted.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "key").limit(MOST_FREQUENT).toPandas()
+    keys, counts = often["key"].to_numpy(np.int64).view(np.uint64), often["n"].to_numpy(np.int64)
+    order = np.argsort(keys)
+    signed = materialize(texts.select("row", "text").mapInArrow(_signed(least, size, sc.broadcast((keys[order], counts[order]))), SIGNED))
+
+    low = signed.groupBy("digest").agg(F.min("row").alias("a"), F.count("*").alias("c")).filter("c > 1").select("digest", "a")
+    equal = materialize(signed.select("digest", F.col("row").alias("b")).join(low, "digest").filter("b > a").select("a", "b"))
+    sets = materialize(signed.join(equal.select(F.col("b").alias("row")), "row", "left_anti").select("row", "n", "prefix", "map", "wide"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        wide = (
+            pairs.distinct().join(sets.select(F.col("row").alias("a"), F.col("n").alias("n"), F.col("wide").alias("x")), "a")
+            .join(sets.select(F.col("row").alias("b"), F.col("n").alias("m"), F.col("wide").alias("y")), "b")
+        )
+        pairs = materialize(wide.select("a", "b", "n", "m", "x", "y").mapInArrow(_narrowed(least), PAIR))
+        involved = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
+        t = materialize(texts.join(involved, "row", "left_semi"))
+        both = (
+            pairs.join(t.select(F.col("row").alias("b"), F.col("text").alias("y")), "b")
+            .join(t.select(F.col("row").alias("a"), F.col("text").alias("x")), "a").select("a", "b", "x", "y")
+        )
+        return materialize(both.mapInArrow(_similar(least, size), PAIR))
+
+    cells = sets.select(F.explode(F.slice("prefix", 1, CHAIN_KEYS)).alias("key"), "row", "n", "map")
+    cells = cells.select("key", F.pmod(F.xxhash64("row", "key"), F.lit(CHAIN_CELLS)).alias("cell"), "row", "n", "map")
+    chained = cells.repartition("key", "cell").sortWithinPartitions("key", "cell", F.xxhash64("key", "row")).mapInArrow(_chained(least), PAIR)
+    rooted = materialize(components(verified(chained)))
+
+    named = sets.join(rooted.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
+    keyed = named.select(F.explode("prefix").alias("key"), "root", "row")
+    open_ = materialize(keyed.repartition("key").sortWithinPartitions("key", "root").mapInArrow(_undecided, "key long, root long, row long"))
+    blocks = open_.groupBy("key").agg(F.ceil(F.count("*") / block).cast("long").alias("k")).filter("k > 1")
+    met = (
+        open_.join(blocks, "key", "left").withColumn("k", F.coalesce("k", F.lit(1)))
+        .withColumn("i", F.pmod(F.xxhash64("row"), "k"))
+        .withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+        .select("key", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "root", "row")
+        .join(sets.select("row", "n", "map"), "row").select("key", "i", "j", "root", "row", "n", "map")
+    )
+    compared = met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_compared(least), PAIR)
+    return equal.unionByName(rooted.select(F.col("root").alias("a"), F.col("node").alias("b"))).unionByName(verified(compared))
+
+
+def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = COPY_SIMILARITY, shingle: int = COPY_SHINGLE) -> DataFrame:
     """The documents with one row per group of near copies left, the one with the smallest key.
 
     Near copies have a Jaccard similarity of ``similarity`` or more in shingles of
-    ``shingle`` words. Candidates are rows whose word fingerprints share the Golay indices
-    of two segments and differ in ``bits`` or fewer bits; every candidate pair is verified
-    on the whole texts, so only near copies are dropped. A row is paired with two others
-    of its cluster in each bucket, never with all.
+    ``shingle`` words; groups are what they connect. No pair of near copies is left out
+    (``similar_links``), and only near copies are dropped.
 
     Defined cases: a null text has no words, and texts without words are copies of each
     other; rows that repeat are copies; a null key is never the smallest unless there is
     no other; an empty table gives no rows.
     """
-    rows = materialize(with_fingerprint(docs, word_fingerprint, text).withColumn("_row", F.monotonically_increasing_id()))
-    keyed = rows.select("_row", "_fp").mapInArrow(_segment_keyed, "key long, row long, fp long")
-    pairs = materialize(keyed.repartition("key").sortWithinPartitions("key", "row").mapInArrow(_clustered(bits), PAIR).distinct())
-    involved = pairs.select(F.col("a").alias("_row")).unionByName(pairs.select(F.col("b").alias("_row"))).distinct()
-    texts = materialize(rows.join(involved, "_row", "left_semi").select(F.col("_row").alias("r"), text_of(text).alias("t")))
-    both = (
-        pairs.join(texts.select(F.col("r").alias("b"), F.col("t").alias("y")), "b")
-        .join(texts.select(F.col("r").alias("a"), F.col("t").alias("x")), "a").select("a", "b", "x", "y")
-    )
-    roots = components(both.mapInArrow(_similar(similarity, shingle), PAIR)).select(F.col("node").alias("_row"), "root")
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()))
+    found = similar_links(rows.select(F.col("_row").alias("row"), text_of(text).alias("text")), similarity, shingle)
+    roots = components(found).select(F.col("node").alias("_row"), "root")
     order = F.struct(col(key).isNull().alias("u"), col(key).alias("k"), F.col("_row").alias("r"))
     labelled = rows.select("_row", key).join(roots, "_row", "left").withColumn("root", F.coalesce("root", "_row"))
     stay = labelled.groupBy("root").agg(F.min(order).alias("_low")).select(F.col("_low.r").alias("_row"))

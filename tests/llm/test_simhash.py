@@ -138,3 +138,39 @@ def test_components_of_a_long_chain(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_groups(df).count() == 0 and simhash.drop_near_copies(df).count() == 0
+
+
+def left_by_brute_force(rows):
+    """Keys that stay: the smallest of each group of (key, text) connected by similarity 0.8."""
+    sets, comp = [simhash.shingles(t) for _, t in rows], list(range(len(rows)))
+    for i, j in combinations(range(len(rows)), 2):
+        both = len(sets[i] & sets[j])
+        if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both) and comp[i] != comp[j]:
+            old, new = comp[j], comp[i]
+            comp = [new if c == old else c for c in comp]
+    return sorted(min(rows[k][0] for k in range(len(rows)) if comp[k] == c) for c in set(comp))
+
+
+def test_near_copies_with_one_word_set(spark):
+    r = random.Random(7)
+    words = [f"w{i}" for i in range(100)]
+    lead, a, c = (r.sample(words, 100) for _ in range(3))
+    b = [*a[:50], a[51], a[50], *a[52:]]  # one word set; only a and b are near copies
+    rows = [(k, " ".join(w)) for k, w in enumerate((lead, a, c, b))]
+    left = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    assert sorted(x.doc_id for x in left.collect()) == left_by_brute_force(rows) == [0, 1, 2]
+
+
+def test_parity_maps_lose_no_similar_pair():
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    for n in (1, 5, 200, 3000):
+        a = r.integers(0, 2**63, n).astype(np.uint64)
+        b = np.r_[a[n // 10:], r.integers(0, 2**63, n // 10).astype(np.uint64)]
+        small, large = simhash.wide_map(a[:n // 2 + 1]), simhash.wide_map(b)
+        folded = np.bitwise_xor.reduce(large.reshape(-1, len(small)), axis=0)
+        assert (folded == simhash.parity_map(b, len(small))).all()
+        apart = len(set(a.tolist()) ^ set(b.tolist()))
+        assert np.bitwise_count(simhash.parity_map(a) ^ simhash.parity_map(b)).sum() <= apart
+        assert np.bitwise_count(simhash.wide_map(a) ^ simhash.wide_map(b)).sum() <= apart
