@@ -1,8 +1,8 @@
 """Secret scans with a guess-cost dynamic program.
 
 Three fixed patterns find assignments, access keys and long hex runs. Besides, the
-value in every credential context (a named assignment of any form, or the password
-of a URL) is priced: the number of guesses that the cheapest split into words, dates,
+value in every credential context (a named assignment of any form, a bearer token, or
+the password of a URL) is priced: the number of guesses that the cheapest split into words, dates,
 repeats, keyboard walks and brute-force spans needs. Values that cost enough are
 secrets whatever their alphabet; `password: aaaaaaaa` is not.
 """
@@ -28,11 +28,13 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # the runs of 24 and more
 LEAST_VALUE, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 KINDS = ("assign", "access", "hex", "guess")
 
-#: Names that announce a credential, and the password of a URL; group 1 or 2 is the value.
+#: Names that announce a credential, a bearer token, and the password of a URL; the last group
+#: is the value. A quoted value goes to its closing quote on the line, if there is one.
 CONTEXT = re.compile(
     r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|(?:access|private|auth|client)[_-]?(?:key|secret|token)|credentials?|bearer)"""
-    r"""["']?[\x20\t]*(?:=>|:=|[:=])[\x20\t]*["']?([^\s"'`,;<>]{6,})"""
-    r"""|://[^\s/:@]{1,64}:([^\s/@]{6,128})@""",
+    r"""["']?[\x20\t]*(?:=>|:=|[:=])[\x20\t]*(?:"((?:[^"\\\r\n]|\\.)*+)"|'((?:[^'\\\r\n]|\\.)*+)'|["']?(?:bearer[\x20\t]+)?([^\s"'`,;<>]{6,}))"""
+    r"""|bearer[\x20\t]+["']?([^\s"'`,;<>]{6,})"""
+    r"""|://[^\s/:@]*:([^\s/@]{6,})@""",
     re.ASCII | re.IGNORECASE,
 )
 CONTEXT_HINTS = (b"pass", b"pwd", b"secret", b"token", b"api", b"key", b"credential", b"bearer", b"://")
@@ -134,8 +136,8 @@ def priced_values(text: str) -> list[tuple[int, int, float]]:
     low = text.encode().lower()
     if not any(h in low for h in CONTEXT_HINTS):
         return []
-    at = [m.span(1) if m[1] is not None else m.span(2) for m in CONTEXT.finditer(text)]
-    return [(a, b, guess_cost(text[a:b])) for a, b in at]
+    at = [m.span(m.lastindex) for m in CONTEXT.finditer(text)]
+    return [(a, b, guess_cost(text[a:b])) for a, b in at if b - a >= LEAST_VALUE]
 
 
 def written(spans: list[tuple[int, int, int]]) -> str:

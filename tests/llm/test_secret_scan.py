@@ -67,3 +67,18 @@ def test_scan(spark):
     assert by[3].spans == "guess:8:20,assign:22:40"
     assert by[4].spans == "guess:10:20" and by[5].spans == "access:0:20" and by[0].spans == ""
     assert s.scan(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("text", "value"), [
+    ("https://bob:" + "x9Q!" * 33 + "@h", "x9Q!" * 33), ("redis://:xK9mQ2vL5z@host", "xK9mQ2vL5z"), ("ftp://" + "u" * 65 + ":xK9mQ2vL5z@host", "xK9mQ2vL5z"),
+    ("Authorization: Bearer xK9mQ2vL5z", "xK9mQ2vL5z"), ("token: Bearer xK9mQ2vL5z", "xK9mQ2vL5z"),
+    ('password="x,y;q7ZxK93mPw2" z', "x,y;q7ZxK93mPw2"), ("'pwd': 'a<b> \"7Zx'", 'a<b> "7Zx'), (r'secret="ab\"cdefgh"', r'ab\"cdefgh'),
+    ('password="xK9mQ2vL5z', "xK9mQ2vL5z"), ("pwd=xK9mQ2vL5z, next", "xK9mQ2vL5z"),
+])
+def test_whole_values_are_priced(text, value):
+    assert [text[a:b] for a, b, _ in s.priced_values(text)] == [value]
+
+
+def test_short_values_are_not_priced_and_open_quotes_take_linear_time():
+    assert s.priced_values('password="abc" token=\'\' pwd="') == []
+    assert len(s.priced_values("password='" + "a" * 200_000 + " token=\"" + "://a:" * 50_000)) == 2
