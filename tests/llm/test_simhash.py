@@ -161,6 +161,24 @@ def test_near_copies_with_one_word_set(spark):
     assert sorted(x.doc_id for x in left.collect()) == left_by_brute_force(rows) == [0, 1, 2]
 
 
+def appended_and_removed(r, groups):
+    rows = []
+    for _ in range(groups):
+        n = r.choice([30, 100, 200, 400])
+        base = [f"w{r.randrange(10**6)}" for _ in range(n)]
+        more = [f"w{r.randrange(10**6)}" for _ in range(n // 2)]
+        at = r.randrange(n // 2)
+        texts = [base, base + more[:int((n - 4) * r.uniform(0.18, 0.26))], base[:at] + base[at + int(n * r.uniform(0.13, 0.2)):]]
+        rows += [(len(rows) + i, " ".join(t)) for i, t in enumerate(texts)]
+    return rows
+
+
+def test_near_copies_with_appended_and_removed_passages(spark):
+    rows = appended_and_removed(random.Random(8), 60)
+    left = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(x.doc_id for x in left.collect()) == left_by_brute_force(rows)  # every near copy is found
+
+
 def test_parity_maps_lose_no_similar_pair():
     import numpy as np
 
