@@ -179,6 +179,17 @@ def test_near_copies_with_appended_and_removed_passages(spark):
     assert sorted(x.doc_id for x in left.collect()) == left_by_brute_force(rows)  # every near copy is found
 
 
+def test_large_buckets_are_dealt_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "FREQUENT", 10**9)
+    r = random.Random(9)
+    shared = [f"s{i}" for i in range(60)]
+    rows = [(k, " ".join(shared + [f"w{r.randrange(10**6)}" for _ in range(60)])) for k in range(40)]
+    rows += [(100 + k, " ".join([*t.split()[:-8], *(f"x{k}y{i}" for i in range(8))])) for k, t in rows]
+    df = spark.createDataFrame(rows, "row long, text string")
+    got = {x.node: x.root for x in simhash.components(simhash.similar_links(df, block=7)).collect()}
+    assert sorted({got.get(k, k) for k, _ in rows}) == left_by_brute_force(rows)
+
+
 def test_parity_maps_lose_no_similar_pair():
     import numpy as np
 
