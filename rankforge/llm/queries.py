@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankforge.llm import chat_format, exact_dedup, host_rules, lm_score, mixing, packing, quality, secret_scan, simhash, url_lists
+from rankforge.llm import (
+    chat_format, exact_dedup, host_rules, lm_score, merkle, mixing, packing, periodic, quality, secret_scan, sharding, simhash, url_lists,
+)
 from rankforge.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +77,18 @@ def op9_deleted_interpolation(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_guess_cost")
 def op10_guess_cost(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.scan(table(spark, folder, "documents"))
+
+
+@query("op11_hash_tree", sharding.SQL)
+def op11_hash_tree(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.assign_shards(table(spark, folder, "documents"))
+
+
+@query("op12_merkle_descent", merkle.SQL)
+def op12_merkle_descent(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.verify(table(spark, folder, "documents"))
+
+
+@query("op13_maximal_pairs")
+def op13_maximal_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic.run_digests(periodic.find_runs(periodic.planted(table(spark, folder, "documents"))))

@@ -19,6 +19,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with as many underscores behind it as no column of ``taken`` has (columns are
+    told apart without regard to case)."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def text_of(c: str | Column = "text") -> Column:
     """The text, or the empty text for null."""
     return F.coalesce(col(c).cast("string"), F.lit(""))
