@@ -3,9 +3,10 @@ do not depend on partitioning or retries."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankforge.functions.hashing import hash_key, hash_long, hash_uniform
@@ -79,59 +80,82 @@ def item_index(items: DataFrame) -> DataFrame:
     return placed.select("item_id", (F.col("_p") - 1).alias("idx"), "n_items")
 
 
+#: A prime below 2^31 and a multiplier: the mixing of a permutation's rounds, the same in
+#: any engine with 64-bit integers.
+PRIME, FACTOR, ROUNDS = 2147483647, 48271, 4
+
+
+def round_keys(*parts: Column | str | int) -> list[Column]:
+    """The keys of a permutation, from one digest of the parts."""
+    digest = hash_key(*parts)
+    return [F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("long") % PRIME for i in range(ROUNDS)]
+
+
+def permuted(place: Column, keys: Sequence[Column], rows: int, columns: int) -> Column:
+    """The number at ``place`` in a keyed permutation of 0 .. rows * columns - 1.
+
+    A number is a row and a column; in turn each is moved along by a hash of the other,
+    so every round can be undone."""
+    def moved(key: Column, other: Column) -> Column:
+        t = (other + key) % PRIME
+        return (t * t % PRIME * FACTOR + key) % PRIME
+
+    row, column = F.floor(place / columns), place % columns
+    for i, key in enumerate(keys):
+        if i % 2 == 0:
+            row = (row + moved(key, column)) % rows
+        else:
+            column = (column + moved(key, row)) % columns
+    return row * columns + column
+
+
 def draw_unseen(
     requests: DataFrame, seen: DataFrame, index: DataFrame, k: int, seed: int, request: str = "request"
 ) -> DataFrame:
     """k distinct items per request row (user_id, request) that the user has not
     seen, in random order ``draw_rank``; all unseen items when there are fewer.
 
-    Most requests are served by hashing draw numbers to item numbers: the work
-    grows with k, not with the catalog. Users who saw half of the catalog, and
-    requests whose draws ran dry, get an exact random order of their unseen items
-    instead; that costs about as much as listing what those users saw.
+    Every request has its own permutation of the item numbers and gets the first k
+    unseen ones. It is walked in windows: the first holds a little more than k places,
+    and only requests that are not served walk on, in windows of twice the size. Where
+    the windows end decides on the work, not on the result. Numbers beyond the last item
+    are passed over, and no item comes twice.
     """
-    size = index.agg(F.max("n_items").alias("n_items"))
+    n_items = (index.agg(F.max("n_items")).first()[0]) or 0
+    rows = max(1, math.isqrt(max(n_items - 1, 0)) + 1)
+    columns = max(1, -(-n_items // rows))
     seen = seen.select("user_id", "item_id").distinct()
-    counts = seen.groupBy("user_id").agg(F.count("*").alias("n_seen"))
-    edges = counts.agg(F.sum("n_seen").alias("_edges"))
-    hot_counts = attach(counts, edges)
-    asked = join_unique(
-        requests, hot_counts, ["user_id"], F.col("n_seen") * 1000 >= F.col("_edges"), [request]
-    ).drop("_edges")
-    asked = attach(asked.withColumn("n_seen", F.coalesce("n_seen", F.lit(0))), size)
-    left = F.col("n_items") - F.col("n_seen")
-    crowded = (F.col("n_seen") * 2 > F.col("n_items")) | (left < 4 * k)
-    asked = materialize(asked.withColumn("_full", crowded))
-
-    tries = F.when(F.col("n_seen") * 100 < F.col("n_items"), F.lit(2 * k + 6)).otherwise(
-        F.lit(4 * k + 40)
-    )
-    draws = (
-        asked.filter(~F.col("_full"))
-        .withColumn("_draw", F.explode(F.sequence(F.lit(0), tries - 1)))
-        .withColumn("idx", hash_long(seed, F.col("user_id"), F.col(request), F.col("_draw")) % F.col("n_items"))
-        .join(index.select("idx", "item_id"), "idx")
-        .join(seen, ["user_id", "item_id"], "left_anti")
-        .groupBy("user_id", request, "item_id")
-        .agg(F.min("_draw").alias("_draw"))
-    )
-    drawn = materialize(
-        top_k(draws, "_draw", k, ["user_id", request], rank="draw_rank", order=[F.col("_draw")])
-        .select("user_id", request, "item_id", "draw_rank")
-    )
-    served = drawn.groupBy("user_id", request).agg(F.count("*").alias("_got")).filter(F.col("_got") >= k)
-    dry = asked.join(served, ["user_id", request], "left_anti").select("user_id", request, "n_items")
-    listed = (
-        explode_range(dry, "idx", F.lit(0), F.col("n_items") - 1)
-        .join(index.select("idx", "item_id"), "idx")
-        .join(seen, ["user_id", "item_id"], "left_anti")
-        .withColumn("_h", hash_key(seed, F.col("user_id"), F.col(request), F.col("item_id")))
-    )
-    exact = top_k(
-        listed, "_h", k, ["user_id", request], rank="draw_rank", order=[F.col("_h"), F.col("item_id")]
-    ).select("user_id", request, "item_id", "draw_rank")
-    complete = drawn.join(served.select("user_id", request), ["user_id", request], "left_semi")
-    return complete.unionByName(exact)
+    names = [f"_k{i}" for i in range(ROUNDS)]
+    keys = round_keys(seed, F.col("user_id"), F.col(request))
+    open_ = requests.select("user_id", request, *[c.alias(n) for c, n in zip(keys, names)], F.lit(0).cast("long").alias("_have"))
+    start, width, parts = 0, k + k // 8 + 8, []
+    while True:
+        stop = min(start + width, rows * columns)
+        walked = explode_range(open_, "_place", F.lit(start), F.lit(stop - 1))
+        numbered = walked.select(
+            "user_id", request, "_have", "_place", permuted(F.col("_place"), [F.col(c) for c in names], rows, columns).alias("idx")
+        )
+        found = numbered.join(index.select("idx", "item_id"), "idx").join(seen, ["user_id", "item_id"], "left_anti")
+        ranked = top_k(found, "_place", k, ["user_id", request], rank="draw_rank", order=[F.col("_place")])
+        part = materialize(
+            ranked.withColumn("draw_rank", F.col("draw_rank") + F.col("_have")).filter(F.col("draw_rank") <= k)
+            .select("user_id", request, "item_id", F.col("draw_rank").cast("int").alias("draw_rank"))
+        )
+        parts.append(part)
+        if stop >= rows * columns:
+            break
+        reached = part.groupBy("user_id", request).agg(F.max("draw_rank").cast("long").alias("_now"))
+        open_ = materialize(
+            open_.join(reached, ["user_id", request], "left").withColumn("_have", F.coalesce("_now", "_have")).drop("_now")
+            .filter(F.col("_have") < k)
+        )
+        if open_.isEmpty():
+            break
+        start, width = stop, 2 * width
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def negative_samples(edges: DataFrame, index: DataFrame, seed: int) -> DataFrame:

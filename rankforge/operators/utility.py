@@ -11,7 +11,7 @@ from rankforge.functions import profiles as pf
 from rankforge.functions.hashing import hash_normal
 from rankforge.functions.scalars import clip
 from rankforge.operators.ordering import attach, min_max
-from rankforge.operators.ranking import top_k, top_k_of_unit_scores
+from rankforge.operators.ranking import top_k
 
 PROFILE_FIELDS = (
     "profile_idx", "profile", "brand_pref", "cat_affinity", "price_lo", "price_hi", "recency_weight",
@@ -134,44 +134,6 @@ def relative_shares(profiles: DataFrame) -> DataFrame:
     )
 
 
-def user_item_frame(items: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Every item with the category score and price taste of every selected user.
-
-    Shares are looked up once per user and category pair (the number of users is
-    the parameter of their selection). Items then meet them by their categories,
-    as narrow rows of numbers.
-    """
-    c = F.col
-    share = lambda m, k: F.coalesce(F.try_element_at(m, c(k)), F.lit(0.0))
-    cells = with_each(items.select("cat_lvl2", "cat_leaf").distinct(), profiles)
-    cells = cells.withColumn(
-        "_cat", 0.45 * share("cat_lvl2_affinity", "cat_lvl2") + 0.25 * share("cat_leaf_affinity", "cat_leaf")
-    ).drop("cat_lvl2_affinity", "cat_leaf_affinity")
-    return items.withColumn("_log_price", F.log1p("price")).join(cells, ["cat_lvl2", "cat_leaf"])
-
-
-def hidden_raw_for_users() -> Column:
-    """Unscaled utility of a row of ``user_item_frame``."""
-    c = F.col
-    fit = clip(1.0 - F.abs(c("_log_price") - c("log_price_center")) / c("log_price_spread"), 0, 1)
-    return c("_cat") + 0.20 * fit + 0.10 * _recency(c("recency_pct"), c("recency_pref"))
-
-
-def hidden_bounds(pairs: DataFrame) -> DataFrame:
-    """Range of the unscaled utility per user, one small row per task and user."""
-    raw = hidden_raw_for_users()
-    return pairs.select("user_id", raw.alias("_raw")).groupBy("user_id").agg(
-        F.min("_raw").alias("raw_lo"), F.max("_raw").alias("raw_hi")
-    )
-
-
-def hidden_utility_for_users(pairs: DataFrame, out: str = "hidden") -> DataFrame:
-    """Scaled utility of pairs that also carry the user's ``raw_lo``, ``raw_hi``."""
-    lo, hi = F.col("raw_lo"), F.col("raw_hi")
-    scaled = (hidden_raw_for_users() - lo) / (hi - lo + F.lit(1e-10))
-    return pairs.withColumn(out, F.when(hi <= lo, F.lit(0.5)).otherwise(scaled))
-
-
 def candidate_pool(
     scored: DataFrame, by: Sequence[str] = (), k: int = pf.TOP_K, n_hidden: int = 30
 ) -> DataFrame:
@@ -183,16 +145,16 @@ def candidate_pool(
 
 
 def candidate_pool_for_users(
-    hidden: DataFrame, topsis: DataFrame, train: DataFrame, users: DataFrame,
-    n_hidden: int = 250, n_topsis: int = 120,
+    hidden: DataFrame, topsis: DataFrame, train: DataFrame, users: DataFrame, n_topsis: int = 120
 ) -> DataFrame:
-    """Per user: best hidden utilities, best overall closeness, and own items."""
+    """Per user: best hidden utilities (``threshold.best_items``), best overall closeness,
+    and own items."""
     best = top_k(topsis, "topsis", n_topsis).select("item_id")
     listed = users.select("user_id").withColumn(
         "item_id", F.explode(best.select(F.collect_list("item_id")).scalar())
     )
     return (
-        top_k_of_unit_scores(hidden, "hidden", n_hidden, ["user_id"]).select("user_id", "item_id")
+        hidden.select("user_id", "item_id")
         .union(listed)
         .union(train.select("user_id", "item_id"))
         .distinct()

@@ -1,8 +1,8 @@
-"""Per-user external evaluation on learned profiles.
+"""Per-user external evaluation on learned profiles and logged visits.
 
-The number of users is the parameter of their selection (the busiest N). Only each
-user's candidates are kept, ranked and scored per epoch; the full user x item
-product is reduced to ranges inside the tasks that form it.
+Only pairs that are candidates, or that the log has, are ever formed: a user's utility
+over all items enters through its range, which bounds give (``operators.threshold``), and
+items that were never visited have the value zero.
 """
 
 from __future__ import annotations
@@ -14,55 +14,77 @@ from pyspark.sql import functions as F
 
 from rankforge.functions import profiles as pf
 from rankforge.functions.hashing import hash_key
-from rankforge.operators import blending, feedback, metrics, utility
-from rankforge.operators.ordering import min_max
+from rankforge.operators import blending, feedback, metrics, threshold, utility
+from rankforge.operators.ordering import attach, min_max, ordered_position
 from rankforge.operators.ranking import top_k
 from rankforge.session import materialize
 
 EPOCHS = (1, 2, 5, 10, 20, 30)
+N_HIDDEN = 250
 
 
-def ranged_profiles(items: DataFrame, profiles: DataFrame) -> DataFrame:
-    """The users with relative shares and the range of their utility over all items."""
-    relative = utility.relative_shares(profiles)
-    bounds = utility.hidden_bounds(utility.user_item_frame(items, relative))
-    return materialize(relative.join(bounds, "user_id"))
+def best_hidden(items: DataFrame, profiles: DataFrame, k: int = N_HIDDEN) -> tuple[DataFrame, DataFrame]:
+    """Each user's k items of the highest utility, and the profiles with relative shares and
+    the range of the utility over all items."""
+    relative = materialize(utility.relative_shares(profiles))
+    candidates = materialize(threshold.scored_candidates(relative, threshold.item_blocks(items), k))
+    ranges = threshold.utility_ranges(candidates)
+    ranged = materialize(relative.join(ranges, "user_id"))
+    return threshold.best_items(candidates, ranged.select("user_id", "raw_lo", "raw_hi"), k), ranged
 
 
-def hidden_frame(items: DataFrame, ranged: DataFrame) -> DataFrame:
-    """Scaled utility of every item for every selected user."""
-    pairs = utility.user_item_frame(items, ranged)
-    return utility.hidden_utility_for_users(pairs).select("user_id", *items.columns, "hidden")
+def visits_by_epoch(log: DataFrame, epochs: Sequence[int] = EPOCHS) -> DataFrame:
+    """(user_id, item_id, visits): visits of each pair as of every epoch, an array.
 
+    The last epoch ends with the user's last logged event, and the others at the same
+    share of the user's events: a log of n events reaches epoch e at event n * e / last.
+    Rows of ``log`` are (user_id, item_id, ts, event)."""
+    placed = ordered_position(log.select("user_id", "item_id", "ts", "event"), ["user_id"], ["ts", "event", "item_id"], "_at", "_n")
+    seen = [F.count_if(F.col("_at") * epochs[-1] <= F.col("_n") * e) for e in epochs]
+    return placed.groupBy("user_id", "item_id").agg(F.array(*seen).alias("visits"))
 
-def value_ranges(hidden: DataFrame, epochs: Sequence[int] = EPOCHS) -> DataFrame:
-    """(user, epoch, q_lo, q_hi) over all items of ``hidden``, which carries the
-    logged ``visits`` of each item; one pass for all epochs."""
-    per_epoch = [feedback.constant_reward_value(F.col("hidden"), F.col("visits") * e) for e in epochs]
-    wide = hidden.groupBy("user_id").agg(
-        F.array(*[
-            F.struct(F.lit(e).alias("epoch"), F.min(q).alias("q_lo"), F.max(q).alias("q_hi"))
-            for e, q in zip(epochs, per_epoch)
-        ]).alias("_r")
+
+def per_epoch(pairs: DataFrame, epochs: Sequence[int] = EPOCHS) -> DataFrame:
+    """Pairs with an array of visits to one row per epoch."""
+    rows = pairs.select("*", F.posexplode("visits").alias("_e", "_v")).drop("visits")
+    return rows.withColumn("epoch", F.element_at(F.array(*[F.lit(e) for e in epochs]), F.col("_e") + 1)).withColumnRenamed("_v", "visits").drop("_e")
+
+
+def value_ranges(visited: DataFrame, items: DataFrame, users: DataFrame, tau: float = pf.CONFIDENCE_TAU_EXTERNAL) -> DataFrame:
+    """(user_id, epoch, q_lo, q_hi, mean_lambda) over all items, from the visited pairs with
+    their ``hidden``, one row per epoch. Unvisited items have value and weight zero."""
+    q = feedback.constant_reward_value(F.col("hidden"), F.col("visits"))
+    sums = visited.groupBy("user_id", "epoch").agg(
+        F.min(q).alias("lo"), F.max(q).alias("hi"), F.count("*").alias("n"), F.sum(blending.gate(F.col("visits"), tau)).alias("_sum"),
+    )
+    sized = attach(utility.with_grid(users.select("user_id"), "epoch", EPOCHS), items.agg(F.count("*").alias("_items")))
+    all_seen = F.col("n") >= F.col("_items")
+    return sized.join(sums, ["user_id", "epoch"], "left").select(
+        "user_id", "epoch",
+        F.when(all_seen, F.col("lo")).otherwise(0.0).alias("q_lo"), F.coalesce(F.col("hi"), F.lit(0.0)).alias("q_hi"),
+        (F.coalesce("_sum", F.lit(0.0)) / F.col("_items")).alias("mean_lambda"),
     )
-    return wide.select("user_id", F.inline("_r"))
 
 
-def candidate_scores(hidden: DataFrame, topsis: DataFrame, candidates: DataFrame, epochs: Sequence[int] = EPOCHS) -> DataFrame:
-    """Scores of each user's candidates per epoch. Values and closeness are scaled
-    over all items, as the ranges are known before the candidates are cut out."""
-    ranges = value_ranges(hidden, epochs)
+def candidate_scores(
+    items: DataFrame, ranged: DataFrame, log: DataFrame, topsis: DataFrame, candidates: DataFrame, epochs: Sequence[int] = EPOCHS
+) -> DataFrame:
+    """Scores of each user's candidates per epoch. Values and closeness are scaled over all
+    items. The log counts for users with candidates and items of the table."""
+    users = ranged.select("user_id")
+    logged = log.join(users, "user_id", "left_semi").join(items.select("item_id"), "item_id", "left_semi")
+    visits = materialize(visits_by_epoch(logged, epochs))
+    visited = per_epoch(threshold.utility_of_pairs(visits, items, ranged), epochs)
+    ranges = value_ranges(visited, items, users)
     scaled = min_max(topsis.select("item_id", "topsis"), {"t_norm": "topsis"})
-    inside = (
-        hidden.select("user_id", "item_id", "hidden", "popularity_pct", "visits")
-        .join(candidates.select("user_id", "item_id"), ["user_id", "item_id"], "left_semi")
-        .join(scaled, "item_id")
-        .join(ranges, "user_id")
+    pairs = candidates.select("user_id", "item_id").join(visits, ["user_id", "item_id"], "left").withColumn(
+        "visits", F.coalesce("visits", F.array(*[F.lit(0).cast("long") for _ in epochs]))
     )
-    steps = F.col("visits") * F.col("epoch")
+    popular = items.select("item_id", "popularity_pct").join(scaled, "item_id")
     lo, hi = F.col("q_lo"), F.col("q_hi")
     return (
-        inside.withColumn("visits", steps)
+        per_epoch(threshold.utility_of_pairs(pairs, items, ranged).join(popular, "item_id"), epochs)
+        .join(ranges, ["user_id", "epoch"])
         .withColumn("q", feedback.constant_reward_value(F.col("hidden"), F.col("visits")))
         .withColumn("q_norm", F.when(hi <= lo, 0.5).otherwise((F.col("q") - lo) / (hi - lo + F.lit(1e-10))))
         .withColumn("lambda_q", blending.gate(F.col("visits"), pf.CONFIDENCE_TAU_EXTERNAL))

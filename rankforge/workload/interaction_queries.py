@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rankforge.operators import interactions as ix
-from rankforge.operators import sampling, utility
+from rankforge.operators import sampling, threshold, utility
 from rankforge.plans import external
 from rankforge.session import materialize
 from rankforge.workload import shapes as s
@@ -271,64 +271,182 @@ def external_topsis(spark, sf):
     return topsis(v.external_items(spark, sf)).select("item_id", "topsis")
 
 
+cte(
+    "user_pool",
+    "SELECT user_id, item_id FROM (" + s.top_sql("user_item_hidden", "hidden", external.N_HIDDEN, "user_id") + ") UNION SELECT t.user_id, b.item_id FROM taste t CROSS JOIN ("
+    + s.top_sql("external_topsis", "topsis", 120) + ") b UNION SELECT user_id, item_id FROM train_items",
+    "user_item_hidden", "external_topsis", "taste", "train_items",
+)
+
+
 @shared
 def ranged_profiles(spark, sf):
-    return external.ranged_profiles(v.external_items(spark, sf), v.learned_profiles(spark, sf))
+    return external.best_hidden(v.external_items(spark, sf), v.learned_profiles(spark, sf))[1]
 
 
-def hidden(spark, sf):
-    return external.hidden_frame(v.external_items(spark, sf), ranged_profiles(spark, sf))
+def user_pool(spark, sf):
+    best, _ = external.best_hidden(v.external_items(spark, sf), v.learned_profiles(spark, sf))
+    train = v.selected(spark, sf).filter("split = 'train'")
+    return utility.candidate_pool_for_users(best, external_topsis(spark, sf), train, v.learned_profiles(spark, sf))
 
 
-@query("hidden_utility_for_users", "P13 J6", "SELECT user_id, item_id, round(hidden, 6) AS hidden FROM user_item_hidden", "user_item_hidden")
-def hidden_utility_for_users(spark, sf):
-    ranged = external.ranged_profiles(v.external_items(spark, sf), v.learned_profiles(spark, sf))
-    return s.rounded(external.hidden_frame(v.external_items(spark, sf), ranged).select("user_id", "item_id", "hidden"))
+@query("hidden_best_for_users", "P13 U2", "SELECT user_id, item_id, rank, round(hidden, 6) AS hidden FROM (" + s.top_sql("user_item_hidden", "hidden", external.N_HIDDEN, "user_id") + ")", "user_item_hidden")
+def hidden_best_for_users(spark, sf):
+    """The items of the highest utility of every user, scaled over the whole catalog."""
+    best, _ = external.best_hidden(v.external_items(spark, sf), v.learned_profiles(spark, sf))
+    return s.rounded(best.select("user_id", "item_id", F.col("rank").cast("long").alias("rank"), "hidden"))
 
 
 @query(
-    "candidate_pool_for_users", "U2",
-    "SELECT user_id, item_id FROM (" + s.top_sql("user_item_hidden", "hidden", 250, "user_id") + ") UNION SELECT t.user_id, b.item_id FROM taste t CROSS JOIN ("
-    + s.top_sql("external_topsis", "topsis", 120) + ") b UNION SELECT user_id, item_id FROM train_items",
-    "user_item_hidden external_topsis taste train_items",
+    "hidden_utility_for_users", "P13 J6",
+    "SELECT user_id, item_id, round(hidden, 6) AS hidden FROM user_item_hidden JOIN user_pool USING (user_id, item_id)", "user_item_hidden user_pool",
 )
+def hidden_utility_for_users(spark, sf):
+    """The utility of every pair of the users' candidate pools, scaled over the whole catalog."""
+    pairs = threshold.utility_of_pairs(user_pool(spark, sf), v.external_items(spark, sf), ranged_profiles(spark, sf))
+    return s.rounded(pairs.select("user_id", "item_id", "hidden"))
+
+
+@query("candidate_pool_for_users", "U2", "SELECT user_id, item_id FROM user_pool", "user_pool")
 def candidate_pool_for_users(spark, sf):
-    train = v.selected(spark, sf).filter("split = 'train'")
-    return utility.candidate_pool_for_users(
-        hidden(spark, sf), external_topsis(spark, sf), train, v.learned_profiles(spark, sf)
+    return user_pool(spark, sf)
+
+
+def visit_log(spark, sf):
+    """What a user bought before the first item of the test split, liked or not."""
+    first = test_times(spark, sf)
+    lines = v.order_lines(spark, sf).select(
+        F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("item_id"), F.unix_timestamp("o_orderdate").alias("ts"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("event"),
     )
+    return lines.join(first, "user_id").filter("ts < first_test").drop("first_test")
 
 
-@shared
-def external_scores(spark, sf):
-    exposure = v.external_items(spark, sf).select("item_id", F.col("popularity").alias("visits"))
-    frame = hidden(spark, sf).join(exposure, "item_id")
-    return external.candidate_scores(frame, external_topsis(spark, sf), eval_pairs(spark, sf))
+def test_times(spark, sf):
+    return v.selected(spark, sf).filter("split = 'test'").groupBy("user_id").agg(F.min("ts").alias("first_test"))
 
 
 def test_rows(spark, sf):
     return v.selected(spark, sf).filter("split = 'test'").select("user_id", "item_id")
 
 
+@shared
+def external_scores(spark, sf):
+    return external.candidate_scores(
+        v.external_items(spark, sf), ranged_profiles(spark, sf), visit_log(spark, sf), external_topsis(spark, sf), eval_pairs(spark, sf)
+    )
+
+
 @shared
 def external_report(spark, sf):
     lists = materialize(external.candidate_lists(external_scores(spark, sf)))
     return external.evaluate(lists, test_rows(spark, sf), v.external_items(spark, sf))
 
 
-@query("external_evaluation", "E10 M4 T4 L4")
+_EPOCHS = ", ".join(f"({e})" for e in external.EPOCHS)
+_LAST = external.EPOCHS[-1]
+cte(
+    "visit_log",
+    """SELECT o_custkey AS user_id, l_partkey AS item_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, l_orderkey * 10 + l_linenumber, l_partkey) AS nth,
+  count(*) OVER (PARTITION BY o_custkey) AS n
+FROM order_lines JOIN (SELECT user_id, min(ts) AS first_test FROM selected_users WHERE split = 'test' GROUP BY user_id) t ON t.user_id = o_custkey
+WHERE epoch(o_orderdate) < first_test AND o_custkey IN (SELECT user_id FROM taste) AND l_partkey IN (SELECT item_id FROM external_items)""",
+    "order_lines", "selected_users", "taste", "external_items",
+)
+cte("epochs", f"SELECT epoch::INT AS epoch FROM (VALUES {_EPOCHS}) t(epoch)")
+cte(
+    "visit_marks",
+    f"SELECT user_id, item_id, epoch, count(*) AS visits FROM visit_log JOIN epochs ON nth * {_LAST} <= n * epoch GROUP BY user_id, item_id, epoch",
+    "visit_log", "epochs",
+)
+cte(
+    "external_values",
+    f"""SELECT *, {s.mm('q', 'user_id, epoch')} AS q_norm, avg(lambda_q) OVER (PARTITION BY user_id, epoch) AS mean_lambda FROM (
+SELECT h.*, e.epoch, hidden * (1 - pow(0.95::DOUBLE, coalesce(visits, 0))) AS q, 0.5 * (1 - exp(-coalesce(visits, 0) / 8.0::DOUBLE)) AS lambda_q
+FROM user_item_hidden h CROSS JOIN epochs e LEFT JOIN visit_marks m ON m.user_id = h.user_id AND m.item_id = h.item_id AND m.epoch = e.epoch)""",
+    "user_item_hidden", "epochs", "visit_marks",
+)
+cte(
+    "external_scores",
+    f"""SELECT *, 0.5 * q_norm + 0.5 * t_norm AS hybrid, lambda_q * q_norm + (1 - lambda_q) * t_norm AS gated FROM external_values
+JOIN (SELECT user_id, item_id FROM eval_pairs) USING (user_id, item_id) JOIN (SELECT item_id, topsis, {s.mm('topsis')} AS t_norm FROM external_topsis) USING (item_id)""",
+    "external_values", "eval_pairs", "external_topsis",
+)
+cte(
+    "external_lists",
+    " UNION ALL ".join(
+        s.top_sql("external_scores", c, 7, "user_id, epoch", f"user_id, epoch, '{m}' AS method, rank, item_id", order=o)
+        for m, c, o in (
+            ("random", "", "md5(concat_ws('|', 'random', user_id, epoch, item_id)), item_id"), ("popularity", "popularity_pct", None),
+            ("topsis_only", "topsis", None), ("rl_only", "q", None), ("hybrid", "hybrid", None), ("gated", "gated", None),
+        )
+    ),
+    "external_scores",
+)
+cte("external_truth", "SELECT user_id, item_id FROM selected_users WHERE split = 'test'", "selected_users")
+cte("external_metrics", s.metrics_sql("external_lists", "external_truth", "user_id, epoch, method", "user_id"), "external_lists", "external_truth")
+_PCT = ("price_pct", "quality_pct", "popularity_pct", "rating_pct", "recency_pct")
+cte(
+    "external_vectors", f"SELECT l.*, {', '.join(f'i.{c}' for c in _PCT)} FROM external_lists l JOIN external_items i USING (item_id)", "external_lists", "external_items",
+)
+cte(
+    "external_ild",
+    "SELECT user_id, epoch, method, avg(sqrt(" + " + ".join(f"pow(a.{c} - b.{c}, 2)" for c in _PCT) + """)) AS ild
+FROM external_vectors a JOIN external_vectors b USING (user_id, epoch, method) WHERE a.item_id < b.item_id GROUP BY user_id, epoch, method""",
+    "external_vectors",
+)
+cte(
+    "external_report",
+    "SELECT user_id, epoch, method, n_pred, n_truth, tp, f1, ndcg, coalesce(ild, 0) AS ild FROM external_metrics LEFT JOIN external_ild USING (user_id, epoch, method)",
+    "external_metrics", "external_ild",
+)
+
+
+@query(
+    "external_evaluation", "E10 M4 T4 L4",
+    "SELECT user_id, epoch::BIGINT AS epoch, method, n_pred, n_truth, tp, round(f1, 6) AS f1, round(ndcg, 6) AS ndcg, round(ild, 6) AS ild FROM external_report",
+    "external_report",
+)
 def external_evaluation(spark, sf):
     """F1, NDCG and ILD per (user, epoch, method) on sampled candidates."""
-    return external_report(spark, sf)
+    return s.rounded(external_report(spark, sf))
 
 
-@query("external_blend_curve", "E10 D5")
+cte(
+    "external_curve",
+    "SELECT * FROM external_scores CROSS JOIN (SELECT unnest([" + ", ".join(f"{x}::DOUBLE" for x in external.pf.LAMBDA_GRID) + f"]) AS lam) WHERE epoch = {_LAST}",
+    "external_scores",
+)
+cte(
+    "external_curve_lists",
+    s.top_sql("(SELECT user_id, lam, item_id, lam * q_norm + (1 - lam) * t_norm AS score FROM external_curve)", "score", 7, "user_id, lam", "user_id, lam, rank, item_id"),
+    "external_curve",
+)
+cte("external_curve_metrics", s.metrics_sql("external_curve_lists", "external_truth", "user_id, lam", "user_id"), "external_curve_lists", "external_truth")
+
+
+@query(
+    "external_blend_curve", "E10 D5",
+    "SELECT lam AS lambda_q, round(avg(f1), 6) AS f1, count(*) AS n_users FROM external_curve_metrics GROUP BY lam", "external_curve_metrics",
+)
 def external_blend_curve(spark, sf):
     curve = external.blend_curve(external_scores(spark, sf), test_rows(spark, sf))
-    return curve.groupBy("lambda_q").agg(F.avg("f1").alias("f1"), F.count("*").alias("n_users"))
+    return s.rounded(curve.groupBy("lambda_q").agg(F.avg("f1").alias("f1"), F.count("*").alias("n_users")))
 
 
-@query("external_gating", "E10 D4 D10")
+@query(
+    "external_gating", "E10 D4 D10",
+    f"""SELECT method, round(avg(f1), 6) AS f1, round(avg(ndcg), 6) AS ndcg, round(CASE WHEN method = 'gated' THEN any_value(l.mean_lambda) ELSE 0.5 END, 6) AS mean_lambda
+FROM external_report CROSS JOIN (SELECT avg(mean_lambda) AS mean_lambda FROM (SELECT DISTINCT user_id, mean_lambda FROM external_scores WHERE epoch = {_LAST})) l
+WHERE epoch = {_LAST} AND method IN ('hybrid', 'gated') GROUP BY method""",
+    "external_report external_scores",
+)
 def external_gating(spark, sf):
-    last = external_report(spark, sf).filter(F.col("epoch") == external.EPOCHS[-1])
-    return last.filter(F.col("method").isin("hybrid", "gated")).groupBy("method").agg(F.avg("f1").alias("f1"), F.avg("ndcg").alias("ndcg"))
+    """The static blend next to the gated one, with the mean weight over all items."""
+    from rankforge.operators.ordering import attach
+
+    last = external_report(spark, sf).filter(F.col("epoch") == _LAST)
+    means = external_scores(spark, sf).filter(F.col("epoch") == _LAST).groupBy("user_id").agg(F.first("mean_lambda").alias("m")).agg(F.avg("m").alias("m"))
+    rows = last.filter(F.col("method").isin("hybrid", "gated")).groupBy("method").agg(F.avg("f1").alias("f1"), F.avg("ndcg").alias("ndcg"))
+    weight = F.when(F.col("method") == "gated", F.col("m")).otherwise(external.pf.LAMBDA_Q)
+    return s.rounded(attach(rows, means).withColumn("mean_lambda", weight).drop("m"))

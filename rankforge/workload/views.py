@@ -33,22 +33,27 @@ COARSE = {
 
 
 def draws_sql(asks: str, seen: str, numbered: str, k: int, seed: int) -> str:
-    """(user_id, request, item_id, draw_rank): k unseen items per request by hashed draws;
-    requests that are crowded or run dry take the items by their own hash."""
-    unseen = f"NOT EXISTS (SELECT 1 FROM {seen} s WHERE s.user_id = x.user_id AND s.item_id = i.item_id)"
-    key = f"md5(concat_ws('|', {seed}, x.user_id, x.request, "
-    return f"""WITH a AS (SELECT q.user_id, q.request, coalesce(n_seen, 0) AS n_seen, (SELECT count(*) FROM {numbered}) AS n FROM {asks} q
-  LEFT JOIN (SELECT user_id, count(DISTINCT item_id) AS n_seen FROM {seen} GROUP BY user_id) c ON c.user_id = q.user_id),
-d AS (SELECT user_id, request, n, unnest(range(CASE WHEN n_seen * 100 < n THEN {2 * k + 6} ELSE {4 * k + 40} END)) AS draw
-  FROM a WHERE n_seen * 2 <= n AND n - n_seen >= {4 * k}),
-x AS (SELECT *, ('0x' || substring({key.replace('x.', '')}draw)), 1, 13))::BIGINT % n AS idx FROM d),
-r AS (SELECT *, row_number() OVER (PARTITION BY user_id, request ORDER BY draw) AS draw_rank FROM (
-  SELECT x.user_id, x.request, i.item_id, min(draw) AS draw FROM x JOIN {numbered} i ON i.idx = x.idx WHERE {unseen} GROUP BY x.user_id, x.request, i.item_id)),
-f AS (SELECT user_id, request FROM r WHERE draw_rank = {k}),
-e AS (SELECT x.user_id, x.request, i.item_id, row_number() OVER (PARTITION BY x.user_id, x.request ORDER BY {key}i.item_id)), i.item_id) AS draw_rank
-  FROM (SELECT user_id, request FROM a EXCEPT SELECT user_id, request FROM f) x CROSS JOIN {numbered} i WHERE {unseen})
-SELECT r.user_id, r.request, item_id, draw_rank FROM r JOIN f ON f.user_id = r.user_id AND f.request = r.request WHERE draw_rank <= {k}
-UNION ALL SELECT user_id, request, item_id, draw_rank FROM e WHERE draw_rank <= {k}"""
+    """(user_id, request, item_id, draw_rank): the first k unseen items of each request's keyed
+    permutation, which lie within k + seen + spare places."""
+    def key(i: int) -> str:
+        return f"('0x' || substring(h, {8 * i + 1}, 8))::BIGINT % 2147483647"
+
+    def moved(k: str, x: str) -> str:
+        t = f"(({x} + {k}) % 2147483647)"
+        return f"(({t} * {t} % 2147483647 * 48271 + {k}) % 2147483647)"
+
+    return f"""WITH size AS (SELECT n, a, ceil(n / a)::BIGINT AS b FROM (SELECT count(*) AS n, ceil(sqrt(count(*)))::BIGINT AS a FROM {numbered})),
+q AS (SELECT q.user_id, q.request, a, b, least(a * b, {k} + coalesce(n_seen, 0) + a * b - n) AS w, md5(concat_ws('|', {seed}, q.user_id, q.request)) AS h
+  FROM {asks} q CROSS JOIN size LEFT JOIN (SELECT user_id, count(DISTINCT item_id) AS n_seen FROM {seen} GROUP BY user_id) c ON c.user_id = q.user_id),
+p0 AS (SELECT user_id, request, a, b, {key(0)} AS k0, {key(1)} AS k1, {key(2)} AS k2, {key(3)} AS k3, unnest(range(w)) AS place FROM q),
+p1 AS (SELECT *, (place // b + {moved('k0', '(place % b)')}) % a AS r1, place % b AS c0 FROM p0),
+p2 AS (SELECT *, (c0 + {moved('k1', 'r1')}) % b AS c1 FROM p1),
+p3 AS (SELECT *, (r1 + {moved('k2', 'c1')}) % a AS r2 FROM p2),
+p4 AS (SELECT user_id, request, place, r2 * b + (c1 + {moved('k3', 'r2')}) % b AS idx FROM p3),
+f AS (SELECT p4.user_id, p4.request, i.item_id, place FROM p4 JOIN {numbered} i ON i.idx = p4.idx
+  WHERE NOT EXISTS (SELECT 1 FROM {seen} s WHERE s.user_id = p4.user_id AND s.item_id = i.item_id))
+SELECT user_id, request, item_id, draw_rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id, request ORDER BY place) AS draw_rank FROM f) WHERE draw_rank <= {k}"""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
