@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankforge.llm import exact_dedup, mixing, packing, quality, simhash
+from rankforge.llm import exact_dedup, mixing, near_copies, packing, quality
 from rankforge.llm.shared import table
 from rankforge.session import materialize
 
@@ -29,7 +29,7 @@ def different_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the smallest id."""
-    return simhash.drop_near_copies(docs)
+    return near_copies.drop_near_copies(docs)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
