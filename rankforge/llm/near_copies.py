@@ -125,7 +125,7 @@ def _keyed(large):
 # pairs
 
 def _apart(f: np.ndarray, g: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(f ^ g).sum(axis=-1, dtype=np.int64)
+    return np.bitwise_count((f ^ g).view(np.uint64)).sum(axis=-1, dtype=np.int64)  # of signed numbers it counts the absolute value's bits
 
 
 def led(root: np.ndarray, row: np.ndarray, f: np.ndarray, bits: int) -> list[np.ndarray]:

@@ -134,7 +134,7 @@ def forest(fps: np.ndarray, bits: int = BITS) -> list[tuple[int, int]]:
         todo, left = [left[0]], left[1:]
         while todo and len(left):
             at = todo.pop()
-            near = np.bitwise_count(left ^ at) <= bits
+            near = np.bitwise_count((left ^ at).view(np.uint64)) <= bits
             if near.any():
                 todo.extend(left[near])
                 links += [(int(at), int(x)) for x in left[near]]
@@ -186,7 +186,7 @@ def _bucket_links(bits: int, block: int):
         starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         sizes = np.diff(np.r_[starts, len(keys)])
         two = starts[sizes == 2]
-        near = two[np.bitwise_count(fps[two] ^ fps[two + 1]) <= bits]
+        near = two[np.bitwise_count((fps[two] ^ fps[two + 1]).view(np.uint64)) <= bits]
         if len(near):
             yield out(fps[near], fps[near + 1], [None] * len(near))
         for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):

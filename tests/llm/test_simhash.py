@@ -203,3 +203,10 @@ def test_parity_maps_lose_no_similar_pair():
         apart = len(set(a.tolist()) ^ set(b.tolist()))
         assert np.bitwise_count(simhash.parity_map(a) ^ simhash.parity_map(b)).sum() <= apart
         assert np.bitwise_count(simhash.wide_map(a) ^ simhash.wide_map(b)).sum() <= apart
+
+
+def test_the_sign_bit_is_a_bit_like_others():
+    import numpy as np
+
+    fps = np.array([0b1, -(1 << 63), -(1 << 63) + 0b110, -1], np.int64)
+    assert {frozenset(x) for x in simhash.forest(fps)} == {frozenset((1, -(1 << 63))), frozenset((-(1 << 63), -(1 << 63) + 6))}
