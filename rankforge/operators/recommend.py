@@ -13,6 +13,7 @@ from rankforge.functions.scalars import dot
 from rankforge.operators.interactions import with_degree
 from rankforge.operators.ordering import attach, explode_range, join_unique, ordered_position
 from rankforge.operators.ranking import score_order, top_k
+from rankforge.operators.inner_product import dense_ids, largest_inner_products
 from rankforge.operators.utility import with_each
 from rankforge.session import materialize
 
@@ -305,20 +306,26 @@ def content_top_k(
     return masked_top_k(scored.select("user_id", "item_id", score.alias("score")), edges, "score", k)
 
 
-def implicit_factors(edges: DataFrame, rank: int = 16, iterations: int = 5, seed: int = 7):
-    """Alternating least squares on implicit feedback (ids must fit an int)."""
+def implicit_factors(edges: DataFrame, rank: int = 16, iterations: int = 5, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+    """Alternating least squares on implicit feedback: (user_id, x) and (item_id, x). Ids of
+    any integer size are numbered first."""
+    pairs = edges.select("user_id", "item_id").distinct()
+    users, items = (materialize(dense_ids(pairs, c)) for c in ("user_id", "item_id"))
+    numbered = pairs.join(users.withColumnRenamed("number", "u"), "user_id").join(items.withColumnRenamed("number", "i"), "item_id")
     als = ALS(
-        userCol="user_id", itemCol="item_id", ratingCol="r", implicitPrefs=True, rank=rank,
+        userCol="u", itemCol="i", ratingCol="r", implicitPrefs=True, rank=rank,
         maxIter=iterations, regParam=0.05, alpha=10.0, seed=seed, coldStartStrategy="drop",
     )
-    return als.fit(edges.select(F.col("user_id").cast("int"), F.col("item_id").cast("int"), F.lit(1.0).alias("r")))
+    # The order of the rows decides how sums of single floats are rounded.
+    ordered = materialize(numbered.select("u", "i", F.lit(1.0).alias("r")).repartitionByRange("u", "i").sortWithinPartitions("u", "i"))
+    model = als.fit(ordered)
+    named = lambda factors, ids, c: factors.join(ids, factors["id"] == ids["number"]).select(c, F.col("features").cast("array<double>").alias("x"))
+    return materialize(named(model.userFactors, users, "user_id")), materialize(named(model.itemFactors, items, "item_id"))
 
 
-def factor_top_k(model, edges: DataFrame, candidates: DataFrame, k: int = LIST_K) -> DataFrame:
-    """Rank candidate pairs by the factor model, own items masked."""
-    pairs = candidates.select(F.col("user_id").cast("int"), F.col("item_id").cast("int"))
-    scored = model.transform(pairs).select("user_id", "item_id", F.col("prediction").cast("double").alias("score"))
-    return masked_top_k(scored, edges, "score", k)
+def factor_top_k(factors: tuple[DataFrame, DataFrame], seen: DataFrame, k: int = LIST_K, rank: int = 16) -> DataFrame:
+    """Each user's k unseen items of the highest factor score, among all items."""
+    return largest_inner_products(*factors, seen, k, rank)
 
 
 def bipartite_edges(edges: DataFrame) -> DataFrame:
@@ -370,13 +377,4 @@ def propagate(edges: DataFrame, vectors: DataFrame, dim: int, rounds: int = 2) -
     )
 
 
-def dot_scores(pairs: DataFrame, user_vectors: DataFrame, item_vectors: DataFrame) -> DataFrame:
-    """Dot product of candidate (user, item) pairs."""
-    return (
-        pairs.select("user_id", "item_id")
-        .join(user_vectors.select("user_id", F.col("x").alias("_u")), "user_id")
-        .join(item_vectors.select("item_id", F.col("x").alias("_i")), "item_id")
-        .select("user_id", "item_id", dot(F.col("_u"), F.col("_i")).alias("score"))
-    )
-
 

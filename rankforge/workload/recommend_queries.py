@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rankforge.functions.profiles import FEATURES, LIST_K
 from rankforge.operators import interactions as ix
-from rankforge.operators import metrics, recommend, sampling
+from rankforge.operators import inner_product, metrics, recommend, sampling
 from rankforge.operators.ranking import top_k
 from rankforge.session import materialize
 from rankforge.workload import shapes as s
@@ -93,10 +93,14 @@ def popularity_recommender(spark, sf):
     return out(popularity_lists(spark, sf))
 
 
+def topsis_lists(spark, sf):
+    seen = train(spark, sf)
+    return recommend.masked_global_top_k(s.item_topsis(spark, sf), seen, seen, "topsis", K)
+
+
 @query("topsis_recommender", "R3 J4 T5", "SELECT user_id, rank, item_id FROM topsis_lists", "topsis_lists")
 def topsis_recommender(spark, sf):
-    seen = train(spark, sf)
-    return out(recommend.masked_global_top_k(s.item_topsis(spark, sf), seen, seen, "topsis", K))
+    return out(topsis_lists(spark, sf))
 
 
 UNIT = [f"{c} / nrm AS x{i}" for i, c in enumerate(FEATURES)]
@@ -190,18 +194,14 @@ def user_knn_recommender(spark, sf):
 
 
 @shared
-def candidates(spark, sf):
-    """Unseen items that share a user with something the user has."""
+def factor_lists(spark, sf):
     seen = train(spark, sf)
-    reach = recommend.mirrored(pairs(spark, sf), "n_shared").select("item_id", "other")
-    found = seen.join(reach, "item_id").select("user_id", F.col("other").alias("item_id")).distinct()
-    return recommend.mask_seen(found, seen)
+    return recommend.factor_top_k(recommend.implicit_factors(seen), seen, K)
 
 
 @query("factor_recommender", "R7")
 def factor_recommender(spark, sf):
-    seen = train(spark, sf)
-    return recommend.factor_top_k(recommend.implicit_factors(seen), seen, candidates(spark, sf), K)
+    return out(factor_lists(spark, sf))
 
 
 cte(
@@ -260,8 +260,9 @@ def graph_propagation(spark, sf):
 
 cte(
     "dot_lists",
-    user_top("(SELECT c.user_id, c.item_id, list_sum(list_transform(range(1, 65), lambda i: u.x[i] * t.x[i])) AS score FROM item_knn_scores c JOIN propagated u ON u.node = 'u' || c.user_id JOIN propagated t ON t.node = 'i' || c.item_id)"),
-    "item_knn_scores", "propagated",
+    user_top("""(SELECT u.user_id, t.item_id, list_dot_product(u.x, t.x) AS score FROM (SELECT user_id, x FROM du JOIN propagated ON node = 'u' || user_id) u
+CROSS JOIN (SELECT item_id, x FROM di JOIN propagated ON node = 'i' || item_id) t WHERE NOT EXISTS (SELECT 1 FROM tr WHERE tr.user_id = u.user_id AND tr.item_id = t.item_id))"""),
+    "propagated", "du", "di", "tr",
 )
 
 
@@ -270,8 +271,7 @@ def dot_lists(spark, sf):
     pick = lambda letter, name: vectors.filter(F.col("node").startswith(letter)).select(
         F.substring("node", 2, 40).cast("long").alias(name), "x"
     )
-    scored = recommend.dot_scores(candidates(spark, sf), pick("u", "user_id"), pick("i", "item_id"))
-    return top_k(scored, "score", K, ["user_id"])
+    return inner_product.largest_inner_products(pick("u", "user_id"), pick("i", "item_id"), train(spark, sf), K, DIM)
 
 
 @query("dot_product_recommender", "R10 R9 J6", "SELECT user_id, rank, item_id FROM dot_lists", "dot_lists")
@@ -279,7 +279,7 @@ def dot_product_recommender(spark, sf):
     return out(dot_lists(spark, sf))
 
 
-MODELS = ("random", "popularity", "content", "item_knn", "user_knn")
+MODELS = ("random", "popularity", "topsis", "content", "item_knn", "user_knn")
 cte(
     "model_lists",
     " UNION ALL ".join(f"SELECT '{m}' AS model, user_id, rank, item_id FROM {m}_lists" for m in MODELS),
@@ -290,7 +290,8 @@ cte(
 @shared
 def model_lists(spark, sf):
     parts = {
-        "random": random_lists(spark, sf), "popularity": popularity_lists(spark, sf), "content": content_lists(spark, sf),
+        "random": random_lists(spark, sf), "popularity": popularity_lists(spark, sf), "topsis": topsis_lists(spark, sf),
+        "content": content_lists(spark, sf),
         "item_knn": item_knn_lists(spark, sf), "user_knn": user_knn_lists(spark, sf),
     }
     rows = None
@@ -335,7 +336,7 @@ def best_hit_metrics(spark, sf):
 
 
 @query(
-    "leaderboard", "E6 E4 A10 R1 R2 R4 R5 R6",
+    "leaderboard", "E6 E4 A10 R1 R2 R3 R4 R5 R6",
     """SELECT model, round(sum(hit) / (SELECT count(DISTINCT user_id) FROM tr), 6) AS hit, round(sum(ndcg) / (SELECT count(DISTINCT user_id) FROM tr), 6) AS ndcg, round(sum(mrr) / (SELECT count(DISTINCT user_id) FROM tr), 6) AS mrr,
   any_value(round(cov, 6)) AS coverage FROM (SELECT l.model, CASE WHEN t.item_id IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END AS hit, CASE WHEN t.item_id IS NOT NULL THEN 1 / log2(rank + 1.0::DOUBLE) ELSE 0 END AS ndcg,
   CASE WHEN t.item_id IS NOT NULL THEN 1.0::DOUBLE / rank ELSE 0 END AS mrr FROM model_lists l LEFT JOIN te t ON t.user_id = l.user_id AND t.item_id = l.item_id) m
@@ -347,6 +348,15 @@ def leaderboard(spark, sf):
     return s.rounded(metrics.leaderboard(model_lists(spark, sf), test(spark, sf), seen, v.items(spark, sf)))
 
 
+@query("leaderboard_with_factors", "E6 E4 A10 R7")
+def leaderboard_with_factors(spark, sf):
+    """All seven models; a trained model is beyond SQL."""
+    seen = train(spark, sf)
+    factor = factor_lists(spark, sf).select(F.lit("factor").alias("model"), "user_id", F.col("rank").cast("long").alias("rank"), "item_id")
+    lists = model_lists(spark, sf).unionByName(factor)
+    return s.rounded(metrics.leaderboard(lists, test(spark, sf), seen, v.items(spark, sf)))
+
+
 @query("user_item_pairs", "J6 R10", "SELECT user_id, item_id FROM item_knn_scores", "item_knn_scores")
 def user_item_pairs(spark, sf):
     seen = train(spark, sf)
