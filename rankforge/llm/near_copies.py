@@ -5,17 +5,19 @@ Two texts are near copies if shingles of ``SHINGLE`` words that both have cover
 alike but covers more than nine tenths of the words, so edited copies are reached; texts
 that only share passages are not.
 
-A fingerprint has 128 bits, each the sign of a sum over all words of the text, so an
-edit moves few bits. Its first three segments of 23 bits are decoded to Golay indices, up
+A fingerprint has 133 bits, each the sign of a sum over all words of the text, so an
+edit moves few bits. Three segments of 23 bits are decoded to Golay indices, up
 to six each (``simhash.golay_indices``), and a key is one index of two segments: the wrong
 bits would have to spoil two segments of three to hide a pair. Texts meet in the buckets
-of their keys, and those at most ``BITS`` bits apart are verified on their words.
+of their keys, and those at most ``BITS`` of the other 64 bits apart are near and verified on
+their words.
 
 Pairs stay in proportion to texts. In a bucket every text is first tried with the first
 text that is near it. What is verified becomes one group, and where near texts of a
 bucket are still in several groups, one text of each is tried with the first of another
 choice, round after round until a round finds nothing. Only then are the near pairs left
-between groups tried one by one, so none is left out.
+between groups tried one by one, so none is left out. All keys are shuffled once; what
+follows works on the texts that are near another one in a bucket.
 
 A bucket that holds very many texts is found on a sample of texts and dealt into cells
 before anything is shuffled; cells of one bucket come together through their groups.
@@ -23,7 +25,7 @@ before anything is shuffled; cells of one bucket come together through their gro
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -37,35 +39,39 @@ from rankforge.llm.simhash import components, golay_indices
 from rankforge.session import materialize
 
 SHINGLE, COVERED = 5, 0.8
-BITS, SEGMENTS, SEED = 24, 3, 42
+BITS, SEGMENTS, SEED = 16, 3, 42
+#: Bits of a key: the number of the two segments, and an index of each.
+KEY_BITS = 26
 #: Texts of a cell of a large bucket.
 CELL = 2048
 #: One text in SAMPLE is counted to find large buckets. At most MOST of them are dealt into cells;
 #: the others hold less than one in MOST of all keys each.
 SAMPLE, MOST = 16, 1 << 16
 PAIR = "a long, b long"
-SIGNED = "row long, d0 long, d1 long, f0 long, f1 long"
-KEYED = "key long, cell int, root long, row long, f0 long, f1 long"
+SIGNED = "row long, d0 long, d1 long, s0 long, s1 long, f long"
+KEYED = "key long, row long, f long"
+MET = "key long, row long, f long, first long"
 
 
 # fingerprints
 
 def word_bits(words: list[bytes]) -> np.ndarray:
-    """128 signs, -1 or 1, of every word."""
-    raw = np.frombuffer(b"".join(xxhash.xxh3_128_digest(w, SEED) for w in words), np.uint8)
-    return np.unpackbits(raw).reshape(-1, 128).astype(np.int8) * 2 - 1
+    """192 signs, -1 or 1, of every word."""
+    raw = np.frombuffer(b"".join(h(w, SEED) for w in words for h in (xxhash.xxh3_128_digest, xxhash.xxh64_digest)), np.uint8)
+    return np.unpackbits(raw).reshape(-1, 192).astype(np.int8) * 2 - 1
 
 
 def fingerprints(texts: list[list[bytes]]) -> np.ndarray:
-    """Two 64-bit numbers for every text: the signs of its words' sums; zero without words."""
+    """Three 64-bit numbers for every text, the signs of its words' sums (zero without words):
+    two that hold the segments, and the one to compare."""
     numbers: dict[bytes, int] = {}
     ids = [np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words)) for words in texts]
-    signs = word_bits(list(numbers)) if numbers else np.empty((0, 128), np.int8)
-    sums = np.zeros((len(texts), 128), np.int64)
+    signs = word_bits(list(numbers)) if numbers else np.empty((0, 192), np.int8)
+    sums = np.zeros((len(texts), 192))
     for i, own in enumerate(ids):
         if len(own):
             which, counts = np.unique(own, return_counts=True)
-            sums[i] = counts @ signs[which].astype(np.float32)  # exact: sums stay far below 2^24 a slice
+            sums[i] = counts.astype(np.float64) @ signs[which]
     return np.packbits(sums > 0, axis=1).view(">i8").astype(np.int64)
 
 
@@ -80,16 +86,16 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts = [_words(t.as_py()) for t in batch.column(1)[lo:lo + 256]]
             digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b" ".join(w)) for w in texts), np.int64).reshape(-1, 2)
             prints = fingerprints(texts)
-            yield pa.record_batch([batch.column(0)[lo:lo + 256], *(pa.array(np.ascontiguousarray(c)) for x in (digests, prints) for c in x.T)], names=["row", "d0", "d1", "f0", "f1"])
+            yield pa.record_batch([batch.column(0)[lo:lo + 256], *(pa.array(np.ascontiguousarray(c)) for x in (digests, prints) for c in x.T)], names=["row", "d0", "d1", "s0", "s1", "f"])
 
 
-def copy_keys(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of all different keys of every fingerprint (rows of two numbers)."""
-    low, high = (f[:, i].view(np.uint64) for i in (0, 1))
+def copy_keys(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of all different keys of every pair of numbers that hold the segments."""
+    low, high = low.view(np.uint64), high.view(np.uint64)
     mask = np.uint64((1 << 23) - 1)
     indices = [golay_indices((x >> np.uint64(s) & mask).astype(np.int64)) for x, s in ((low, 0), (low, 23), (high, 0))]
     keys = np.concatenate([
-        n << 24 | (indices[i][:, :, None] << 12 | indices[j][:, None, :]).reshape(len(f), 36) for n, (i, j) in enumerate(combinations(range(SEGMENTS), 2))
+        n << 24 | (indices[i][:, :, None] << 12 | indices[j][:, None, :]).reshape(len(low), 36) for n, (i, j) in enumerate(combinations(range(SEGMENTS), 2))
     ], axis=1)
     keys.sort(axis=1)
     new = np.ones(keys.shape, bool)
@@ -104,20 +110,20 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def _keyed(large):
-    """Rows (row, root, f0, f1) to rows of KEYED; the cell is -1 but in large buckets."""
+    """Rows (row, s0, s1, f) to rows of KEYED; in large buckets the cell stands above the key."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, cells = large.value if large is not None else (np.empty(0, np.int64), np.empty(0, np.int64))
         for batch in batches:
-            row, root, f0, f1 = (batch.column(i).to_numpy() for i in range(4))
+            row, s0, s1, f = (batch.column(i).to_numpy() for i in range(4))
             for lo in range(0, len(row), 2048):
                 s = slice(lo, lo + 2048)
-                at, keys = copy_keys(np.c_[f0[s], f1[s]])
-                cell = np.full(len(keys), -1, np.int32)
+                at, keys = copy_keys(s0[s], s1[s])
                 if len(known):
                     spot = np.minimum(np.searchsorted(known, keys), len(known) - 1)
                     hit = known[spot] == keys
-                    cell[hit] = (_mixed(row[s][at[hit]]) % cells[spot[hit]].astype(np.uint64)).astype(np.int32)
-                yield pa.record_batch([pa.array(x) for x in (keys, cell, root[s][at], row[s][at], f0[s][at], f1[s][at])], names=["key", "cell", "root", "row", "f0", "f1"])
+                    cell = _mixed(row[s][at[hit]]) % cells[spot[hit]].astype(np.uint64)
+                    keys[hit] |= (cell.astype(np.int64) + 1) << KEY_BITS
+                yield pa.record_batch([pa.array(x) for x in (keys, row[s][at], f[s][at])], names=["key", "row", "f"])
 
     return run
 
@@ -125,81 +131,91 @@ def _keyed(large):
 # pairs
 
 def _apart(f: np.ndarray, g: np.ndarray) -> np.ndarray:
-    return np.bitwise_count((f ^ g).view(np.uint64)).sum(axis=-1, dtype=np.int64)  # of signed numbers it counts the absolute value's bits
+    return np.bitwise_count((f ^ g).view(np.uint64))  # of signed numbers it counts the absolute value's bits
 
 
-def led(root: np.ndarray, row: np.ndarray, f: np.ndarray, bits: int) -> list[np.ndarray]:
-    """Pairs of the first row left and all near rows of other roots, until no row is left;
-    rows near the first one leave with it."""
-    found, left = [], np.arange(len(row))
-    while len(left) > 1:
-        first, rest = left[0], left[1:]
-        near = _apart(f[rest], f[first]) <= bits
-        pairs = rest[near & (root[rest] != root[first])]
-        if len(pairs):
-            found.append(np.c_[np.full(len(pairs), row[first]), row[pairs]])
-        left = rest[~near]
-    return found
+def led(row: np.ndarray, f: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first row left takes all near rows with it, until none is left: whom each row left
+    with, and whether it is near any other row."""
+    first, near_any, left = row.copy(), np.zeros(len(row), bool), np.arange(len(row))
+    while len(left):
+        near = _apart(f, f[left[0]]) <= bits
+        near_any[left[0]] = np.count_nonzero(near) > 1
+        mine = near[left]
+        first[left[mine]] = row[left[0]]
+        near_any[left[mine][1:]] = True
+        left = left[~mine]
+    return first, near_any
 
 
-def crossed(root: np.ndarray, row: np.ndarray, f: np.ndarray, bits: int) -> list[np.ndarray]:
+def crossed(root: np.ndarray, row: np.ndarray, f: np.ndarray, bits: int) -> np.ndarray:
     """All near pairs of different roots; the root with most rows meets the others only."""
     roots, at, sizes = np.unique(root, return_inverse=True, return_counts=True)
-    found = []
+    found = [np.empty((0, 2), np.int64)]
     for r in np.argsort(sizes, kind="stable")[:-1]:
         for x in np.flatnonzero(at == r):
             near = np.flatnonzero((at != r) & (_apart(f, f[x]) <= bits))
-            if len(near):
-                found.append(np.c_[np.full(len(near), row[x]), row[near]])
+            found.append(np.c_[np.full(len(near), row[x]), row[near]])
         keep = at != r
-        root, row, f, at = root[keep], row[keep], f[keep], at[keep]
-    return found
-
-
-def _in_groups(n_keys: int, bits: int, pairs_of: Callable, as_rows: bool):
-    """Rows (``n_keys`` key columns, root, row, f0, f1), sorted by the keys, to the pairs that
-    ``pairs_of`` finds in each group; or, ``as_rows``, to the rows that are in such pairs or in
-    large buckets."""
-    def inside(cols) -> Iterator[pa.RecordBatch]:
-        keys, (root, row, f0, f1) = cols[:n_keys], cols[n_keys:]
-        f = np.c_[f0, f1]
-        new = np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)]
-        starts = np.flatnonzero(new)
-        sizes = np.diff(np.r_[starts, len(row)])
-        two = starts[sizes == 2]
-        two = two[(root[two] != root[two + 1]) & (_apart(f[two], f[two + 1]) <= bits)]
-        pairs, members = [np.c_[row[two], row[two + 1]]], [two, two + 1]
-        if as_rows:  # a cell knows only its part of a bucket
-            members.append(np.flatnonzero(keys[1] >= 0))
-        for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-            g = slice(s, s + n)
-            if (root[g] == root[s]).all() or as_rows and keys[1][s] >= 0:
-                continue
-            if found := pairs_of(root[g], row[g], f[g], bits):
-                pairs += found
-                if as_rows:
-                    members.append(s + np.flatnonzero(np.isin(row[g], np.concatenate(found))))
-        if as_rows:
-            take = np.unique(np.concatenate(members))
-            yield pa.record_batch([pa.array(x[take]) for x in cols], names=["key", "cell", "root", "row", "f0", "f1"])
-        else:
-            out = np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0)
-            yield pa.record_batch([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
+        row, f, at = row[keep], f[keep], at[keep]
+    return np.concatenate(found)
 
+
+def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+    """Columns, starts and sizes of whole groups from batches sorted by the first columns."""
+    def cut(cols):
+        starts = np.flatnonzero(np.r_[True, np.any([k[1:] != k[:-1] for k in cols[:n_keys]], axis=0)])
+        return cols, starts, np.diff(np.r_[starts, len(cols[0])])
+
+    kept = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        own = [c.to_numpy() for c in batch.columns]
+        cols = own if kept is None else [np.concatenate(x) for x in zip(kept, own)]
+        last = int(np.argmax(np.logical_and.reduce([k == k[-1] for k in cols[:n_keys]])))  # the last group may go on
+        if last:
+            yield cut([x[:last] for x in cols])
+        kept = [x[last:] for x in cols]
+    if kept is not None:
+        yield cut(kept)
+
+
+def _met(bits: int):
+    """Rows of KEYED, sorted by key, to the rows that are near another one in their bucket, or
+    lie in a large bucket, with the row each left with."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = None
-        for batch in batches:
-            if not len(batch):
-                continue
-            own = [batch.column(c).to_numpy() for c in range(n_keys + 4)]
-            cols = own if kept is None else [np.concatenate(x) for x in zip(kept, own)]
-            same = np.logical_and.reduce([k == k[-1] for k in cols[:n_keys]])
-            last = int(np.argmax(same))  # the last group may go on in the next batch
-            if last:
-                yield from inside([x[:last] for x in cols])
-            kept = [x[last:] for x in cols]
-        if kept is not None:
-            yield from inside(kept)
+        for (key, row, f), starts, sizes in _groups(batches, 1):
+            first, take = row.copy(), key >> KEY_BITS > 0
+            two = starts[sizes == 2]
+            two = two[_apart(f[two], f[two + 1]) <= bits]
+            first[two + 1], take[two], take[two + 1] = row[two], True, True
+            for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+                g = slice(s, s + n)
+                first[g], near = led(row[g], f[g], bits)
+                take[g] |= near
+            yield pa.record_batch([pa.array(x[take]) for x in (key & ((1 << KEY_BITS) - 1), row, f, first)], names=["key", "row", "f", "first"])
+
+    return run
+
+
+def _paired(n_keys: int, bits: int, every: bool):
+    """Rows (keys, root, row, f), sorted by the keys, to pairs of near rows with different
+    roots: all, or those of a row and the one it left with."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols, starts, sizes in _groups(batches, n_keys):
+            root, row, f = cols[n_keys:]
+            found = [np.empty((0, 2), np.int64)]
+            for s, n in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist()):
+                g = slice(s, s + n)
+                if every:
+                    found.append(crossed(root[g], row[g], f[g], bits))
+                else:
+                    first, _ = led(np.arange(n), f[g], bits)
+                    other = root[g] != root[g][first]
+                    found.append(np.c_[row[g][first][other], row[g][other]])
+            pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+            yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     return run
 
@@ -269,9 +285,11 @@ def _large_buckets(sets: DataFrame, cell: int):
 def near_roots(texts: DataFrame, least: float = COVERED, size: int = SHINGLE, bits: int = BITS, cell: int = CELL) -> DataFrame:
     """(row, root) for every row of (row, text): equal for rows that near copies connect."""
     signed = materialize(texts.select("row", "text").mapInArrow(_signed, SIGNED))
-    sets = materialize(signed.groupBy("d0", "d1").agg(F.min("row").alias("row"), F.first("f0").alias("f0"), F.first("f1").alias("f1")))
-    plain = sets.select("row", F.col("row").alias("root"), "f0", "f1")
-    large = _large_buckets(plain, cell)
+    prints = [F.first(c).alias(c) for c in ("s0", "s1", "f")]
+    sets = materialize(signed.groupBy("d0", "d1").agg(F.min("row").alias("row"), *prints))
+    plain = sets.select("row", "s0", "s1", "f")
+    keyed = plain.mapInArrow(_keyed(_large_buckets(plain, cell)), KEYED)
+    met = materialize(keyed.repartition("key").sortWithinPartitions("key", "row").mapInArrow(_met(bits), MET))
 
     def verified(pairs: DataFrame) -> DataFrame:
         involved = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
@@ -286,46 +304,43 @@ def near_roots(texts: DataFrame, least: float = COVERED, size: int = SHINGLE, bi
         return materialize(components(links).select(F.col("node").alias("row"), "root"))
 
     def with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
-        return rows.drop("root").join(roots, "row", "left").withColumn("root", F.coalesce("root", "row"))
+        return rows.join(roots, "row", "left").withColumn("root", F.coalesce("root", "row"))
 
-    def dealt(rows: DataFrame, keys: list[str], order: list, run) -> DataFrame:
-        return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, PAIR)
+    def dealt(rows: DataFrame, keys: list[str], order: list, every: bool) -> DataFrame:
+        ready = rows.select(*keys, "root", "row", "f").repartition(*keys).sortWithinPartitions(*keys, *order)
+        return ready.mapInArrow(_paired(len(keys), bits, every), PAIR).distinct()
 
-    keyed = plain.mapInArrow(_keyed(large), KEYED)
-    tried = materialize(dealt(keyed, ["key", "cell"], ["row"], _in_groups(2, bits, led, False)).distinct())
+    tried = materialize(met.filter("first <> row").select(F.least("first", "row").alias("a"), F.greatest("first", "row").alias("b")).distinct())
     links = verified(tried)
-    roots = grouped(links)
-    named = with_roots(plain, roots).select("row", "root", "f0", "f1")
-    waiting = named.mapInArrow(_keyed(large), KEYED).repartition("key", "cell").sortWithinPartitions("key", "cell", "row")
-    open_ = materialize(waiting.mapInArrow(_in_groups(2, bits, crossed, True), KEYED))
-    turn = 0
+    roots, open_, turn = grouped(links), met.select("key", "row", "f"), 0
     while True:  # one row of each group in a bucket, in another order each time
         turn += 1
-        now = with_roots(open_, roots)
+        now = with_roots(open_, roots).select("key", "row", "f", "root")
         ends = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
-        open_ = materialize(now.join(ends, "key", "left_semi").select("key", "cell", "root", "row", "f0", "f1"))
-        ones = open_.groupBy("key", "cell", "root").agg(F.min_by(F.struct("row", "f0", "f1"), F.xxhash64("row", F.lit(turn))).alias("one"))
-        # cells of a bucket meet through their groups, dealt anew in every turn
-        parts = open_.groupBy("key").agg(F.ceil(F.countDistinct("root") / cell).cast("int").alias("n"))
-        ones = ones.join(parts, "key").select("key", F.pmod(F.xxhash64("root", F.lit(turn)), "n").cast("int").alias("cell"), "root", "one.*")
-        pairs = dealt(ones, ["key", "cell"], [F.xxhash64("row", F.lit(turn))], _in_groups(2, bits, led, False)).distinct()
-        pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"))
+        named = materialize(now.join(ends, "key", "left_semi"))
+        open_ = named.select("key", "row", "f")
+        ones = named.groupBy("key", "root").agg(F.min_by(F.struct("row", "f"), F.xxhash64("row", F.lit(turn))).alias("one")).select("key", "root", "one.*")
+        # A bucket of very many groups is dealt into cells, anew in every turn.
+        parts = ones.groupBy("key").agg(F.ceil(F.count("*") / cell).cast("int").alias("n"))
+        ones = ones.join(parts, "key").withColumn("cell", F.pmod(F.xxhash64("root", F.lit(turn)), "n"))
+        pairs = materialize(dealt(ones, ["key", "cell"], [F.xxhash64("row", F.lit(turn))], False).join(tried, ["a", "b"], "left_anti"))
         more = verified(pairs)
         tried = tried.unionByName(pairs)
         if more.isEmpty():
             break
         links = links.unionByName(more)
         roots = grouped(links)
-    blocks = open_.groupBy("key").agg(F.ceil(F.count("*") / cell).cast("int").alias("n"))
-    met = (
-        open_.join(blocks, "key").withColumn("i", F.pmod(F.xxhash64("row"), "n").cast("int"))
+    blocks = named.groupBy("key").agg(F.ceil(F.count("*") / cell).cast("int").alias("n"))
+    last = (
+        named.join(blocks, "key").withColumn("i", F.pmod(F.xxhash64("row"), "n").cast("int"))
         .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-        .select("key", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "root", "row", "f0", "f1")
+        .withColumns({"i": F.least("i", "j"), "j": F.greatest("i", "j")})
     )
-    last = dealt(met, ["key", "i", "j"], ["row"], _in_groups(3, bits, crossed, False)).distinct()
-    links = links.unionByName(verified(materialize(last.join(tried, ["a", "b"], "left_anti"))))
-    low = with_roots(sets.select("row", "d0", "d1"), grouped(links)).select("d0", "d1", "root")
-    return signed.join(low, ["d0", "d1"]).select("row", "root")
+    rest = materialize(dealt(last, ["key", "i", "j"], ["row"], True).join(tried, ["a", "b"], "left_anti"))
+    more = verified(rest)
+    roots = roots if more.isEmpty() else grouped(links.unionByName(more))
+    low = with_roots(sets.select("row", "d0", "d1"), roots).select("d0", "d1", "root")
+    return signed.select("row", "d0", "d1").join(low, ["d0", "d1"]).select("row", "root")
 
 
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = COVERED, shingle: int = SHINGLE) -> DataFrame:
