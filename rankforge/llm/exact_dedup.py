@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankforge.llm.shared import col, text_of, without_spaces
+from rankforge.llm.shared import col, free_name, text_of, without_spaces
 from rankforge.operators.ordering import running_totals
 from rankforge.session import materialize
 
@@ -119,15 +119,17 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", block
 def drop_exact_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """The documents with one row of every group of equal texts left, the one that
     ``exact_groups`` keeps. A row is found by key, digest and length; rows that agree in
-    all three are the same to the rule, and one of them is left."""
+    all three are the same to the rule, and one of them is left. Other columns may have any
+    names and stay as they are."""
     bare = without_spaces(text)
-    about = {"_k": F.coalesce(col(key).cast("string"), F.lit("")), "_null": col(key).isNull(), "_sha": F.sha2(bare.cast("binary"), 256),
-             "_chars": F.length(text_of(text)).cast("long")}
+    k, null, sha, chars, nth = (free_name(n, docs.columns) for n in ("_k", "_null", "_sha", "_chars", "_nth"))
+    about = {k: F.coalesce(col(key).cast("string"), F.lit("")), null: col(key).isNull(), sha: F.sha2(bare.cast("binary"), 256),
+             chars: F.length(text_of(text)).cast("long")}
     rows = materialize(text_identities(docs, bare, {"key": col(key), **about}, block))
-    best = F.min_by(F.struct(*about), F.struct((-F.col("_chars")).alias("c"), F.col("_null").alias("u"), F.col("key").alias("k"), F.col("row").alias("r")))
+    best = F.min_by(F.struct(*about), F.struct((-F.col(chars)).alias("c"), F.col(null).alias("u"), F.col("key").alias("k"), F.col("row").alias("r")))
     stay = rows.groupBy("identity").agg(best.alias("_best")).select("_best.*")
     first = Window.partitionBy(*about).orderBy(F.lit(0))
-    return docs.withColumns(about).join(stay, list(about)).withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").select(*docs.columns)
+    return docs.withColumns(about).join(stay, list(about)).withColumn(nth, F.row_number().over(first)).filter(F.col(nth) == 1).select(*docs.columns)
 
 
 SQL = r"""

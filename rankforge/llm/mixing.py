@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankforge.functions.hashing import hash_key
-from rankforge.llm.shared import col, words_sql, word_count
+from rankforge.llm.shared import col, free_name, words_sql, word_count
 from rankforge.operators.ordering import attach, ordered_position, running_totals
 from rankforge.session import materialize
 
@@ -122,21 +122,26 @@ def repeat_documents(docs: DataFrame, mix: DataFrame, key: str = "doc_id", sourc
     """The documents as often as ``mix`` takes them, with their own columns only.
 
     Rows that agree in key, source and size are interchangeable for the mix; they are
-    numbered on both sides, and the rows with more copies go to the smaller texts.
+    numbered on both sides, and the rows with more copies go to the smaller texts. Other
+    columns of the documents may have any names.
     """
     size = word_count("text") if size is None else size
-    parts = {"_k": F.coalesce(col(key).cast("string"), F.lit("")), "_s": F.coalesce(col(source).cast("string"), F.lit("")),
-             "_e": col(key).isNull().cast("int") * 2 + col(source).isNull().cast("int")}
-    names = [*parts, "_size"]
-    left = docs.withColumns({**parts, "_size": size.cast("long")}).withColumn(
-        "_i", F.row_number().over(Window.partitionBy(*names).orderBy(F.xxhash64(*[F.col(c) for c in docs.columns])))
+    named = {}
+    for n in ("k", "s", "e", "size", "i", "copies", "copy"):
+        named[n] = free_name(f"_{n}", [*docs.columns, *mix.columns])
+    parts = {named["k"]: F.coalesce(col(key).cast("string"), F.lit("")), named["s"]: F.coalesce(col(source).cast("string"), F.lit("")),
+             named["e"]: col(key).isNull().cast("int") * 2 + col(source).isNull().cast("int")}
+    names = [*parts, named["size"]]
+    left = docs.withColumns({**parts, named["size"]: size.cast("long")}).withColumn(
+        named["i"], F.row_number().over(Window.partitionBy(*names).orderBy(F.xxhash64(*[F.col(c) for c in docs.columns])))
     )
-    right = mix.withColumns(parts).withColumn("_size", F.col("size")).withColumn(
-        "_i", F.row_number().over(Window.partitionBy(*names).orderBy(F.desc("copies")))
+    right = mix.withColumns({**parts, named["size"]: F.col("size"), named["copies"]: F.col("copies")}).withColumn(
+        named["i"], F.row_number().over(Window.partitionBy(*names).orderBy(F.desc(named["copies"])))
     )
+    taken = right.filter(F.col(named["copies"]) > 0).select(*names, named["i"], named["copies"])
     return (
-        left.join(right.filter("copies > 0").select(*names, "_i", "copies"), [*names, "_i"])
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+        left.join(taken, [*names, named["i"]])
+        .withColumn(named["copy"], F.explode(F.sequence(F.lit(1), F.col(named["copies"]).cast("int"))))
         .select(*docs.columns)
     )
 

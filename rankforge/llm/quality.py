@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from rankforge.llm.shared import col, fold, text_of
+from rankforge.llm.shared import free_name, col, fold, text_of
 
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
@@ -222,5 +222,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", tex
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The documents whose score reaches ``threshold``, with their own columns."""
-    return with_score(docs, train(docs, labels, key, text), text, "_score").filter(F.col("_score") >= threshold).select(*docs.columns)
+    """The documents whose score reaches ``threshold``, with their own columns, whatever their
+    names. Null and empty texts have the score of margin zero."""
+    score = free_name("score", docs.columns)
+    return with_score(docs, train(docs, labels, key, text), text, score).filter(F.col(score) >= threshold).select(*docs.columns)

@@ -105,3 +105,17 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert pipeline.run(spark, str(tmp_path)).count() == 0
     assert quality.score_documents(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet")).count() == 0
+
+
+CLASHES = ("_score", "score", "copies", "_copies", "_copy", "_i", "_k", "_s", "_e", "_size", "size", "_sha", "_nth", "_null", "_chars", "row", "_row", "root", "key")
+
+
+def test_columns_of_any_name_stay_as_they_are(spark, folder):
+    plain = spark.read.parquet(f"{folder}/documents.parquet").filter("doc_id is not null and length(text) < 9000").dropDuplicates(["doc_id"])
+    docs = plain.select("*", *[(plain.doc_id * 100 + n).alias(c) for n, c in enumerate(CLASHES)]).cache()
+    for name, stage in pipeline.STAGES[:-1]:
+        left = stage(spark, docs, folder)
+        assert left.columns == docs.columns
+        rows = left.collect()
+        assert rows and all(r[c] == r.doc_id * 100 + n for r in rows for n, c in enumerate(CLASHES)), name
+        assert Counter(r.doc_id for r in rows) == Counter(r.doc_id for r in stage(spark, plain.cache(), folder).collect()), name
