@@ -5,10 +5,10 @@ Two texts are near copies if shingles of ``SHINGLE`` words that both have cover
 alike but covers more than nine tenths of the words, so edited copies are reached; texts
 that only share passages are not.
 
-A fingerprint has 133 bits, each the sign of a sum over all words of the text, so an
-edit moves few bits. Three segments of 23 bits are decoded to Golay indices, up
+A fingerprint has 156 bits, each the sign of a sum over the different words of the text, so
+an edit moves few bits. Four segments of 23 bits are decoded to Golay indices, up
 to six each (``simhash.golay_indices``), and a key is one index of two segments: the wrong
-bits would have to spoil two segments of three to hide a pair. Texts meet in the buckets
+bits would have to spoil three segments of four to hide a pair. Texts meet in the buckets
 of their keys, and those at most ``BITS`` of the other 64 bits apart are near and verified on
 their words.
 
@@ -39,9 +39,9 @@ from rankforge.llm.simhash import components, golay_indices
 from rankforge.session import materialize
 
 SHINGLE, COVERED = 5, 0.8
-BITS, SEGMENTS, SEED = 16, 3, 42
+BITS, SEGMENTS, SEED = 14, 4, 42
 #: Bits of a key: the number of the two segments, and an index of each.
-KEY_BITS = 26
+KEY_BITS = 27
 #: Texts of a cell of a large bucket.
 CELL = 2048
 #: One text in SAMPLE is counted to find large buckets. At most MOST of them are dealt into cells;
@@ -62,16 +62,15 @@ def word_bits(words: list[bytes]) -> np.ndarray:
 
 
 def fingerprints(texts: list[list[bytes]]) -> np.ndarray:
-    """Three 64-bit numbers for every text, the signs of its words' sums (zero without words):
+    """Three 64-bit numbers for every text, the signs of its different words' sums (zero without):
     two that hold the segments, and the one to compare."""
     numbers: dict[bytes, int] = {}
     ids = [np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words)) for words in texts]
     signs = word_bits(list(numbers)) if numbers else np.empty((0, 192), np.int8)
-    sums = np.zeros((len(texts), 192))
+    sums = np.zeros((len(texts), 192), np.int64)
     for i, own in enumerate(ids):
         if len(own):
-            which, counts = np.unique(own, return_counts=True)
-            sums[i] = counts.astype(np.float64) @ signs[which]
+            sums[i] = signs[np.unique(own)].sum(axis=0, dtype=np.int32)
     return np.packbits(sums > 0, axis=1).view(">i8").astype(np.int64)
 
 
@@ -93,7 +92,7 @@ def copy_keys(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """(row, key) of all different keys of every pair of numbers that hold the segments."""
     low, high = low.view(np.uint64), high.view(np.uint64)
     mask = np.uint64((1 << 23) - 1)
-    indices = [golay_indices((x >> np.uint64(s) & mask).astype(np.int64)) for x, s in ((low, 0), (low, 23), (high, 0))]
+    indices = [golay_indices((x >> np.uint64(s) & mask).astype(np.int64)) for x, s in ((low, 0), (low, 23), (high, 0), (high, 23))]
     keys = np.concatenate([
         n << 24 | (indices[i][:, :, None] << 12 | indices[j][:, None, :]).reshape(len(low), 36) for n, (i, j) in enumerate(combinations(range(SEGMENTS), 2))
     ], axis=1)
