@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankforge.functions.scalars import clip
+from rankforge.operators.ordering import running_totals
+from rankforge.session import materialize
 
 # Episodes of the gradual drift and the number of phases, the
 # sudden drift, and the moves of a shifted profile.
@@ -68,15 +70,73 @@ def drift_phase(clock: Column, start: int = DRIFT_START, end: int = DRIFT_END, p
     return F.bround(drift_fraction(clock, start, end) * phases, 0).cast("int")
 
 
+def phase_starts(start: int = DRIFT_START, end: int = DRIFT_END, phases: int = PHASES) -> list[int]:
+    """The first event of every phase 0 .. phases (phase 0: event 0)."""
+    out = [0] * (phases + 1)
+    for n in range(end, start, -1):
+        out[round(phases * (n - start) / (end - start))] = n  # halves to even
+    return [0, *out[1:]]
+
+
+PREFERENCES = {"brand": "brand_pref", "category": "cat_affinity"}
+
+
+def preferences(profiles: DataFrame) -> DataFrame:
+    """(profile_idx, kind, key, weight) of profiles with preference maps."""
+    out = None
+    for kind, c in PREFERENCES.items():
+        part = profiles.select("profile_idx", F.lit(kind).alias("kind"), F.explode(c).alias("key", "weight"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def with_preferences(ranges: DataFrame, prefs: DataFrame, by: Sequence[str] = ("profile_idx",)) -> DataFrame:
+    """Price ranges and recency weights with the preference maps of ``prefs``."""
+    maps = prefs.groupBy(*by).agg(*[
+        F.map_from_entries(F.collect_list(F.when(F.col("kind") == kind, F.struct("key", "weight")))).alias(c) for kind, c in PREFERENCES.items()
+    ])
+    return ranges.join(maps, list(by))
+
+
+def shifted_profile(profiles: DataFrame, pivot: float = CENTER_PIVOT, move: float = CENTER_MOVE,
+                    floor: float = PRICE_FLOOR, ceiling: float = PRICE_CEILING) -> DataFrame:
+    """The profiles after the drift: brand and category extremes swapped, the price range
+    moved, the recency weight turned round."""
+    lo, hi = shifted_range(F.col("price_lo"), F.col("price_hi"), pivot, move, floor, ceiling)
+    ranges = profiles.select("profile_idx", "profile", lo.alias("price_lo"), hi.alias("price_hi"), shifted_recency(F.col("recency_weight")).alias("recency_weight"))
+    flipped = flip_extremes(preferences(profiles), ["profile_idx", "kind"], "key", "weight")
+    return with_preferences(ranges, flipped).select(*profiles.columns)
+
+
+def profile_phases(pre: DataFrame, post: DataFrame, phases: int = PHASES) -> DataFrame:
+    """The profiles of every ``phase``, mixed from before and after the drift key by key."""
+    fractions = [p / phases for p in range(phases + 1)]
+    prefs = interpolate(preferences(pre), preferences(post), ["profile_idx", "kind"], "key", "weight", fractions)
+    phase = F.bround(F.col("frac") * phases, 0).cast("int").alias("phase")
+    numbers = ("price_lo", "price_hi", "recency_weight")
+    both = pre.select("profile_idx", "profile", *numbers).join(post.select("profile_idx", *[F.col(c).alias(f"_{c}") for c in numbers]), "profile_idx")
+    frac = F.col("frac")
+    ranges = both.withColumn("frac", F.explode(F.array(*[F.lit(f) for f in fractions]))).select(
+        "profile_idx", "profile", phase, *[((1.0 - frac) * F.col(c) + frac * F.col(f"_{c}")).alias(c) for c in numbers]
+    )
+    return with_preferences(ranges, prefs.select("profile_idx", "kind", "key", "weight", phase), ["profile_idx", "phase"])
+
+
 def truth_at(marks: DataFrame, versions: DataFrame, by: Sequence[str], clock: str = "checkpoint") -> DataFrame:
     """Truth rows valid at every checkpoint: the version of the latest phase that
-    has started. ``versions`` carries by, phase_start and item_id; versions per
-    group are few."""
-    starts = versions.select(*by, "phase_start").distinct()
-    active = (
-        marks.join(starts, list(by))
-        .filter(F.col("phase_start") <= F.col(clock))
-        .groupBy(*by, clock)
-        .agg(F.max("phase_start").alias("phase_start"))
+    has started. ``versions`` carries by, phase_start and item_id.
+
+    An as-of join as one sorted union: versions count one, marks nothing, and the running
+    total at a mark is the number of the version that holds there, whichever slice of the
+    order it began in. So the work is versions plus marks, not their product.
+    """
+    by = list(by)
+    starts = versions.select(*by, F.col("phase_start").cast("long").alias("_t")).distinct()
+    asked = marks.select(*by, F.col(clock).alias("_clock")).distinct()
+    union = starts.select(*by, "_t", F.lit(0).alias("_kind"), F.lit(None).cast(asked.schema["_clock"].dataType).alias("_clock"), F.lit(1).cast("long").alias("_one")).unionByName(
+        asked.select(*by, F.col("_clock").cast("long").alias("_t"), F.lit(1).alias("_kind"), "_clock", F.lit(0).cast("long").alias("_one"))
     )
+    placed = materialize(running_totals(union, by, ["_t", "_kind"], "_one"))
+    began = placed.filter("_kind = 0").select(*by, (F.col("before") + 1).alias("_nth"), F.col("_t").alias("phase_start"))
+    active = placed.filter("_kind = 1 and before > 0").select(*by, F.col("before").alias("_nth"), F.col("_clock").alias(clock)).join(began, [*by, "_nth"])
     return active.join(versions, [*by, "phase_start"]).select(*by, clock, "item_id")

@@ -126,6 +126,30 @@ def wilcoxon(pairs: DataFrame, by: Sequence[str] = ("baseline",), round_digits:
     return out.withColumn("p_greater", F.when(n == 0, 1.0).otherwise(normal_upper(z)))
 
 
+def signed_rank_tail(n: Column, w: Column) -> Column:
+    """P(W+ >= w) for n differences without ties or zeros: the null distribution of the rank
+    sum, built rank by rank (a rank is in or out with one half)."""
+    def longer(chances: Column, rank: Column) -> Column:
+        none = F.array_repeat(F.lit(0.0), rank)
+        return F.zip_with(F.concat(chances, none), F.concat(none, chances), lambda a, b: (a + b) / 2.0)
+
+    chances = F.aggregate(F.sequence(F.lit(1), n.cast("int")), F.array(F.lit(1.0)), longer)
+    return F.aggregate(F.slice(chances, w.cast("int") + 1, F.size(chances)), F.lit(0.0), lambda s, x: s + x)
+
+
+EXACT_MOST = 50
+
+
+def wilcoxon_exact(pairs: DataFrame, by: Sequence[str] = ("baseline",), round_digits: int | None = None, most: int = EXACT_MOST) -> DataFrame:
+    """``wilcoxon`` with ``p_exact``, the exact one-sided p-value: for groups of at most ``most``
+    pairs without ties or zero differences; null for others, which have ``p_greater``."""
+    by = list(by)
+    tested = wilcoxon(pairs, by, round_digits)
+    sizes = pairs.groupBy(*by).agg(F.count("diff").alias("n_pairs"))
+    plain = (F.col("n_pairs") == F.col("n_nonzero")) & (F.col("tie_term") == 0) & (F.col("n_pairs").between(1, most))
+    return tested.join(sizes, by).withColumn("p_exact", F.when(plain, signed_rank_tail(F.col("n_nonzero"), F.col("w_plus"))))
+
+
 def test_battery(values: DataFrame, method: str, unit: Sequence[str], by: Sequence[str] = (), value: str = "f1",
                  p_values: bool = True) -> DataFrame:
     """Every baseline of every group: paired t, signed rank, wins/ties/losses and

@@ -219,21 +219,31 @@ def final_summary(spark, sf):
     )
 
 
-SIZES = (100, 200)
+SIZES = (200, 400, 800)
 for _n in SIZES:
-    cte(f"samples_{_n}", s.sample_sql(_n, 3, 19 * _n), "octants")
+    cte(f"samples_{_n}", s.sample_sql(_n, s.N_RUNS, 19 * _n), "octants")
     cte(f"totals_{_n}", s.totals_sql(f"samples_{_n}", "run"), f"samples_{_n}")
     cte(f"weights_{_n}", s.weights_sql(f"totals_{_n}"), f"totals_{_n}")
     cte(f"topsis_{_n}", s.topsis_sql(f"samples_{_n}", f"weights_{_n}", "run"), f"samples_{_n}", f"weights_{_n}")
     cte(f"scored_{_n}", s.profile_sql(f"topsis_{_n}", "run"), f"topsis_{_n}", *s.PROFILE_CTES)
     cte(f"truth_{_n}", s.top_sql(f"scored_{_n}", "target", 7, "run, profile_idx", "run, profile_idx, rank, item_id"), f"scored_{_n}")
+    cte(
+        f"learned_{_n}",
+        f"""SELECT *, 0.5 * {s.mm('q', 'run, profile_idx')} + 0.5 * {s.mm('topsis', 'run, profile_idx')} AS hybrid FROM (
+SELECT f.*, coalesce(q.q, 0) AS q FROM scored_{_n} f LEFT JOIN q_final q ON q.state = f.profile_idx AND q.item_id = f.item_id)""",
+        f"scored_{_n}", "q_final",
+    )
     cte(
         f"lists_{_n}",
         " UNION ALL ".join(
             s.top_sql(f"scored_{_n}", c, 7, "run, profile_idx", f"run, profile_idx, '{m}' AS method, rank, item_id")
             for m, c in (("popularity", "popularity_pct"), ("topsis_only", "topsis"))
+        )
+        + " UNION ALL " + s.top_sql(f"scored_{_n}", "", 7, "run, profile_idx", "run, profile_idx, 'random' AS method, rank, item_id", order="md5(concat_ws('|', 'random', run, profile_idx, item_id)), item_id")
+        + " UNION ALL " + " UNION ALL ".join(
+            s.top_sql(f"learned_{_n}", c, 7, "run, profile_idx", f"run, profile_idx, '{m}' AS method, rank, item_id") for m, c in (("rl_only", "q"), ("hybrid", "hybrid"))
         ),
-        f"scored_{_n}",
+        f"scored_{_n}", f"learned_{_n}",
     )
     cte(f"report_{_n}", s.metrics_sql(f"lists_{_n}", f"truth_{_n}", "run, profile_idx, method", "run, profile_idx"), f"lists_{_n}", f"truth_{_n}")
 
@@ -246,13 +256,15 @@ for _n in SIZES:
     " ".join(f"report_{n}" for n in SIZES),
 )
 def catalog_size_sensitivity(spark, sf):
+    """Five methods on samples of three sizes, with the values of the whole log."""
     out = None
     octants = materialize(sampling.octants(v.items(spark, sf)))
     for n in SIZES:
-        drawn = materialize(sampling.stratified_sample(v.items(spark, sf), octants, n, 3, seed_shift=19 * n))
+        drawn = materialize(sampling.stratified_sample(v.items(spark, sf), octants, n, s.N_RUNS, seed_shift=19 * n))
         scored = materialize(ex.scored_frame(drawn, v.FIXTURE_PROFILES))
         truth = ex.truth_lists(scored)
-        lists = ex.fixed_lists(scored).filter("method <> 'random'")
+        learned = materialize(ex.learned_scores(scored, s.values(spark, sf), None))
+        lists = ex.fixed_lists(scored).unionByName(ex.learned_lists(learned, ex.GROUP).filter("method <> 'gated'"))
         f1 = metrics.list_metrics(lists, truth, [*ex.GROUP, "method"], list(ex.GROUP))
         runs = f1.groupBy("run", "method").agg(F.avg("f1").alias("f1"))
         part = summary.summarize(runs, "f1", ["method"]).withColumn("n_items", F.lit(n))

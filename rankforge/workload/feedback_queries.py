@@ -333,6 +333,137 @@ def drift_curve(spark, sf):
     return s.rounded(out)
 
 
+# Gradual drift: profiles move to their shifted form in 40 phases.
+GRADUAL = (200, 900)
+GRADUAL_MARKS = (100, 250, 400, 550, 700, 850, 1000)
+SHIFT = {"pivot": 950.0, "move": 25.0}
+_STARTS = drift.phase_starts(*GRADUAL)
+
+
+def profile_table(spark):
+    columns = [F.col("p")[f].alias(f) for f in utility.PROFILE_FIELDS]
+    return spark.range(1).select(F.explode(pf.profile_array(v.FIXTURE_PROFILES)).alias("p")).select(*columns)
+
+
+def _shifted_sql(source: str, key: str) -> str:
+    return f"""SELECT profile_idx, {key}, CASE WHEN {key} = lo_k THEN hi_w WHEN {key} = hi_k THEN lo_w ELSE w END AS w FROM {source} JOIN (
+SELECT profile_idx, arg_min({key}, ROW(w, {key})) AS lo_k, min(w) AS lo_w, arg_max({key}, ROW(w, {key})) AS hi_k, max(w) AS hi_w FROM {source} GROUP BY profile_idx) USING (profile_idx)"""
+
+
+cte("shifted_brand", _shifted_sql("profile_brand", "brand"), "profile_brand")
+cte("shifted_cat", _shifted_sql("profile_cat", "category"), "profile_cat")
+cte(
+    "shifted_profiles",
+    """SELECT profile_idx, profile, greatest(10, c2 - h) AS price_lo, least(1000, c2 + h) AS price_hi, least(greatest(1 - recency_weight, 0.1), 0.9) AS recency_weight FROM (
+SELECT *, (price_hi - price_lo) / 2 AS h, CASE WHEN (price_lo + price_hi) / 2 < 950 THEN (price_lo + price_hi) / 2 + 25 ELSE (price_lo + price_hi) / 2 - 25 END AS c2 FROM profiles)""",
+    "profiles",
+)
+
+
+@query(
+    "shifted_profile", "L11 L10",
+    """SELECT profile_idx::BIGINT AS profile_idx, profile, kind, key, round(w, 6) AS weight, round(price_lo, 6) AS price_lo, round(price_hi, 6) AS price_hi, round(recency_weight, 6) AS recency_weight FROM shifted_profiles
+JOIN (SELECT profile_idx, 'brand' AS kind, brand AS key, w FROM shifted_brand UNION ALL SELECT profile_idx, 'category', category, w FROM shifted_cat) USING (profile_idx)""",
+    "shifted_profiles shifted_brand shifted_cat",
+)
+def shifted_profile(spark, sf):
+    """All shifts of a profile in one table, a row per preference."""
+    post = drift.shifted_profile(profile_table(spark), **SHIFT)
+    rows = drift.preferences(post).join(post.select("profile_idx", "profile", "price_lo", "price_hi", "recency_weight"), "profile_idx")
+    return s.rounded(rows)
+
+
+cte("phases", f"SELECT range::INT AS phase, range / 40.0::DOUBLE AS frac, [{', '.join(map(str, _STARTS))}][range + 1]::BIGINT AS phase_start FROM range(41)")
+cte(
+    "phase_scored",
+    f"""SELECT *, {s.mm('0.5 * observable + 0.5 * hidden', 'profile_idx, phase')} AS target FROM (
+SELECT *, {s.mm('0.45 * brand_score + 0.30 * price_fit + 0.15 * cat_score + 0.10 * recency_score', 'profile_idx, phase')} AS hidden FROM (
+SELECT *, cat / max(cat) OVER (PARTITION BY profile_idx, phase) AS cat_score FROM (
+SELECT i.item_id, i.observable, p.profile_idx, f.phase, f.phase_start,
+  coalesce((1 - frac) * b0.w + frac * b1.w, 0.1::DOUBLE) AS brand_score, coalesce((1 - frac) * c0.w + frac * c1.w, 0.05::DOUBLE) AS cat,
+  least(greatest(1 - abs(price - (lo + hi) / 2) / ((hi - lo) / 2 + 1), 0), 1) AS price_fit, recency_pct * rw + (1 - rw) * 0.5 AS recency_score
+FROM (SELECT *, {s.mm('(price_pct + quality_pct + popularity_pct + rating_pct) / 4')} AS observable FROM items) i CROSS JOIN phases f
+CROSS JOIN (SELECT a.profile_idx, f.phase AS ph, (1 - frac) * a.price_lo + frac * z.price_lo AS lo, (1 - frac) * a.price_hi + frac * z.price_hi AS hi, (1 - frac) * a.recency_weight + frac * z.recency_weight AS rw
+  FROM profiles a JOIN shifted_profiles z USING (profile_idx) CROSS JOIN phases f) p
+LEFT JOIN profile_brand b0 ON b0.profile_idx = p.profile_idx AND b0.brand = i.brand LEFT JOIN shifted_brand b1 ON b1.profile_idx = p.profile_idx AND b1.brand = i.brand
+LEFT JOIN profile_cat c0 ON c0.profile_idx = p.profile_idx AND c0.category = i.category LEFT JOIN shifted_cat c1 ON c1.profile_idx = p.profile_idx AND c1.category = i.category
+WHERE p.ph = f.phase)))""",
+    "items", "phases", "profiles", "shifted_profiles", "profile_brand", "shifted_brand", "profile_cat", "shifted_cat",
+)
+cte("phase_truth", s.top_sql("phase_scored", "target", 7, "profile_idx, phase", "profile_idx AS state, phase, phase_start, item_id"), "phase_scored")
+
+
+@shared
+def phase_truth(spark, sf):
+    """The best seven items of every profile in every phase of the drift."""
+    pre = profile_table(spark)
+    phases = drift.profile_phases(pre, drift.shifted_profile(pre, **SHIFT))
+    items = utility.observable_utility(v.items(spark, sf)).select("item_id", "brand", "category", "price", "recency_pct", "observable")
+    frame = utility.with_each(items, phases)  # five profiles in 41 phases
+    group = ["profile_idx", "phase"]
+    target = utility.blend_target(utility.hidden_utility(frame, group), group, noise_sd=0.0)
+    start = F.element_at(F.array(*[F.lit(int(n)).cast("long") for n in _STARTS]), F.col("phase") + 1)
+    return top_k(target, "target", pf.TOP_K, group).select(F.col("profile_idx").alias("state"), "phase", start.alias("phase_start"), "item_id")
+
+
+@query("drifting_truth", "L12 L13 U1", "SELECT state::BIGINT AS state, phase::BIGINT AS phase, phase_start, item_id FROM phase_truth", "phase_truth")
+def drifting_truth(spark, sf):
+    return s.rounded(phase_truth(spark, sf))
+
+
+_GRADUAL_MARKS = ", ".join(f"({n})" for n in GRADUAL_MARKS)
+cte("gradual_marks", f"SELECT checkpoint::BIGINT AS checkpoint FROM (VALUES {_GRADUAL_MARKS}) t(checkpoint)")
+cte(
+    "q_gradual",
+    """SELECT state, item_id, checkpoint, sum(0.05::DOUBLE * pow(0.95::DOUBLE, age) * reward) AS q FROM (
+SELECT r.*, checkpoint, row_number() OVER (PARTITION BY state, item_id, checkpoint ORDER BY event_no DESC) - 1 AS age
+FROM rewarded r JOIN gradual_marks ON event_no <= checkpoint) GROUP BY state, item_id, checkpoint""",
+    "rewarded", "gradual_marks",
+)
+cte(
+    "gradual_frame",
+    f"""SELECT *, 0.5 * {s.mm('q', 'checkpoint, state')} + 0.5 * {s.mm('topsis', 'checkpoint, state')} AS hybrid FROM (
+SELECT p.profile_idx AS state, p.item_id, p.topsis, m.checkpoint, coalesce(q.q, 0) AS q FROM item_profiles p CROSS JOIN gradual_marks m
+LEFT JOIN q_gradual q ON q.checkpoint = m.checkpoint AND q.state = p.profile_idx AND q.item_id = p.item_id)""",
+    "item_profiles", "gradual_marks", "q_gradual",
+)
+cte(
+    "gradual_lists",
+    " UNION ALL ".join(
+        s.top_sql("gradual_frame", c, 7, "state, checkpoint", f"state, checkpoint, '{m}' AS method, rank, item_id")
+        for m, c in (("topsis_only", "topsis"), ("rl_only", "q"), ("hybrid", "hybrid"))
+    ),
+    "gradual_frame",
+)
+cte(
+    "gradual_truth",
+    """SELECT state, m.checkpoint, t.item_id FROM (SELECT state, checkpoint, max(phase_start) AS phase_start FROM (SELECT DISTINCT state, phase_start FROM phase_truth) JOIN gradual_marks ON phase_start <= checkpoint GROUP BY state, checkpoint) m
+JOIN phase_truth t USING (state, phase_start)""",
+    "phase_truth", "gradual_marks",
+)
+cte("gradual_report", s.metrics_sql("gradual_lists", "gradual_truth", "state, checkpoint, method", "state, checkpoint"), "gradual_lists", "gradual_truth")
+
+
+@query(
+    "drift_curve_gradual", "L14 L11 L12 L13 J10",
+    "SELECT method, checkpoint, round(avg(f1), 6) AS mean_f1, round(stddev_pop(f1), 6) AS std_f1 FROM gradual_report GROUP BY method, checkpoint", "gradual_report",
+)
+def drift_curve_gradual(spark, sf):
+    from rankforge.operators import blending, metrics
+
+    marks = utility.with_grid(s.item_profiles(spark, sf).select(F.col("profile_idx").alias("state"), "item_id", "topsis"), "checkpoint", GRADUAL_MARKS)
+    values = fb.snapshots(fb.rewards(v.feedback(spark, sf)), GRADUAL_MARKS)
+    joined = marks.withColumn("checkpoint", F.col("checkpoint").cast("long")).join(values, ["state", "item_id", "checkpoint"], "left")
+    scored = materialize(blending.hybrid(joined, ["state", "checkpoint"]).select("state", "checkpoint", "item_id", "topsis", "q", "hybrid"))
+    lists = None
+    for name, score in (("topsis_only", "topsis"), ("rl_only", "q"), ("hybrid", "hybrid")):
+        part = top_k(scored, score, pf.TOP_K, ["state", "checkpoint"]).select("state", "checkpoint", F.lit(name).alias("method"), "rank", "item_id")
+        lists = part if lists is None else lists.unionByName(part)
+    active = drift.truth_at(scored.select("state", "checkpoint").distinct(), phase_truth(spark, sf).select("state", "phase_start", "item_id"), ["state"])
+    report = metrics.list_metrics(lists, active, ["state", "checkpoint", "method"], ["state", "checkpoint"])
+    return s.rounded(report.groupBy("method", "checkpoint").agg(F.avg("f1").alias("mean_f1"), F.stddev_pop("f1").alias("std_f1")))
+
+
 @query(
     "streaming_values", "L15",
     "SELECT state::BIGINT AS state, item_id, round(q + 1e-12, 9) AS q, visits FROM q_final", "q_final",

@@ -78,6 +78,43 @@ cte(
 )
 
 
+cte(
+    "ild_pairs",
+    "SELECT b.run, b.profile_idx, b.method AS baseline, round(a.ild - b.ild, 9) AS diff FROM ild_rows b JOIN ild_rows a ON a.method = 'hybrid' AND b.method <> 'hybrid' AND a.run = b.run AND a.profile_idx = b.profile_idx",
+    "ild_rows",
+)
+cte(
+    "rank_chances",
+    """SELECT * FROM (WITH RECURSIVE c(n, p) AS (SELECT 0, [1.0::DOUBLE] UNION ALL SELECT n + 1, list_transform(range(1, len(p) + n + 2),
+  lambda i: (CASE WHEN i <= len(p) THEN p[i] ELSE 0 END + CASE WHEN i > n + 1 THEN p[i - n - 1] ELSE 0 END) / 2.0::DOUBLE) FROM c WHERE n < 50) SELECT n, p FROM c)""",
+)
+cte(
+    "ild_ranks",
+    """SELECT baseline, sum(CASE WHEN diff > 0 THEN r ELSE 0 END)::DOUBLE AS w_plus, count(*) AS n_nonzero, max(peers) AS peers FROM (
+SELECT baseline, diff, rank() OVER (PARTITION BY baseline ORDER BY abs(diff)) + (count(*) OVER (PARTITION BY baseline, abs(diff)) - 1) / 2.0::DOUBLE AS r,
+  count(*) OVER (PARTITION BY baseline, abs(diff)) AS peers FROM ild_pairs WHERE diff <> 0) GROUP BY baseline""",
+    "ild_pairs",
+)
+
+
+@query(
+    "wilcoxon_exact", "H3",
+    """SELECT s.baseline, n_pairs, coalesce(n_nonzero, 0) AS n_nonzero, coalesce(w_plus, 0)::DOUBLE AS w_plus,
+  round(CASE WHEN n_pairs = n_nonzero AND peers = 1 AND n_pairs <= 50 THEN list_sum(c.p[w_plus::BIGINT + 1:]) END, 9) AS p_exact
+FROM (SELECT baseline, count(*) AS n_pairs FROM ild_pairs GROUP BY baseline) s LEFT JOIN ild_ranks USING (baseline) LEFT JOIN rank_chances c ON c.n = n_nonzero""",
+    "ild_pairs ild_ranks rank_chances",
+)
+def wilcoxon_exact(spark, sf):
+    """List diversity of the blend against every other method, by run and profile."""
+    from rankforge.operators import metrics
+    from rankforge.plans import experiment as ex
+
+    ild = metrics.intra_list_distance(s.final_lists(spark, sf), s.samples(spark, sf), [*ex.GROUP, "method"], ["run"])
+    pairs = paired.pair_up(ild, "hybrid", list(ex.GROUP), value="ild")
+    tested = paired.wilcoxon_exact(pairs, ["baseline"], round_digits=9)
+    return s.rounded(tested.select("baseline", "n_pairs", "n_nonzero", "w_plus", "p_exact"), 9)
+
+
 @query(
     "wilcoxon", "H3 H4",
     "SELECT k.checkpoint, k.baseline, coalesce(w_plus, 0)::DOUBLE AS w_plus, coalesce(tie_term, 0)::DOUBLE AS tie_term, coalesce(n_nonzero, 0) AS n_nonzero FROM (SELECT DISTINCT checkpoint, baseline FROM paired_rows) k LEFT JOIN signed_ranks USING (checkpoint, baseline) LEFT JOIN tie_terms USING (checkpoint, baseline)",
