@@ -218,10 +218,10 @@ def r2(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*by).agg((1.0 - err / spread).alias("r2"))
 
 
-def forest_surrogate(frame: DataFrame, seed: int, trees: int = 250, min_leaf: int = 10, depth: int = 8):
+def forest_surrogate(frame: DataFrame, seed: int, trees: int = 250, min_leaf: int = 10, depth: int = 16):
     return RandomForestRegressor(
         numTrees=trees, minInstancesPerNode=min_leaf, maxDepth=depth, seed=seed, subsamplingRate=1.0,
-        featureSubsetStrategy="all",
+        featureSubsetStrategy="all", maxMemoryInMB=1024,
     ).fit(frame.filter(~F.col("is_test")).select("features", "label"))
 
 
@@ -256,14 +256,19 @@ def permutation_importance(
 
 def shapley_values(
     model, frame: DataFrame, key: Sequence[str], features: Sequence[str] = SURROGATE_FEATURES,
-    rows: int = 500, permutations: int = 4, seed: int = 0,
+    rows: int = 5000, permutations: int = 4, seed: int = 0,
 ) -> DataFrame:
-    """Sampled Shapley attributions (key, feature, value, attribution, base).
+    """Sampled Shapley attributions (key, feature, value, attribution, std_error, base) of at
+    most ``rows`` rows, chosen by a hash of the key; other rows have none.
 
     Features of the mean row are replaced by the row's own in a random order per
     permutation; the change of the prediction at each step belongs to the feature
     of that step. The steps telescope, so attributions plus base equal the
     prediction. Every step of every row is scored by one transform.
+
+    Permutations come in antithetic pairs: the second of a pair runs backwards, so the
+    errors of a feature that is early in one and late in the other cancel. ``std_error`` is
+    that of the mean over pairs (null for one pair): how far an attribution has converged.
     """
     m = len(features)
     means = frame.agg(*[F.avg(f).alias(f"_b_{f}") for f in features])
@@ -271,11 +276,12 @@ def shapley_values(
     grid = with_grid(sample, "permutation", range(permutations))
     order = F.transform(
         F.array_sort(F.array(*[
-            F.struct(hash_key(seed, F.col("permutation"), *[F.col(k) for k in key], f).alias("h"), F.lit(f).alias("f"))
+            F.struct(hash_key(seed, F.floor(F.col("permutation") / 2), *[F.col(k) for k in key], f).alias("h"), F.lit(f).alias("f"))
             for f in features
         ])),
         lambda s: s["f"],
     )
+    order = F.when(F.col("permutation") % 2 == 0, order).otherwise(F.reverse(order))
     # Permutation and steps form one row each: at most permutations x (m + 1).
     steps = grid.withColumn("_order", order).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(m))))
     mixed = steps.select(
@@ -295,12 +301,35 @@ def shapley_values(
     )
     values = F.create_map(*[x for f in features for x in (F.lit(f), F.col(f"_v_{f}"))])
     long = chains.select(*key, "permutation", F.col("_p")[0].alias("base"), values.alias("_vals"), F.explode(jumps).alias("_j"))
-    return long.groupBy(*key, F.col("_j.feature").alias("feature")).agg(
-        F.first(F.try_element_at("_vals", F.col("_j.feature"))).alias("value"),
-        F.avg("_j.jump").alias("attribution"), F.avg("base").alias("base"),
+    jump = F.col("_j.jump")
+    # The mean of a pair is half the sum of its jumps; squares of pair means need both jumps,
+    # so pairs are put together first.
+    paired = long.groupBy(*key, F.col("_j.feature").alias("feature"), F.floor(F.col("permutation") / 2).alias("_pair")).agg(
+        F.first(F.try_element_at("_vals", F.col("_j.feature"))).alias("value"), F.avg(jump).alias("_mean"), F.count("*").alias("_n"),
+        F.avg("base").alias("base"),
+    )
+    return paired.groupBy(*key, "feature").agg(
+        F.first("value").alias("value"), (F.sum(F.col("_mean") * F.col("_n")) / F.sum("_n")).alias("attribution"),
+        F.try_divide(F.stddev_samp("_mean"), F.sqrt(F.count("*").cast("double"))).alias("std_error"), F.avg("base").alias("base"),
     )
 
 
+def additivity(attributions: DataFrame, model, frame: DataFrame, key: Sequence[str]) -> DataFrame:
+    """(key, residual): the prediction less base and attributions; zero but for rounding."""
+    sums = attributions.groupBy(*key).agg((F.sum("attribution") + F.first("base")).alias("_s"))
+    return model.transform(frame).join(sums, list(key)).select(*key, (F.col("prediction") - F.col("_s")).alias("residual"))
+
+
+def ridge_residual(ridge: RidgeSurrogate, frame: DataFrame, alpha: float = 1.0) -> DataFrame:
+    """(feature, residual): the gradient of the ridge loss at the fitted coefficients over the
+    training rows, per row; zero at the optimum."""
+    error = F.col("label") - F.col("prediction")
+    train = ridge.predict(frame.filter(~F.col("is_test")))
+    sums = [F.struct(F.lit(f).alias("feature"), ((F.sum(ridge.z(i) * error) - alpha * ridge.coef[i]) / F.count("*")).alias("residual")) for i, f in enumerate(ridge.features)]
+    sums.append(F.struct(F.lit("intercept").alias("feature"), (F.sum(error) / F.count("*")).alias("residual")))
+    return train.agg(F.array(*sums).alias("r")).select(F.inline("r"))
+
+
 def attribution_columns(attributions: DataFrame, key: Sequence[str], features: Sequence[str] = SURROGATE_FEATURES) -> DataFrame:
     """One row per key with the text of the five strongest attributions."""
     wide = attributions.groupBy(*key).agg(

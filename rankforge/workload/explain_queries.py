@@ -15,8 +15,7 @@ KEY = ["run", "profile_idx", "item_id"]
 GROUP = ["run", "profile_idx"]
 G = "run::BIGINT AS run, profile_idx::BIGINT AS profile_idx"
 SEED = 42
-# Fewer trees than the defaults: a query is a demonstration, not a training run.
-TREES = 20
+ROWS = 5000  # rows with sampled attributions
 
 cte(
     "branches",
@@ -155,17 +154,27 @@ def models(spark, sf):
     key = (spark.sparkContext.applicationId, sf)
     if key not in _MODELS:
         frame = vectors(spark, sf)
-        _MODELS[key] = (xp.RidgeSurrogate(frame), xp.forest_surrogate(frame, SEED, trees=TREES))
+        _MODELS[key] = (xp.RidgeSurrogate(frame), xp.forest_surrogate(frame, SEED))
     return _MODELS[key]
 
 
 @query("ridge_surrogate", "X1 M6")
 def ridge_surrogate(spark, sf):
     frame = vectors(spark, sf)
-    ridge = xp.RidgeSurrogate(frame)
+    ridge = models(spark, sf)[0]
     return xp.r2(ridge.predict(frame), ["is_test"])
 
 
+_LIST = ", ".join(f"('{f}')" for f in (*xp.SURROGATE_FEATURES, "intercept"))
+
+
+@query("ridge_optimality", "X1", f"SELECT feature, 0.0::DOUBLE AS residual FROM (VALUES {_LIST}) t(feature)")
+def ridge_optimality(spark, sf):
+    """The fitted coefficients are those of the ridge loss: its gradient is zero."""
+    frame = vectors(spark, sf)
+    return s.rounded(xp.ridge_residual(models(spark, sf)[0], frame).withColumn("residual", F.round("residual", 9)))
+
+
 @query("forest_surrogate", "X2")
 def forest_surrogate(spark, sf):
     frame = vectors(spark, sf)
@@ -192,6 +201,16 @@ def shapley_values(spark, sf):
     return xp.shapley_values(models(spark, sf)[1], surrogate(spark, sf), KEY, seed=SEED)
 
 
+@query(
+    "shapley_additivity", "X4 M7",
+    f"SELECT {G}, item_id, 0.0::DOUBLE AS residual FROM branches ORDER BY md5(concat_ws('|', {SEED}, run, profile_idx, item_id)), run, profile_idx, item_id LIMIT {ROWS}", "branches",
+)
+def shapley_additivity(spark, sf):
+    """Attributions and base add up to the prediction of every sampled row."""
+    rows = xp.additivity(attributions(spark, sf), models(spark, sf)[1], vectors(spark, sf), KEY)
+    return s.rounded(rows.withColumn("residual", F.round("residual", 9)))
+
+
 @query("linear_contributions", "X5")
 def linear_contributions(spark, sf):
     ridge = models(spark, sf)[0]

@@ -11,6 +11,7 @@ from rankforge.operators import drift, explaining
 from rankforge.operators import feedback as fb
 from rankforge.operators import interactions as ix
 from rankforge.operators import utility
+from rankforge.operators.mcdm import CRITERIA
 from rankforge.operators.ranking import top_k
 from rankforge.session import materialize, shared_dir
 from rankforge.streaming.values import streaming_values
@@ -497,15 +498,21 @@ def streaming_values_query(spark, sf):
     return nudged(last.select("state", "item_id", "_l.q", "_l.visits"))
 
 
+_WEIGHED = "[" + ", ".join(f"{c} * w_{c}" for c in CRITERIA) + "]"
+_NAMES = "[" + ", ".join(f"'{explaining.CRITERION_LABELS[c]}'" for c in CRITERIA) + "]"
+_SHOWN = "[brand_score, price_fit, 1.0::DOUBLE, recency_score]"
+
+
 @query(
     "signal_explanations", "D8 P21 P22",
-    """SELECT profile_idx::BIGINT AS profile_idx, rank, item_id, dominant_signal, in_truth FROM (
-SELECT *, CASE WHEN round(0.5 * t_norm, 9) >= round(0.5 * q_norm, 9) THEN 'Observable' ELSE 'Behavioral' END AS dominant_signal FROM (
-SELECT l.profile_idx, l.item_id, l.t_norm, l.q_norm, t.item_id IS NOT NULL AS in_truth, row_number() OVER (PARTITION BY l.profile_idx ORDER BY round(l.hybrid, 9) DESC, l.item_id) AS rank
-FROM (SELECT * FROM learned WHERE run = 0) l LEFT JOIN (SELECT * FROM truth WHERE run = 0) t ON t.profile_idx = l.profile_idx AND t.item_id = l.item_id)) WHERE rank <= 7""",
+    f"""SELECT run::BIGINT AS run, profile_idx::BIGINT AS profile_idx, rank, item_id, round(c_t, 3) AS c_t, round(c_q, 3) AS c_q, CASE WHEN by_criteria THEN 'Observable' ELSE 'Behavioral' END AS dominant_signal,
+  CASE WHEN by_criteria THEN {_NAMES}[list_position({_WEIGHED}, list_max({_WEIGHED}))] ELSE [brand, 'PriceRange', category, 'Recency'][list_position({_SHOWN}, list_max({_SHOWN}))] END AS dominant_label, in_truth FROM (
+SELECT *, 0.5 * t_norm AS c_t, 0.5 * q_norm AS c_q, round(0.5 * t_norm, 9) >= round(0.5 * q_norm, 9) AS by_criteria FROM (
+SELECT l.*, t.item_id IS NOT NULL AS in_truth, row_number() OVER (PARTITION BY l.run, l.profile_idx ORDER BY round(l.hybrid, 9) DESC, l.item_id) AS rank
+FROM learned l LEFT JOIN truth t ON t.run = l.run AND t.profile_idx = l.profile_idx AND t.item_id = l.item_id)) WHERE rank <= 7""",
     "learned truth",
 )
 def signal_explanations(spark, sf):
-    frame = utility.hidden_components(s.learned(spark, sf).filter("run = 0"), ["run", "profile_idx"])
-    out = explaining.signal_explanations(frame, s.truth(spark, sf).filter("run = 0"), ["run", "profile_idx"])
-    return s.rounded(out.select("profile_idx", "rank", "item_id", "dominant_signal", "in_truth"))
+    """Every run's lists with contributions, stronger signal and its label."""
+    frame = utility.hidden_components(s.learned(spark, sf), ["run", "profile_idx"])
+    return s.rounded(explaining.signal_explanations(frame, s.truth(spark, sf), ["run", "profile_idx"]))

@@ -3,7 +3,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from rankforge.operators import drift
+from rankforge.functions import profiles as pf
+from rankforge.operators import drift, utility
 from rankforge.operators import feedback as fb
 from rankforge.streaming.values import streaming_values
 
@@ -120,3 +121,38 @@ def test_flip_and_interpolate(spark):
     assert {r.key: r.w for r in flipped.collect()} == {"lo": 0.6, "mid": 0.3, "hi": 0.1}
     mixed = drift.interpolate(prefs.filter("key <> 'mid'"), flipped, ["owner"], "key", "w", [0.5])
     assert {r.key: round(r.w, 9) for r in mixed.collect()} == {"lo": 0.35, "mid": 0.15, "hi": 0.35}
+
+
+def test_truth_at_follows_the_latest_version(spark):
+    versions = [(g, t, 10 * t + g) for g in (0, 1) for t in (0, 5, 9, 30)] + [(2, 50, 1)]
+    marks = [(g, c) for g in (0, 1, 2) for c in (0, 4, 5, 8, 9, 29, 30, 100)]
+    got = drift.truth_at(
+        spark.createDataFrame(marks, "state int, checkpoint long").repartition(3),
+        spark.createDataFrame(versions, "state int, phase_start long, item_id int").repartition(3), ["state"],
+    )
+    want = set()
+    for g, c in marks:
+        started = [t for h, t, _ in versions if h == g and t <= c]
+        want |= {(g, c, i) for h, t, i in versions if started and h == g and t == max(started)}
+    assert {tuple(r) for r in got.collect()} == want
+
+
+def test_phases_of_a_gradual_drift(spark):
+    starts = drift.phase_starts(200, 900, 40)
+    got = spark.range(0, 1000).select(F.col("id"), drift.drift_phase(F.col("id"), 200, 900, 40).alias("p")).collect()
+    for r in got:
+        assert r.p == max(i for i, s in enumerate(starts) if s <= r.id)
+
+
+def test_shifted_and_mixed_profiles(spark):
+    columns = [F.col("p")[f].alias(f) for f in utility.PROFILE_FIELDS]
+    pre = spark.range(1).select(F.explode(pf.profile_array()).alias("p")).select(*columns)
+    post = {r.profile_idx: r for r in drift.shifted_profile(pre).collect()}
+    budget = post[0]
+    assert budget.brand_pref == {"budget_brand": 0.05, "mid_brand": 0.15, "premium_brand": 0.80}
+    assert (budget.price_lo, budget.price_hi, budget.recency_weight) == (260.0, 410.0, 0.9)
+    mixed = {(r.profile_idx, r.phase): r for r in drift.profile_phases(pre, drift.shifted_profile(pre), 4).collect()}
+    assert len(mixed) == 25
+    half = mixed[0, 2]
+    assert half.price_lo == 135.0 and abs(half.recency_weight - 0.5) < 1e-12 and abs(half.brand_pref["budget_brand"] - 0.425) < 1e-12
+    assert mixed[0, 0].brand_pref == {"budget_brand": 0.80, "mid_brand": 0.15, "premium_brand": 0.05}

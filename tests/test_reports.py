@@ -96,3 +96,42 @@ def test_shapley_adds_up_and_permutation_finds_the_signal(surrogate):
     assert all(r.s == pytest.approx(r.prediction, abs=1e-9) for r in both)
     imp = {r.feature: r.permutation_mean for r in xp.permutation_importance(forest, surrogate, ["item_id"], ["a", "b", "c"], repeats=2).collect()}
     assert imp["a"] > imp["b"] > abs(imp["c"])
+
+
+def test_antithetic_pairs_and_residuals(spark, surrogate):
+    forest = xp.forest_surrogate(surrogate, 1, trees=10)
+    got = xp.shapley_values(forest, surrogate, ["item_id"], ["a", "b", "c"], rows=40, permutations=4)
+    assert all(r.std_error is not None and r.std_error >= 0 for r in got.collect())
+    one = xp.shapley_values(forest, surrogate, ["item_id"], ["a", "b", "c"], rows=40, permutations=2)
+    assert all(r.std_error is None for r in one.collect())
+    assert max(abs(r.residual) for r in xp.additivity(got, forest, surrogate, ["item_id"]).collect()) < 1e-9
+    # of two features, both orders are seen by one pair, so the attribution is exact
+    two = surrogate.drop("features")
+    from pyspark.ml.feature import VectorAssembler
+
+    pair = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(two)
+    small = xp.forest_surrogate(pair, 1, trees=5)
+    exact = {(r.item_id, r.feature): r.attribution for r in xp.shapley_values(small, two, ["item_id"], ["a", "b"], rows=1000, permutations=2).collect()}
+    again = {(r.item_id, r.feature): r.attribution for r in xp.shapley_values(small, two, ["item_id"], ["a", "b"], rows=1000, permutations=8, seed=5).collect()}
+    assert all(abs(exact[k] - again[k]) < 1e-9 for k in exact if k in again) and set(exact) & set(again)
+
+
+def test_exact_signed_ranks(spark):
+    from itertools import product
+
+    rng = np.random.default_rng(3)
+    groups = {f"g{n}": rng.normal(0.2, 1, n).tolist() for n in (1, 2, 5, 11)}
+    rows = [(g, d) for g, ds in groups.items() for d in ds]
+    rows += [("tied", 1.0), ("tied", -1.0), ("tied", 2.0), ("zero", 0.0), ("zero", 1.0)] + [("many", float(d)) for d in rng.normal(size=51)]
+    got = {r.baseline: r for r in paired.wilcoxon_exact(spark.createDataFrame(rows, "baseline string, diff double").repartition(3)).collect()}
+    for g, ds in groups.items():
+        order = np.argsort(np.abs(ds))
+        ranks = np.empty(len(ds))
+        ranks[order] = np.arange(1, len(ds) + 1)
+        w = ranks[np.array(ds) > 0].sum()
+        tail = np.mean([sum(r for r, keep in zip(ranks, signs) if keep) >= w for signs in product((0, 1), repeat=len(ds))])
+        assert got[g].w_plus == w and abs(got[g].p_exact - tail) < 1e-12
+    assert got["tied"].p_exact is None and got["zero"].p_exact is None and got["many"].p_exact is None
+    fifty = spark.createDataFrame([("b", float(i + 1) * (1 if i % 3 else -1)) for i in range(50)], "baseline string, diff double")
+    r = paired.wilcoxon_exact(fifty).first()
+    assert abs(r.p_exact - r.p_greater) < 0.01
