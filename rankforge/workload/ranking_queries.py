@@ -223,9 +223,21 @@ def run_manifest(spark, sf):
     return s.rounded(writers.manifest(s.samples(spark, sf)).select("run", "n_rows", "n_items"))
 
 
-@query("run_manifest_fingerprint", "S10")
+MANIFEST = ("run", "seed", "item_id", "brand", "category", "price", "rating_count")
+_SHOWN = ", ".join(f"coalesce(({f'round({c} * 1e6)::BIGINT' if c in ('price', 'rating_count') else c})::VARCHAR, '~')" for c in MANIFEST)
+_WORDS = " || ".join(f"format('{{:08x}}', (sum(('0x' || substring(h, {8 * i + 1}, 8))::BIGINT) % 4294967296)::BIGINT)" for i in range(writers.WORDS))
+
+
+@query(
+    "run_manifest_fingerprint", "S10",
+    f"SELECT run::BIGINT AS run, max(seed)::BIGINT AS seed, count(*) AS n_rows, count(DISTINCT item_id) AS n_items, {_WORDS} AS fingerprint FROM (SELECT *, md5(concat_ws('|', {_SHOWN})) AS h FROM samples) GROUP BY run",
+    "samples",
+)
 def run_manifest_fingerprint(spark, sf):
-    return writers.manifest(s.samples(spark, sf))
+    """The manifest of the first runs, and of the others added to it."""
+    rows = s.samples(spark, sf)
+    parts = [writers.manifest_parts(rows.filter(cut), columns=MANIFEST) for cut in ("run < 2", "run >= 2")]
+    return s.rounded(writers.with_fingerprint(writers.merge_manifests(*parts)))
 
 
 @query(

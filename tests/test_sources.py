@@ -61,3 +61,17 @@ def test_manifest_ignores_row_order(spark):
     key = lambda df: sorted(map(tuple, writers.manifest(df).collect()))
     assert key(a) == key(b)
     assert key(a) != key(a.filter("item_id <> 4"))
+
+
+def test_manifests_add_up(spark):
+    rows = [(r, 17 + r, i % 7, i / 3, None if i % 5 == 0 else f"t{i}") for r in range(3) for i in range(40)]
+    df = spark.createDataFrame(rows, "run int, seed int, item_id int, x double, t string")
+    key = lambda d: sorted(map(str, writers.with_fingerprint(d).collect()))
+    whole = writers.manifest_parts(df)
+    assert key(writers.merge_manifests(writers.manifest_parts(df.filter("run = 1")), writers.manifest_parts(df.filter("run <> 1")))) == key(whole)
+    split = writers.merge_manifests(writers.manifest_parts(df.filter("item_id < 3")), writers.manifest_parts(df.filter("item_id >= 3")))
+    got, want = ({r.run: r for r in writers.with_fingerprint(d).collect()} for d in (split, whole))
+    assert all(got[r].fingerprint == want[r].fingerprint and got[r].n_rows == want[r].n_rows and got[r].n_items is None for r in want)
+    twice = {r.run: r.fingerprint for r in writers.manifest(df.unionByName(df)).collect()}
+    nulls = {r.run: r.fingerprint for r in writers.manifest(df.fillna("~x")).collect()}
+    assert all(len({want[r].fingerprint, twice[r], nulls[r]}) == 3 for r in want) and want[0].seed == 17

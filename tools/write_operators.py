@@ -27,7 +27,7 @@ MARKS = {
     "X2": "trees of at most 16 levels", "X4": "sampled, with standard errors, in place of exact tree attributions",
     "R7": "alternating least squares in place of pairwise SGD", "L15": "one trigger over the log, no timers",
     "R4": "popular cells are not split", "R5": "all user-item sums are shuffled", "R6": "all user-item sums are shuffled",
-    "S6": "a report is one row", "S10": "no seed per run; a 64-bit sum as table hash", "S12": "without catalog-size, drift and ucb families",
+    "S6": "a report is one row", "S12": "without catalog-size, drift and ucb families",
     "P17": "labels given as a list", "L9": "scores only, no run report", "E3": "on samples of 400 items", "D4": "on samples of 400 items",
     "D7": "on samples of 400 items", "D9": "on samples of 400 items",
 }
