@@ -15,8 +15,8 @@ their words.
 Pairs stay in proportion to texts. In a bucket every text is first tried with the first
 text that is near it. What is verified becomes one group, and where near texts of a
 bucket are still in several groups, one text of each is tried with the first of another
-choice, round after round until a round finds nothing. Only then are the near pairs left
-between groups tried one by one, so none is left out. All keys are shuffled once; what
+choice, round after round while these tries bear fruit. Then the near pairs left
+between groups are tried one by one, so none is left out. All keys are shuffled once; what
 follows works on the texts that are near another one in a bucket.
 
 A bucket that holds very many texts is found on a sample of texts and dealt into cells
@@ -44,6 +44,8 @@ BITS, SEGMENTS, SEED = 14, 4, 42
 KEY_BITS = 27
 #: Texts of a cell of a large bucket.
 CELL = 2048
+#: Rounds go on while more than one try in FRUITFUL makes a link; all other pairs are tried after.
+FRUITFUL = 10
 #: One text in SAMPLE is counted to find large buckets. At most MOST of them are dealt into cells;
 #: the others hold less than one in MOST of all keys each.
 SAMPLE, MOST = 16, 1 << 16
@@ -277,8 +279,9 @@ def _large_buckets(sets: DataFrame, cell: int):
     sample = sets.filter(F.pmod(F.xxhash64("row"), F.lit(SAMPLE)) == 0)
     counts = sample.mapInArrow(_keyed(None), KEYED).groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") * SAMPLE > cell)
     rows = counts.orderBy(F.desc("n"), "key").limit(MOST).toPandas().sort_values("key")
-    cells = -(-rows["n"].to_numpy(np.int64) * SAMPLE // cell)
-    return sets.sparkSession.sparkContext.broadcast((rows["key"].to_numpy(np.int64), np.maximum(cells, 2)))
+    # Powers of two, so that cells of different keys hold the same texts and lead to the same pairs.
+    cells = 1 << np.ceil(np.log2(np.maximum(rows["n"].to_numpy(np.float64) * SAMPLE / cell, 2))).astype(np.int64)
+    return sets.sparkSession.sparkContext.broadcast((rows["key"].to_numpy(np.int64), cells))
 
 
 def near_roots(texts: DataFrame, least: float = COVERED, size: int = SHINGLE, bits: int = BITS, cell: int = CELL) -> DataFrame:
@@ -299,8 +302,14 @@ def near_roots(texts: DataFrame, least: float = COVERED, size: int = SHINGLE, bi
         )
         return materialize(both.mapInArrow(_verified(least, size), PAIR))
 
-    def grouped(links: DataFrame) -> DataFrame:
-        return materialize(components(links).select(F.col("node").alias("row"), "root"))
+    def grouped(roots: DataFrame, links: DataFrame) -> DataFrame:
+        """(row, root) after more links: groups that these connect become one."""
+        ends = links
+        for end in ("a", "b"):
+            ends = ends.join(roots.select(F.col("row").alias(end), F.col("root").alias("_root")), end, "left").withColumn(end, F.coalesce("_root", end)).drop("_root")
+        merged = materialize(components(ends).select(F.col("node").alias("root"), F.col("root").alias("_to")))
+        known = roots.unionByName(merged.select(F.col("root").alias("row"), "root").join(roots, "row", "left_anti"))
+        return materialize(known.join(merged, "root", "left").select("row", F.coalesce("_to", "root").alias("root")))
 
     def with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
         return rows.join(roots, "row", "left").withColumn("root", F.coalesce("root", "row"))
@@ -310,8 +319,8 @@ def near_roots(texts: DataFrame, least: float = COVERED, size: int = SHINGLE, bi
         return ready.mapInArrow(_paired(len(keys), bits, every), PAIR).distinct()
 
     tried = materialize(met.filter("first <> row").select(F.least("first", "row").alias("a"), F.greatest("first", "row").alias("b")).distinct())
-    links = verified(tried)
-    roots, open_, turn = grouped(links), met.select("key", "row", "f"), 0
+    none = met.limit(0).select("row", F.col("row").alias("root"))
+    roots, open_, turn = grouped(none, verified(tried)), met.select("key", "row", "f"), 0
     while True:  # one row of each group in a bucket, in another order each time
         turn += 1
         now = with_roots(open_, roots).select("key", "row", "f", "root")
@@ -325,10 +334,12 @@ def near_roots(texts: DataFrame, least: float = COVERED, size: int = SHINGLE, bi
         pairs = materialize(dealt(ones, ["key", "cell"], [F.xxhash64("row", F.lit(turn))], False).join(tried, ["a", "b"], "left_anti"))
         more = verified(pairs)
         tried = tried.unionByName(pairs)
-        if more.isEmpty():
+        n_pairs, n_more = pairs.count(), more.count()
+        if n_more:
+            roots = grouped(roots, more)
+        if n_more * FRUITFUL <= n_pairs:
             break
-        links = links.unionByName(more)
-        roots = grouped(links)
+    named = materialize(with_roots(open_, roots).select("key", "row", "f", "root"))
     blocks = named.groupBy("key").agg(F.ceil(F.count("*") / cell).cast("int").alias("n"))
     last = (
         named.join(blocks, "key").withColumn("i", F.pmod(F.xxhash64("row"), "n").cast("int"))
@@ -337,7 +348,7 @@ def near_roots(texts: DataFrame, least: float = COVERED, size: int = SHINGLE, bi
     )
     rest = materialize(dealt(last, ["key", "i", "j"], ["row"], True).join(tried, ["a", "b"], "left_anti"))
     more = verified(rest)
-    roots = roots if more.isEmpty() else grouped(links.unionByName(more))
+    roots = roots if more.isEmpty() else grouped(roots, more)
     low = with_roots(sets.select("row", "d0", "d1"), roots).select("d0", "d1", "root")
     return signed.select("row", "d0", "d1").join(low, ["d0", "d1"]).select("row", "root")
 
