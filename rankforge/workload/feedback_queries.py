@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from rankforge.operators import utility
 from rankforge.operators.mcdm import CRITERIA
 from rankforge.operators.ranking import top_k
 from rankforge.session import materialize, shared_dir
+from rankforge.streaming.ordered import ordered_values, start
 from rankforge.streaming.values import streaming_values
 from rankforge.workload import shapes as s
 from rankforge.workload import views as v
@@ -498,6 +500,42 @@ def streaming_values_query(spark, sf):
     return nudged(last.select("state", "item_id", "_l.q", "_l.visits"))
 
 
+#: Parts of the log in the ordered stream; one event in three comes a part late.
+PARTS = 4
+
+
+@query(
+    "streaming_values_out_of_order", "L15",
+    "SELECT state::BIGINT AS state, item_id, round(q + 1e-12, 9) AS q, visits FROM q_final", "q_final",
+)
+def streaming_values_out_of_order(spark, sf):
+    """The whole log in parts of equal spans of time, a third of the events one part late. The
+    stream is restarted from its checkpoint for every part; its last report is the batch fold."""
+    log = v.feedback(spark, sf).select("state", "item_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "engaged", "converted")
+    lo, hi = log.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    if lo is None:
+        return nudged(fb.q_values(fb.rewards(log)))
+    width = (hi - lo) // PARTS + 1
+    late = (F.pmod(F.xxhash64("event_id"), F.lit(3)) == 0).cast("long")
+    parts = materialize(fb.rewards(log).withColumn("part", F.floor((F.unix_micros("ts") - lo) / width) + late), ("part",))
+    out = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+    def save(batch, batch_id):
+        # Overwriting the folder of its batch makes a repeated batch harmless.
+        batch.write.mode("overwrite").parquet(f"{out}/updates/batch={batch_id}")
+
+    for part in range(PARTS + 1):
+        parts.filter(F.col("part") == part).drop("part").write.mode("append").parquet(f"{out}/in")
+        stream = spark.readStream.schema(parts.drop("part").schema).parquet(f"{out}/in")
+        values = ordered_values(stream, f"{2 * width // 1000} milliseconds")
+        start(spark, (
+            values.writeStream.outputMode("update").foreachBatch(save)
+            .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True)
+        )).awaitTermination()
+    last = spark.read.parquet(f"{out}/updates").groupBy("state", "item_id").agg(F.max_by(F.struct("q", "visits"), F.struct("batch", "visits")).alias("_l"))
+    return nudged(last.select("state", "item_id", "_l.q", "_l.visits"))
+
+
 _WEIGHED = "[" + ", ".join(f"{c} * w_{c}" for c in CRITERIA) + "]"
 _NAMES = "[" + ", ".join(f"'{explaining.CRITERION_LABELS[c]}'" for c in CRITERIA) + "]"
 _SHOWN = "[brand_score, price_fit, 1.0::DOUBLE, recency_score]"

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from rankforge.functions import profiles as pf
 from rankforge.operators import drift, utility
 from rankforge.operators import feedback as fb
+from rankforge.streaming.ordered import ordered_values, start
 from rankforge.streaming.values import streaming_values
 
 
@@ -101,6 +102,42 @@ def test_stream_ends_at_the_batch_state(spark, log, tmp_path):
         assert last[(r.state, r.item_id)] == (pytest.approx(r.q, abs=1e-12), r.visits)
 
 
+def test_ordered_stream_equals_the_batch_fold_over_files_out_of_order_and_a_restart(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(600):  # minutes in order; a third of the events comes up to two files late
+        rows.append((int(rng.integers(2)), int(rng.integers(6)), pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=i // 3), i, float(rng.normal()), min(9, i // 60 + int(rng.choice([0, 0, 0, 0, 1, 2])))))
+    pdf = pd.DataFrame(rows, columns=["state", "item_id", "ts", "event_id", "reward", "file"])
+    schema = "state int, item_id long, ts timestamp, event_id long, reward double"
+    folder, seen = tmp_path / "in", []
+
+    def add(files):
+        for i in files:
+            part = pdf[pdf["file"] == i].drop(columns="file").sample(frac=1.0, random_state=i)
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(folder))
+
+    def run():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+        out = ordered_values(stream, "60 minutes").writeStream.outputMode("update").foreachBatch(lambda b, i: seen.extend((i, *r) for r in b.collect()))
+        start(spark, out.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True)).awaitTermination()
+
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    for first, end in ((0, 5), (5, 10)):  # the second run goes on from the checkpoint
+        add(range(first, end))
+        run()
+        last = {}
+        for _, state, item, q, visits, settled in sorted(seen):
+            last[(state, item)] = (q, visits)
+            assert settled <= visits
+        log = spark.createDataFrame(pdf[pdf["file"] < end].drop(columns="file"), schema)
+        want = fb.q_values(log).collect()
+        assert len(want) == len(last) == 12
+        for r in want:
+            assert last[(r.state, r.item_id)] == (pytest.approx(r.q, abs=1e-12), r.visits)
+    assert len({s[0] for s in seen}) >= 10 and any(s[5] for s in seen)
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) == before
+
+
 def test_exploration_rate(spark):
     row = spark.range(1).select(fb.exploration_rate(F.lit(0)).alias("a"), fb.exploration_rate(F.lit(10)).alias("b"), fb.exploration_rate(F.lit(10**6)).alias("c")).first()
     assert (row.a, row.b, row.c) == (0.3, pytest.approx(0.3 * 0.9997**10), 0.05)
