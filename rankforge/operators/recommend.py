@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.recommendation import ALS
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,8 +14,8 @@ from rankforge.functions.profiles import FEATURES, LIST_K
 from rankforge.functions.scalars import dot
 from rankforge.operators.interactions import with_degree
 from rankforge.operators.ordering import attach, explode_range, join_unique, ordered_position
-from rankforge.operators.ranking import score_order, top_k
-from rankforge.operators.inner_product import dense_ids, largest_inner_products
+from rankforge.operators.inner_product import MARGIN, best_of_block, dense_ids, largest_inner_products
+from rankforge.operators.ranking import TIE_DIGITS, score_order, top_k
 from rankforge.operators.utility import with_each
 from rankforge.session import materialize
 
@@ -21,6 +23,9 @@ from rankforge.session import materialize
 HEAD = 10_000
 # Largest side of one co-occurrence group.
 CHUNK = 1_000
+# Items that a block of users meets at once, and tasks that share an item cell.
+STRETCH = 2_048
+CELL_SHARES = 8
 
 
 def mask_seen(scores: DataFrame, seen: DataFrame) -> DataFrame:
@@ -253,57 +258,177 @@ def _cells(placed: DataFrame, level: int, dim: int) -> DataFrame:
     return materialize(centres.join(radius, name))
 
 
-def _open(bounds: DataFrame, level: int, k: int, dim: int) -> DataFrame:
-    """Cells of one level that can still hold one of a user's k best unseen items.
+def _user_cells(users: DataFrame, k: int, dim: int, block: int, seen_block: int) -> DataFrame:
+    """Per cell of users: centre direction, radius (reach), how many items surely hold k unseen
+    ones for each member (need), and the number of blocks its members are dealt into."""
+    centres = users.groupBy("uc").agg(
+        *[F.avg(f"u{d}").alias(f"m{d}") for d in range(dim)], (F.max("n_seen") + k).alias("need"),
+        F.ceil(F.greatest(F.count("*") / block, F.sum("n_seen") / seen_block)).cast("int").alias("parts"),
+    ).select("uc", "need", "parts", *_unit(dim, "m", "c"))
+    reach = users.join(centres.drop("need", "parts"), "uc").groupBy("uc").agg((F.max(_angle(dim, "u", "c")) + 1e-6).alias("reach"))
+    return materialize(centres.join(reach, "uc").select("uc", "need", "parts", "reach", *[F.col(f"c{d}").alias(f"u{d}") for d in range(dim)]))
 
-    All items of a cell lie within its radius of its centre. The cells whose worst
-    items are best, taken until they hold k + n_seen items, set a bar; a cell
-    whose best item cannot reach the bar is closed. The window of a user sees the
-    cells of one level, not items.
+
+def _open(bounds: DataFrame, level: int, dim: int) -> DataFrame:
+    """Item cells of one level that can still hold one of the best unseen items of a member of
+    a user cell, with the highest score any of their pairs can have.
+
+    All items of a cell lie within its radius of its centre, and all users within reach of
+    theirs. The item cells whose worst pairs are best, taken until they hold what the user cell
+    needs, set a bar; an item cell whose best pair cannot reach the bar is closed for all
+    members at once. The window of a user cell sees the cells of one level, not items.
     """
-    angle = _angle(dim, "u", "c")
-    near = bounds.withColumn("_angle", angle).select(
+    spread = F.col("radius") + F.col("reach")
+    near = bounds.withColumn("_angle", _angle(dim, "u", "c")).select(
         *[c for c in bounds.columns if c not in {f"c{d}" for d in range(dim)}],
-        F.cos(F.least(F.col("_angle") + F.col("radius"), F.lit(3.141592653589793))).alias("_low"),
-        F.cos(F.greatest(F.col("_angle") - F.col("radius"), F.lit(0.0))).alias("_high"),
+        F.cos(F.least(F.col("_angle") + spread, F.lit(3.141592653589793))).alias("_low"),
+        F.cos(F.greatest(F.col("_angle") - spread, F.lit(0.0))).alias("high"),
     )
-    surest = Window.partitionBy("user_id").orderBy(F.col("_low").desc(), f"cell{level}")
+    surest = Window.partitionBy("uc").orderBy(F.col("_low").desc(), f"cell{level}")
     held = near.withColumn("_held", F.sum("n_cell").over(surest))
-    bar = F.max(F.when(F.col("_held") >= k + F.col("n_seen"), F.col("_low"))).over(Window.partitionBy("user_id"))
+    bar = F.max(F.when(F.col("_held") >= F.col("need"), F.col("_low"))).over(Window.partitionBy("uc"))
     barred = held.withColumn("_bar", bar)
-    return barred.filter(F.col("_bar").isNull() | (F.col("_high") >= F.col("_bar") - 1e-6)).select(
-        "user_id", "n_seen", *[f"u{d}" for d in range(dim)], f"cell{level}"
+    return barred.filter(F.col("_bar").isNull() | (F.col("high") >= F.col("_bar") - 1e-6)).select(
+        "uc", "need", "reach", *[f"u{d}" for d in range(dim)], f"cell{level}", "high"
     )
 
 
+class _Block:
+    """A block of users that meets item cells, the most promising first."""
+
+    def __init__(self, k: int, dim: int):
+        self.k, self.dim, self.done = k, dim, False
+        self.users: dict[int, int] = {}
+        self.x: list[np.ndarray] = []
+        self.seen: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held: list[tuple[float, np.ndarray, np.ndarray]] = []
+        self.n_held, self.bar = 0, None
+        self.best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+
+    def add_user(self, user: int, x: np.ndarray, seen: np.ndarray) -> None:
+        row = self.users.setdefault(user, len(self.users))
+        if row == len(self.x):
+            self.x.append(x)
+        self.seen.append((np.full(len(seen), row), seen))
+
+    def add_items(self, high: float, ids: np.ndarray, y: np.ndarray) -> None:
+        if self.done:
+            return
+        self.held.append((high, ids, y))
+        self.n_held += len(ids)
+        if self.n_held >= STRETCH:
+            self.score()
+
+    def score(self) -> None:
+        if not self.held:
+            return
+        if self.bar is None:
+            self.x, self.bar = np.array(self.x), np.full(len(self.users), -np.inf)
+            self.seen = tuple(np.concatenate(c) for c in zip(*self.seen))
+        # All later cells are bounded by the first one held.
+        if (self.bar > self.held[0][0] + MARGIN).all():
+            self.done = True
+        else:
+            ids, y = np.concatenate([h[1] for h in self.held]), np.concatenate([h[2] for h in self.held])
+            *found, _ = best_of_block(self.x, self.bar, y.reshape(-1, self.dim), ids, self.seen, self.k)
+            u, i, s = (np.concatenate(c) for c in zip(self.best, found))
+            by = np.lexsort((i, -np.round(s, TIE_DIGITS), u))
+            u, i, s = u[by], i[by], s[by]
+            place = np.arange(len(u)) - np.searchsorted(u, u, "left")
+            self.best = (u[place < self.k], i[place < self.k], s[place < self.k])
+            full = place == self.k - 1
+            self.bar[u[full]] = s[full]
+        self.held, self.n_held = [], 0
+
+    def lists(self, schema: pa.Schema) -> pa.RecordBatch:
+        self.score()
+        users = np.fromiter(self.users, np.int64, len(self.users))
+        u, i, s = self.best
+        return pa.record_batch([pa.array(users[u]), pa.array(i), pa.array(s)], schema=schema)
+
+
+def _best_first(k: int, dim: int):
+    """Rows (uc, part, items?, high, id, ids, values), users of a block before its item cells,
+    to lists of (user_id, item_id, score)."""
+    schema = pa.schema([("user_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, block = None, None
+        for batch in batches:
+            uc, part, items, high, ids = (batch.column(c).to_pylist() for c in range(5))
+            for n in range(batch.num_rows):
+                if (uc[n], part[n]) != now:
+                    if block:
+                        yield block.lists(schema)
+                    now, block = (uc[n], part[n]), _Block(k, dim)
+                many, values = (batch.column(c)[n].values.to_numpy(zero_copy_only=False) for c in (5, 6))
+                if items[n]:
+                    block.add_items(high[n], many, values)
+                else:
+                    block.add_user(ids[n], values, many)
+        if block:
+            yield block.lists(schema)
+
+    return run
+
+
 def content_top_k(
     edges: DataFrame, items: DataFrame, k: int = LIST_K, features: Sequence[str] = FEATURES,
-    grids: Sequence[int] = (3, 6, 12),
+    grids: Sequence[int] = (4, 12), user_grid: int = 4, block: int = 1024, item_block: int = 4096,
+    seen_block: int = 200_000,
 ) -> DataFrame:
     """The k unseen items of highest cosine to each user's content profile, exactly,
     without scoring every (user, item).
 
-    Unit vectors are put into nested grid cells. Coarse cells (at most
-    grids[0]^dim) are compared with every user; only cells that can hold a winner
-    are opened into the next finer level, and finally into items.
+    Unit vectors of items are put into nested grid cells, and profiles into cells of
+    direction and number of seen items. One bound closes a pair of cells for all their
+    members; only item cells that can hold a winner are opened into the next finer level.
+    What is left is multiplied in blocks: a block of a user cell meets its item cells by
+    falling bound and stops when the bound is below the k-th score of all its users.
     """
     dim = len(features)
     raw = items.select("item_id", *[F.col(f).alias(f"f{d}") for d, f in enumerate(features)])
-    vectors = raw.select("item_id", *_unit(dim, "f", "x"))
+    vectors = raw.select(F.col("item_id").cast("long").alias("item_id"), *_unit(dim, "f", "x"))
+
+    def steps(prefix: str, g: int) -> Column:
+        return _sum([F.floor(F.greatest(F.least(F.col(f"{prefix}{d}"), F.lit(1 - 1e-12)), F.lit(0.0)) * g) * (g**d) for d in range(dim)]).cast("long")
+
     for level, g in enumerate(grids):
-        steps = [F.floor(F.greatest(F.least(F.col(f"x{d}"), F.lit(1 - 1e-12)), F.lit(0.0)) * g) for d in range(dim)]
-        cell = _sum([c * (g**d) for d, c in enumerate(steps)])
-        vectors = vectors.withColumn(f"cell{level}", cell.cast("long"))
+        vectors = vectors.withColumn(f"cell{level}", steps("x", g))
     placed = materialize(vectors)
-    users = materialize(content_profiles(edges, placed.select("item_id", *[f"x{d}" for d in range(dim)]), dim))
-    opened = _open(with_each(users, _cells(placed, 0, dim)), 0, k, dim)
+    profiles = content_profiles(edges, placed.select("item_id", *[f"x{d}" for d in range(dim)]), dim)
+    activity = F.floor(F.log2(F.col("n_seen").cast("double"))).cast("long")
+    users = materialize(profiles.withColumn("uc", steps("u", user_grid) + activity * (user_grid**dim)))
+    user_cells = _user_cells(users, k, dim, block, seen_block)
+    cells = [_cells(placed, level, dim) for level in range(len(grids))]
+    opened = _open(with_each(user_cells.drop("parts"), cells[0]), 0, dim)
     for level in range(1, len(grids)):
-        finer = opened.join(_cells(placed, level, dim), f"cell{level - 1}").drop(f"cell{level - 1}")
-        opened = _open(finer, level, k, dim)
+        finer = opened.drop("high").join(cells[level], f"cell{level - 1}").drop(f"cell{level - 1}")
+        opened = _open(finer, level, dim)
     last = f"cell{len(grids) - 1}"
-    score = _sum([F.col(f"u{d}") * F.col(f"x{d}") for d in range(dim)])
-    scored = opened.join(placed.select("item_id", last, *[f"x{d}" for d in range(dim)]), last)
-    return masked_top_k(scored.select("user_id", "item_id", score.alias("score")), edges, "score", k)
+    vector = lambda name: F.array(*[f"{name}{d}" for d in range(dim)])
+    chunk = F.pmod(F.xxhash64("item_id"), F.ceil(F.col("n_cell") / item_block))
+    packed = (
+        placed.join(cells[-1].select(last, "n_cell"), last).groupBy(last, chunk.alias("chunk"))
+        .agg(F.collect_list(F.struct("item_id", vector("x").alias("x"))).alias("l"))  # at most about item_block
+        .select(last, F.col("l.item_id").alias("ids"), F.flatten("l.x").alias("vs"))
+        .withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(CELL_SHARES - 1))))
+    )
+    dealt = opened.select("uc", last, "high").join(user_cells.select("uc", "parts"), "uc").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    offers = dealt.withColumn("share", F.pmod(F.xxhash64("uc", "part"), F.lit(CELL_SHARES)).cast("int")).join(packed, [last, "share"]).select(
+        "uc", "part", F.lit(True).alias("items"), "high", F.lit(None).cast("long").alias("id"), "ids", "vs"
+    )
+    member = users.join(user_cells.select("uc", "parts"), "uc").withColumn("part", F.pmod(F.xxhash64("user_id"), "parts").cast("int"))
+    own = edges.select("user_id", F.col("item_id").cast("long").alias("item_id")).distinct()
+    asked = (  # what a user has seen, in pieces of bounded size
+        member.join(own, "user_id").groupBy("uc", "part", "user_id", F.pmod(F.xxhash64("item_id"), F.ceil(F.col("n_seen") / seen_block)).alias("piece"))
+        .agg(F.first(vector("u")).alias("vs"), F.collect_list("item_id").alias("ids"))
+        .select("uc", "part", F.lit(False).alias("items"), F.lit(2.0).alias("high"), F.col("user_id").cast("long").alias("id"), "ids", "vs")
+    )
+    rows = asked.unionByName(offers).repartition("uc", "part").sortWithinPartitions("uc", "part", "items", F.desc("high"))
+    found = rows.mapInArrow(_best_first(k, dim), "user_id long, item_id long, score double")
+    kept = found.select(F.col("user_id").cast(edges.schema["user_id"].dataType), F.col("item_id").cast(items.schema["item_id"].dataType), "score")
+    return top_k(kept, "score", k, ["user_id"])
 
 
 def implicit_factors(edges: DataFrame, rank: int = 16, iterations: int = 5, seed: int = 7) -> tuple[DataFrame, DataFrame]:

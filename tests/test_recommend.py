@@ -103,6 +103,28 @@ def test_content_lists_are_exact(data, spark):
         assert got[u] == best
 
 
+def test_content_lists_are_exact_in_many_blocks_with_a_heavy_user_and_zero_vectors(spark):
+    rng = np.random.default_rng(11)
+    n_items, names = 300, ["a", "b", "c"]
+    x = np.round(rng.random((n_items, 3)), 2)  # ties
+    x[7] = 0
+    rows = {(u, int(i)) for u in range(40) for i in rng.integers(n_items, size=rng.integers(1, 9))} | {(99, i) for i in range(290)} | {(50, 7)}
+    edges = spark.createDataFrame(sorted(rows), "user_id long, item_id long")
+    items = spark.createDataFrame([(i, *map(float, x[i])) for i in range(n_items)], "item_id long, a double, b double, c double")
+    got = defaultdict(list)
+    lists = rec.content_top_k(edges, items, 12, names, user_grid=2, block=3, item_block=4, seen_block=20)
+    for r in lists.orderBy("user_id", "rank").collect():
+        got[r.user_id].append(r.item_id)
+    length = np.linalg.norm(x, axis=1, keepdims=True)
+    unit = x / np.where(length == 0, 1, length)
+    for u, own in baskets(sorted(rows)).items():
+        c = unit[sorted(own)].mean(0)
+        score = unit @ (c / (np.linalg.norm(c) or 1))
+        best = sorted((i for i in range(n_items) if i not in own), key=lambda i: (-round(score[i], 9), i))[:12]
+        assert got[u] == best, u
+    assert len(got[99]) == 10
+
+
 def test_propagation(spark):
     edges = spark.createDataFrame([(1, 1), (1, 2), (2, 2)], "user_id long, item_id long")
     bip = rec.bipartite_edges(edges)
