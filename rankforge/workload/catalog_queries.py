@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rankforge.functions import profiles as pf
 from rankforge.functions import scalars, text
 from rankforge.operators import catalog as cat
+from rankforge.operators import contexts as cx
 from rankforge.operators import ordering, sampling, utility
 from rankforge.operators.ranking import keep_first
 from rankforge.sources.writers import publish
@@ -173,30 +174,21 @@ def engagement_probabilities(spark, sf):
 
 @query(
     "context_matrix", "P17",
-    """SELECT item_id, list_transform([1.0::DOUBLE, price_pct, quality_pct, popularity_pct, rating_pct, recency_pct,
-  (category = 'Computers')::INTEGER, (category = 'Electronics')::INTEGER, (category = 'HomeKitchen')::INTEGER,
-  (brand = 'budget_brand')::INTEGER, (brand = 'mid_brand')::INTEGER, (brand = 'premium_brand')::INTEGER], lambda e: round(e, 6)) AS x FROM items""",
+    """SELECT item_id, list_transform(list_concat([1.0::DOUBLE, price_pct, quality_pct, popularity_pct, rating_pct, recency_pct],
+  list_transform(categories, lambda l: (l = category)::INTEGER::DOUBLE), list_transform(brands, lambda l: (l = brand)::INTEGER::DOUBLE)), lambda e: round(e, 6)) AS x
+FROM items, (SELECT list(DISTINCT category ORDER BY category) AS categories, list(DISTINCT brand ORDER BY brand) AS brands FROM items)""",
     "items",
 )
 def context_matrix(spark, sf):
-    return contexts(v.items(spark, sf)).select("item_id", F.transform("x", lambda e: F.round(e, 6)).alias("x"))
-
-
-CONTEXT_DIM = 12
+    return contexts(v.items(spark, sf))[0].select("item_id", F.transform("x", lambda e: F.round(e, 6)).alias("x"))
 
 
 def contexts(items):
-    """[1, five percentiles, one-hot category, one-hot price tier]; the labels of
-    both are fixed, in alphabetical order."""
-    hot = lambda c, labels: [(F.col(c) == x).cast("double") for x in labels]
-    return items.select(
-        "item_id",
-        F.array(
-            F.lit(1.0), *[F.col(f) for f in pf.FEATURES],
-            *hot("category", ["Computers", "Electronics", "HomeKitchen"]),
-            *hot("brand", ["budget_brand", "mid_brand", "premium_brand"]),
-        ).alias("x"),
-    )
+    """[1, five percentiles, one-hot category, one-hot price tier] with the labels that the
+    catalog has, in order, and the length."""
+    labels = cx.label_dictionary(items, ["category", "brand"])
+    size = cx.context_size(pf.FEATURES, labels)
+    return cx.dense(cx.sparse_contexts(items, pf.FEATURES, labels), size), size
 
 
 @query(

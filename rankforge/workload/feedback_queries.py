@@ -19,7 +19,7 @@ from rankforge.streaming.ordered import ordered_values, start
 from rankforge.streaming.values import streaming_values
 from rankforge.workload import shapes as s
 from rankforge.workload import views as v
-from rankforge.workload.catalog_queries import CONTEXT_DIM, contexts
+from rankforge.workload.catalog_queries import contexts
 from rankforge.workload.registry import cte, query, shared
 
 def nudged(df):
@@ -193,9 +193,9 @@ def bonus_sensitivity(spark, sf):
 @query("contextual_ridge", "L9 P17")
 def contextual_ridge(spark, sf):
     """Scores and upper bounds of every item per state."""
-    x = contexts(v.items(spark, sf))
-    models = fb.contextual_ridge(fb.rewards(v.feedback(spark, sf)), x, CONTEXT_DIM)
-    return fb.contextual_scores(x, models, CONTEXT_DIM)
+    x, size = contexts(v.items(spark, sf))
+    models = fb.contextual_ridge(fb.rewards(v.feedback(spark, sf)), x, size)
+    return fb.contextual_scores(x, models, size)
 
 
 cte(
