@@ -127,9 +127,10 @@ def judge_documents(
     )
 
 
-def _sql() -> str:
+def sql(rules: tuple[Rule, ...] = RULES) -> str:
+    """The same for a table ``documents``, with the same rules."""
     sums, priors, rates, over = [], [], [], []
-    for r in RULES:
+    for r in rules:
         n = r.name
         sums.append(f"sum(({r.failed})::INT)::DOUBLE AS {n}")
         priors.append(f"sum({n}) / sum(n) AS m_{n}, greatest(sum(n * ({n} / n) * ({n} / n)) / sum(n) - (sum({n}) / sum(n)) ** 2, 1e-9) AS v_{n}")
@@ -156,4 +157,4 @@ FROM b JOIN v ON b.source IS NOT DISTINCT FROM v.source
 """
 
 
-SQL = _sql()
+SQL = sql()

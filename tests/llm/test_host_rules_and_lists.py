@@ -1,5 +1,8 @@
 from datetime import date
 
+import duckdb
+import pandas as pd
+
 from rankforge.llm import host_rules, url_lists
 
 GOOD = " ".join(f"word{i}" for i in range(80))
@@ -18,6 +21,29 @@ def test_hosts_are_judged_by_shrunk_rates(spark):
     assert rates["bad"].symbols_rate > 0.5 > rates["tiny"].symbols_rate > rates["good0"].symbols_rate
 
 
+def test_prior_and_raw_rate_decide_differently_and_sql_agrees(spark):
+    """A host of one bad document and one a little over the limit are kept by the shrunk rate and
+    would go by the raw one; a large host over the limit goes either way."""
+    rows = [(f"good{h}", GOOD) for h in range(40) for _ in range(10)] + [("bad", NOISE)] * 60 + [("bad", GOOD)] * 5
+    rows += [("tiny", NOISE)] + [("edge", NOISE)] * 6 + [("edge", GOOD)] * 5 + [(None, GOOD), (None, None), ("good1", "few words")]
+    docs = pd.DataFrame([(i, h, t) for i, (h, t) in enumerate(rows)], columns=["doc_id", "source", "text"])
+    frame = spark.createDataFrame(list(docs.itertuples(index=False, name=None)), "doc_id long, source string, text string")
+    strict = tuple(host_rules.Rule(r.name, r.failed, 0.05) for r in host_rules.RULES)
+    dropped = {}
+    for name, rules in (("usual", host_rules.RULES), ("strict", strict)):
+        got = host_rules.judge_documents(frame, rules=rules)
+        con = duckdb.connect()
+        con.register("documents", docs)
+        want = con.execute(host_rules.sql(rules)).fetchdf().sort_values("doc_id")
+        have = got.select(*want.columns).toPandas().sort_values("doc_id")
+        assert have.to_numpy().tolist() == want.to_numpy().tolist()
+        own = have.set_index("doc_id")
+        dropped[name] = {h for i, (h, t) in enumerate(rows) if not own.loc[i, "kept"] and not own.loc[i, "base_failed"]}
+    raw = {h: sum(t == NOISE for g, t in rows if g == h) / sum(g == h for g, _ in rows) for h in ("bad", "tiny", "edge")}
+    assert all(rate > 0.5 for rate in raw.values()) and dropped["usual"] == {"bad"}
+    assert dropped["strict"] >= {"bad", "tiny", "edge"}
+
+
 def test_entries_hold_from_day_to_day(spark):
     d = lambda n: date(2024, 1, n)
     entries = spark.createDataFrame([
