@@ -172,13 +172,20 @@ def engagement_probabilities(spark, sf):
     return s.rounded(utility.engagement_probabilities(_frame(spark, sf), 0.95).select("item_id", "profile", "p_engage", "p_convert"), 9)
 
 
-@query(
-    "context_matrix", "P17",
-    """SELECT item_id, list_transform(list_concat([1.0::DOUBLE, price_pct, quality_pct, popularity_pct, rating_pct, recency_pct],
-  list_transform(categories, lambda l: (l = category)::INTEGER::DOUBLE), list_transform(brands, lambda l: (l = brand)::INTEGER::DOUBLE)), lambda e: round(e, 6)) AS x
+cte(
+    "contexts",
+    """SELECT item_id, list_concat([1.0::DOUBLE, price_pct, quality_pct, popularity_pct, rating_pct, recency_pct],
+  list_transform(categories, lambda l: (l = category)::INTEGER::DOUBLE), list_transform(brands, lambda l: (l = brand)::INTEGER::DOUBLE)) AS x
 FROM items, (SELECT list(DISTINCT category ORDER BY category) AS categories, list(DISTINCT brand ORDER BY brand) AS brands FROM items)""",
     "items",
 )
+
+
+@query(
+    "context_matrix", "P17",
+    "SELECT item_id, list_transform(x, lambda e: round(e, 6)) AS x FROM contexts",
+    "contexts",
+)
 def context_matrix(spark, sf):
     return contexts(v.items(spark, sf))[0].select("item_id", F.transform("x", lambda e: F.round(e, 6)).alias("x"))
 

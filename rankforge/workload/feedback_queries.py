@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from rankforge.functions import profiles as pf
+from rankforge.functions.scalars import dot
 from rankforge.operators import drift, explaining
 from rankforge.operators import feedback as fb
 from rankforge.operators import interactions as ix
@@ -198,6 +199,27 @@ def contextual_ridge(spark, sf):
     return fb.contextual_scores(x, models, size)
 
 
+@query(
+    "contextual_ridge_equations", "L9",
+    """SELECT state::BIGINT AS state, d AS place, round(sum(reward * x[d + 1]) + 1e-8, 5) AS moment
+FROM (SELECT state, reward, x, unnest(range(len(x))) AS d FROM rewarded JOIN contexts USING (item_id)) GROUP BY state, d""",
+    "rewarded contexts",
+)
+def contextual_ridge_equations(spark, sf):
+    """theta + sum of x (x . theta) over all events, per state and place: what a solution of the
+    ridge equations makes of the moments of the rewards, which the SQL sums. Moments that end in
+    a 5 are shifted by far more than float noise, so both engines round them alike."""
+    x, size = contexts(v.items(spark, sf))
+    log = fb.rewards(v.feedback(spark, sf))
+    models = materialize(fb.contextual_ridge(log, x, size)).select("state", "theta")
+    visits = log.groupBy("state", "item_id").agg(F.count("*").alias("n"))
+    # One row per state.
+    told = visits.join(x, "item_id").join(models, "state").withColumn("told", F.col("n") * dot("x", "theta"))
+    sums = told.select("state", "told", F.posexplode("x").alias("place", "v")).groupBy("state", "place").agg(F.sum(F.col("told") * F.col("v")).alias("a"))
+    own = models.select("state", F.posexplode("theta").alias("place", "t"))
+    return sums.join(own, ["state", "place"]).select(F.col("state").cast("long"), F.col("place").cast("long"), F.round(F.col("a") + F.col("t") + 1e-8, 5).alias("moment"))
+
+
 cte(
     "flipped",
     """SELECT user_id, cat_leaf, CASE WHEN cat_leaf = lo_k THEN hi_w WHEN cat_leaf = hi_k THEN lo_w ELSE share END AS share FROM leaf_shares JOIN (

@@ -12,12 +12,12 @@ sys.path.insert(0, str(ROOT))
 from rankforge.workload import load, registry  # noqa: E402
 
 WHERE = {
-    "S": "sources/readers.py, sources/writers.py", "P": "functions/, operators/catalog.py, operators/utility.py",
+    "S": "sources/readers.py, sources/writers.py", "P": "functions/, operators/catalog.py, operators/contexts.py, operators/utility.py",
     "F": "operators/catalog.py, operators/interactions.py", "J": "as part of the operators named by the queries",
     "A": "operators/interactions.py, operators/summary.py", "W": "operators/ordering.py, operators/ranking.py",
     "T": "operators/ranking.py", "U": "operators/threshold.py, operators/utility.py, operators/metrics.py", "M": "operators/sampling.py",
     "D": "operators/mcdm.py, operators/blending.py, operators/explaining.py, plans/experiment.py",
-    "E": "operators/metrics.py, plans/", "H": "operators/paired.py", "L": "operators/feedback.py, operators/drift.py, streaming/values.py",
+    "E": "operators/metrics.py, plans/", "H": "operators/paired.py", "L": "operators/feedback.py, operators/drift.py, streaming/",
     "R": "operators/recommend.py, operators/inner_product.py, operators/sampling.py", "X": "operators/explaining.py",
 }
 
@@ -25,10 +25,10 @@ WHERE = {
 # What an operator does less of than its blueprint says, or otherwise.
 MARKS = {
     "X2": "trees of at most 16 levels", "X4": "sampled, with standard errors, in place of exact tree attributions",
-    "R7": "alternating least squares in place of pairwise SGD", "L15": "one trigger over the log, no timers",
-    "R4": "popular cells are not split", "R5": "all user-item sums are shuffled", "R6": "all user-item sums are shuffled",
+    "R7": "alternating least squares in place of pairwise SGD",
+    "R5": "all user-item sums are shuffled", "R6": "all user-item sums are shuffled",
     "S6": "a report is one row", "S12": "without catalog-size, drift and ucb families",
-    "P17": "labels given as a list", "L9": "scores only, no run report", "E3": "on samples of 400 items", "D4": "on samples of 400 items",
+    "L9": "scores only, no run report", "E3": "on samples of 400 items", "D4": "on samples of 400 items",
     "D7": "on samples of 400 items", "D9": "on samples of 400 items",
 }
 
