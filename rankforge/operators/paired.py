@@ -60,13 +60,14 @@ def normal_upper(z: pd.Series) -> pd.Series:
 
 
 def paired_t(pairs: DataFrame, by: Sequence[str] = ("baseline",), guard: bool = False,
-             n_tests: int | None = None, p_values: bool = True) -> DataFrame:
+             n_tests: int | None = None, p_values: bool = True, round_digits: int | None = None) -> DataFrame:
     """t, Cohen's d and Bonferroni decision per group of pairs.
 
     Without spread: ``guard`` reports t = 0, p = 1, d = 0, otherwise d is
-    infinite. ``n_tests`` (default: the number of groups) divides the level.
+    infinite. ``n_tests`` (default: the number of groups) divides the level. Differences of
+    averages are taken at ``round_digits``, or the order of a sum decides on ties.
     """
-    d = F.col("diff")
+    d = F.col("diff") if round_digits is None else F.round("diff", round_digits)
     stats = pairs.groupBy(*by).agg(
         F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"), F.avg(d).alias("mean_diff"),
         F.stddev_samp(d).alias("std_diff"), F.count(d).alias("n"),

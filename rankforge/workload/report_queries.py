@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from rankforge.operators import paired, sampling, summary
+from rankforge.operators.ranking import TIE_DIGITS
 from rankforge.workload import shapes as s
 from rankforge.workload import views as v
 from rankforge.workload.experiment_queries import SUMMARY_COLS, final_report, lambda_report, run_means
@@ -46,10 +47,13 @@ def t_rounded(df, *keys):
     )
 
 
-@query("paired_t", "H1 H2 A15", T_SQL.format(keys="baseline", source="paired_runs"), "paired_runs")
+@query(
+    "paired_t", "H1 H2 A15",
+    T_SQL.format(keys="baseline", source=f"(SELECT baseline, round(diff, {TIE_DIGITS}) + 0.0 AS diff FROM paired_runs)"), "paired_runs",
+)
 def paired_t(spark, sf):
     pairs = paired.pair_up(run_values(spark, sf), "hybrid", ["run"])
-    return t_rounded(paired.paired_t(pairs, guard=True, p_values=False), "baseline")
+    return t_rounded(paired.paired_t(pairs, guard=True, p_values=False, round_digits=TIE_DIGITS), "baseline")
 
 
 @query("paired_t_by_checkpoint", "H2 H4 A15", T_SQL.format(keys="checkpoint, baseline", source="paired_rows"), "paired_rows")

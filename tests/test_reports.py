@@ -50,6 +50,12 @@ def test_paired_t(spark):
     assert (got.wins, got.ties, got.losses, got.bonferroni_alpha) == (4, 0, 1, 0.0125)
 
 
+def test_the_order_of_a_sum_makes_no_loss(spark):
+    """0.1 + 0.2 against 0.3: a tie, whatever the last bits say."""
+    got = paired.paired_t(pairs(spark, [0.3 - (0.1 + 0.2), 0.0, 0.5]), round_digits=9).first()
+    assert (got.wins, got.ties, got.losses) == (1, 2, 0)
+
+
 def test_summaries(spark):
     x = np.random.default_rng(0).random(30)
     df = spark.createDataFrame([("m", i, float(v)) for i, v in enumerate(x)], "method string, run int, f1 double")
