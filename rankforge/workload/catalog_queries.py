@@ -183,11 +183,11 @@ FROM items, (SELECT list(DISTINCT category ORDER BY category) AS categories, lis
 
 @query(
     "context_matrix", "P17",
-    "SELECT item_id, list_transform(x, lambda e: round(e, 6)) AS x FROM contexts",
+    f"SELECT item_id, list_transform(x, lambda e: {s.half_up_sql('e')}) AS x FROM contexts",
     "contexts",
 )
 def context_matrix(spark, sf):
-    return contexts(v.items(spark, sf))[0].select("item_id", F.transform("x", lambda e: F.round(e, 6)).alias("x"))
+    return contexts(v.items(spark, sf))[0].select("item_id", F.transform("x", lambda e: s.half_up(e)).alias("x"))
 
 
 def contexts(items):

@@ -1,6 +1,9 @@
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from rankforge.operators import contexts as cx
+from rankforge.workload import shapes
 
 
 @pytest.fixture(scope="module")
@@ -31,3 +34,10 @@ def test_a_new_label_gets_a_column_and_an_unknown_one_none(spark, items):
 def test_too_many_labels_are_an_error(items):
     with pytest.raises(ValueError, match="more than 3 labels"):
         cx.label_dictionary(items, ["kind", "tier"], 3)
+
+
+def test_halves_are_rounded_alike_by_both_engines(spark):
+    values = [0.9664875, 1 - 0.0335125, 0.2519875, 0.0000125, 1.0, 0.0]
+    got = [r.x for r in spark.createDataFrame([(v,) for v in values], "x double").select(shapes.half_up(F.col("x")).alias("x")).collect()]
+    want = [duckdb.connect().execute(f"SELECT {shapes.half_up_sql(f'{v!r}::DOUBLE')}").fetchone()[0] for v in values]
+    assert got == want == [0.966488, 0.966488, 0.251988, 0.000013, 1.0, 0.0]
