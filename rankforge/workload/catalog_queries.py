@@ -200,7 +200,7 @@ def contexts(items):
 
 @query(
     "l2_normalize", "P18",
-    """SELECT vec_id, list_transform(embedding, lambda e: round(e::DOUBLE / CASE WHEN nrm = 0 THEN 1 ELSE nrm END, 6)) AS unit
+    """SELECT vec_id, list_transform(embedding, lambda e: round(e::DOUBLE / CASE WHEN nrm = 0 THEN 1 ELSE nrm END, 6) + 0.0) AS unit
 FROM (SELECT *, sqrt(list_sum(list_transform(embedding, lambda e: e::DOUBLE * e::DOUBLE))) AS nrm FROM embeddings)""",
 )
 def l2_normalize(spark, sf):

@@ -3,7 +3,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankforge.operators import contexts as cx
-from rankforge.workload import shapes
+from rankforge.workload import load, shapes
+
+SQL = load()[1]
 
 
 @pytest.fixture(scope="module")
@@ -41,3 +43,9 @@ def test_halves_are_rounded_alike_by_both_engines(spark):
     got = [r.x for r in spark.createDataFrame([(v,) for v in values], "x double").select(shapes.half_up(F.col("x")).alias("x")).collect()]
     want = [duckdb.connect().execute(f"SELECT {shapes.half_up_sql(f'{v!r}::DOUBLE')}").fetchone()[0] for v in values]
     assert got == want == [0.966488, 0.966488, 0.251988, 0.000013, 1.0, 0.0]
+
+
+def test_sql_of_unit_vectors_has_no_negative_zero():
+    con = duckdb.connect()
+    con.execute("create table embeddings as select 1 as vec_id, [1.0::FLOAT, -0.0000001::FLOAT] as embedding")
+    assert str(con.execute(SQL["l2_normalize"]).fetchone()[1]) == "[1.0, 0.0]"
