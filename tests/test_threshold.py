@@ -134,3 +134,16 @@ def test_visits_follow_the_users_log(spark):
     log = spark.createDataFrame([(1, 10 + i % 2, i, i) for i in range(30)] + [(2, 5, 0, 0)], "user_id long, item_id long, ts long, event long")
     got = {(r.user_id, r.item_id): r.visits for r in external.visits_by_epoch(log).collect()}
     assert got == {(1, 10): [1, 1, 3, 5, 10, 15], (1, 11): [0, 1, 2, 5, 10, 15], (2, 5): [0, 0, 0, 0, 0, 1]}
+
+
+def test_every_pair_is_scored(spark, catalog, people):
+    """Users and items are dealt into several blocks; no pair is left out."""
+    (rows, items), (users, frame) = catalog, people
+    ranged = external.best_hidden(items, frame, 5)[1]
+    few = items.filter("item_id % 50 = 0 and price is not null")
+    got = {(r.user_id, r.item_id): r.hidden for r in threshold.utility_of_all(few, ranged, user_block=7, item_block=9).collect()}
+    want = {}
+    for user in users[:-1]:
+        scaled = brute(rows, user, 1)[1]
+        want |= {(user[0], i): x for i, x in scaled.items() if i % 50 == 0}
+    assert got == pytest.approx(want, abs=1e-9)
