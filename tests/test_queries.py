@@ -62,3 +62,9 @@ def test_plans_have_no_cartesian_product(spark, name):
     df = QUERIES[name](spark, str(FOLDER))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_training_positions_are_not_broadcast(spark):
+    """Both sides of the last join have a row per training position; their files are small."""
+    plan = QUERIES["sequence_samples"](spark, str(FOLDER))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
