@@ -75,3 +75,19 @@ def test_manifests_add_up(spark):
     twice = {r.run: r.fingerprint for r in writers.manifest(df.unionByName(df)).collect()}
     nulls = {r.run: r.fingerprint for r in writers.manifest(df.fillna("~x")).collect()}
     assert all(len({want[r].fingerprint, twice[r], nulls[r]}) == 3 for r in want) and want[0].seed == 17
+
+
+def test_flat_records_are_not_parsed_one_by_one(spark, tmp_path, monkeypatch):
+    """Flat lines go around the Python parser and give what it gives; others still meet it."""
+    flat = ["{'a': 'x, y {é}', 'b': 4.0, 'c': -12, 'd': None}", "{'a': 'None', 'b': 0.25, 'c': 0, 'd': True}", "{'a': '', 'a': 'z', 'd': False}"]
+    other = ["{'a': 'x: None, y', 'b': 1.50}", "{'a': 'p' 'q', 'c': 1_0}", "{'a': \"it's\"}", "{'a': u'v'}", "{'a': 1.50}", "{'c': 01}", "{'b': [1.0]}", "x"]
+    (tmp_path / "r.txt").write_text("\n".join(flat + other), encoding="utf-8")
+    schema = "a string, b double, c long, d boolean"
+    rows = lambda: sorted(map(repr, readers.read_records(spark, str(tmp_path / "r.txt"), schema).collect()))
+    got = rows()
+    monkeypatch.setattr(readers, "FLAT", "a^")
+    assert got == rows() and len(got) == 9
+    assert not readers.pc.match_substring_regex(readers.pa.array(other), readers.FLAT).to_pylist().count(True)
+    monkeypatch.undo()
+    assert all(readers.pc.match_substring_regex(readers.pa.array(flat), readers.FLAT).to_pylist())
+    assert not any(readers.pc.match_substring_regex(readers.pa.array(other), readers.FLAT).to_pylist())
