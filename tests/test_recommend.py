@@ -206,3 +206,65 @@ def test_bootstrap_draws_n_users(spark):
     metrics = spark.range(50).select(F.col("id").alias("user_id"), F.col("id").cast("double").alias("m"))
     got = [r.m for r in sampling.user_bootstrap(metrics, "m", [], 20).collect()]
     assert len(got) == 20 and abs(np.mean(got) - 24.5) < 2 and np.std(got) > 0.5
+
+
+def test_samples_sort_ids_up_to_the_cut_only(spark, monkeypatch):
+    """Neither other columns of the items nor hashes beyond the cut are sorted."""
+    from rankforge.operators import sampling as sp
+
+    pct = [f"{c}_pct" for c in ("price", "quality", "popularity", "rating", "recency")]
+    items = spark.range(20000).select(
+        F.col("id").alias("item_id"), *[(F.col("id") * (i + 3) % 97).cast("double").alias(c) for i, c in enumerate(("price", "quality", "popularity", "rating", "recency"))],
+        *[(F.col("id") * (i + 3) % 97 / 97).alias(c) for i, c in enumerate(pct)], F.lit("w" * 100).alias("wide"),
+    )
+    seen, real = [], sp.top_k
+    monkeypatch.setattr(sp, "top_k", lambda df, *a, **k: seen.append((df.columns, df.count())) or real(df, *a, **k))
+    got = sp.stratified_sample(items, None, 40, 3)
+    (columns, n), = seen
+    assert "wide" not in columns and n < 3 * 20000 / 4
+    assert got.columns[-3:] != [] and "wide" in got.columns and {r["count"] for r in got.groupBy("run").count().collect()} == {40}
+
+
+def test_order_lines_get_more_tasks_with_more_lines(spark, monkeypatch):
+    from rankforge.workload import views
+
+    folder = "/root/testdata/sf0.001"
+    rows = lambda: sorted(map(tuple, views.sales_by_part(spark, folder).collect()))
+    few = rows()
+    monkeypatch.setattr(views, "LINES_PER_TASK", 100)
+    lines = views.table(spark, folder, "lineitem")
+    assert views.line_tasks(lines) == -(-lines.count() // 100)
+    assert rows() == few
+
+
+def test_a_cell_of_many_users_meets_its_items_once(spark, monkeypatch):
+    """3000 users of one cell are one block, multiplied in parts; items travel to it once."""
+    rng = np.random.default_rng(5)
+    vectors = {int(i): (0.6 + 0.01 * rng.random(2)).tolist() for i in range(60)}
+    items = spark.createDataFrame([(i, *x) for i, x in vectors.items()], "item_id long, a double, b double")
+    edges = spark.range(3000).select(F.col("id").alias("user_id"), (F.col("id") % 60).alias("item_id"))
+    moved, real = spark.sparkContext.accumulator(0), rec._best_first
+
+    def counted(k, dim):
+        run = real(k, dim)
+
+        def watch(batches):
+            def each():
+                for b in batches:
+                    moved.add(sum(len(i) for i, is_item in zip(b.column(5).to_pylist(), b.column(2).to_pylist()) if is_item))
+                    yield b
+
+            return run(each())
+
+        return watch
+
+    monkeypatch.setattr(rec, "_best_first", counted)
+    got = {}
+    for r in rec.content_top_k(edges, items, 3, ["a", "b"]).collect():
+        got.setdefault(r.user_id, []).append((r["rank"], r.item_id))
+    assert moved.value == 60
+    unit = {i: np.array(x) / np.linalg.norm(x) for i, x in vectors.items()}
+    for u in (0, 1023, 1024, 2999):
+        order = sorted((-round(float(unit[u % 60] @ x), 9), i) for i, x in unit.items() if i != u % 60)
+        assert [i for _, i in sorted(got[u])] == [i for _, i in order[:3]]
+    assert len(got) == 3000
