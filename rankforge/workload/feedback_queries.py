@@ -13,6 +13,7 @@ from rankforge.operators import drift, explaining
 from rankforge.operators import feedback as fb
 from rankforge.operators import interactions as ix
 from rankforge.operators import utility
+from rankforge.operators.grid_targets import best_targets
 from rankforge.operators.mcdm import CRITERIA
 from rankforge.operators.ranking import top_k
 from rankforge.session import materialize, shared_dir
@@ -424,11 +425,9 @@ def phase_truth(spark, sf):
     pre = profile_table(spark)
     phases = drift.profile_phases(pre, drift.shifted_profile(pre, **SHIFT))
     items = utility.observable_utility(v.items(spark, sf)).select("item_id", "brand", "category", "price", "recency_pct", "observable")
-    frame = utility.with_each(items, phases)  # five profiles in 41 phases
-    group = ["profile_idx", "phase"]
-    target = utility.blend_target(utility.hidden_utility(frame, group), group, noise_sd=0.0)
+    best = best_targets(items, phases, ["profile_idx", "phase"], pf.TOP_K)  # five profiles in 41 phases
     start = F.element_at(F.array(*[F.lit(int(n)).cast("long") for n in _STARTS]), F.col("phase") + 1)
-    return top_k(target, "target", pf.TOP_K, group).select(F.col("profile_idx").alias("state"), "phase", start.alias("phase_start"), "item_id")
+    return best.select(F.col("profile_idx").alias("state"), "phase", start.alias("phase_start"), "item_id")
 
 
 @query("drifting_truth", "L12 L13 U1", "SELECT state::BIGINT AS state, phase::BIGINT AS phase, phase_start, item_id FROM phase_truth", "phase_truth")
