@@ -15,7 +15,7 @@ from rankforge.operators import interactions as ix
 from rankforge.operators import utility
 from rankforge.operators.grid_targets import best_targets
 from rankforge.operators.mcdm import CRITERIA
-from rankforge.operators.ranking import top_k
+from rankforge.operators.ranking import from_cut, top_k, with_cuts
 from rankforge.session import materialize, shared_dir
 from rankforge.streaming.ordered import ordered_values, start
 from rankforge.streaming.values import streaming_values
@@ -342,9 +342,10 @@ def drift_report(spark, sf):
     ).withColumn("checkpoint", F.col("checkpoint").cast("long"))
     joined = frame.join(s.snapshots(spark, sf), ["state", "item_id", "checkpoint"], "left")
     scored = materialize(blending.hybrid(joined, ["state", "checkpoint"]).select("state", "checkpoint", "item_id", "topsis", "q", "hybrid"))
+    cut = with_cuts(scored, ("topsis", "q", "hybrid"), pf.TOP_K, ["state", "checkpoint"])
     lists = None
     for name, score in (("topsis_only", "topsis"), ("rl_only", "q"), ("hybrid", "hybrid")):
-        part = top_k(scored, score, pf.TOP_K, ["state", "checkpoint"]).select("state", "checkpoint", F.lit(name).alias("method"), "rank", "item_id")
+        part = top_k(from_cut(cut, score), score, pf.TOP_K, ["state", "checkpoint"]).select("state", "checkpoint", F.lit(name).alias("method"), "rank", "item_id")
         lists = part if lists is None else lists.unionByName(part)
     active = drift.truth_at(state_marks(spark, sf), truth_versions(spark, sf), ["state"])
     return metrics.list_metrics(lists, active, ["state", "checkpoint", "method"], ["state", "checkpoint"])
@@ -479,9 +480,10 @@ def drift_curve_gradual(spark, sf):
     values = fb.snapshots(fb.rewards(v.feedback(spark, sf)), GRADUAL_MARKS)
     joined = marks.withColumn("checkpoint", F.col("checkpoint").cast("long")).join(values, ["state", "item_id", "checkpoint"], "left")
     scored = materialize(blending.hybrid(joined, ["state", "checkpoint"]).select("state", "checkpoint", "item_id", "topsis", "q", "hybrid"))
+    cut = with_cuts(scored, ("topsis", "q", "hybrid"), pf.TOP_K, ["state", "checkpoint"])
     lists = None
     for name, score in (("topsis_only", "topsis"), ("rl_only", "q"), ("hybrid", "hybrid")):
-        part = top_k(scored, score, pf.TOP_K, ["state", "checkpoint"]).select("state", "checkpoint", F.lit(name).alias("method"), "rank", "item_id")
+        part = top_k(from_cut(cut, score), score, pf.TOP_K, ["state", "checkpoint"]).select("state", "checkpoint", F.lit(name).alias("method"), "rank", "item_id")
         lists = part if lists is None else lists.unionByName(part)
     active = drift.truth_at(scored.select("state", "checkpoint").distinct(), phase_truth(spark, sf).select("state", "phase_start", "item_id"), ["state"])
     report = metrics.list_metrics(lists, active, ["state", "checkpoint", "method"], ["state", "checkpoint"])

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from rankforge.functions import profiles as pf
 from rankforge.operators import drift, grid_targets, utility
-from rankforge.operators.ranking import top_k
+from rankforge.operators.ranking import from_cut, top_k, with_cuts
 
 ITEM = "item_id {}, brand string, category string, price double, recency_pct double, observable double"
 
@@ -47,3 +47,17 @@ def test_rows_leave_tasks_by_profile_and_not_by_item(spark):
     plan = grid_targets.best_targets(items, grid, ["profile_idx", "phase"], 7)._jdf.queryExecution().toString()
     assert "Generate" not in plan
     assert grid_targets.best_targets(items, grid, ["profile_idx", "phase"], 7).count() == grid.count() * 7
+
+
+def test_cuts_keep_every_list_and_sort_few_rows(spark):
+    rows = spark.range(4000).select(
+        (F.col("id") % 2).alias("g"), F.col("id").alias("item_id"), (F.pmod(F.xxhash64("id"), F.lit(500)) / 500).alias("a"),
+        F.when(F.col("id") % 400 < 2, F.rand(3)).alias("b"), F.lit(0.5).alias("c"),
+    ).localCheckpoint()
+    cut = with_cuts(rows, ("a", "b", "c"), 7, ["g"])
+    for score in ("a", "b", "c"):
+        kept = from_cut(cut, score)
+        assert [tuple(r) for r in top_k(kept, score, 7, ["g"]).select("g", "rank", "item_id").orderBy("g", "rank").collect()] == [
+            tuple(r) for r in top_k(rows, score, 7, ["g"]).select("g", "rank", "item_id").orderBy("g", "rank").collect()]
+    assert from_cut(cut, "a").count() < 300
+    assert from_cut(with_cuts(rows.filter("item_id < 6"), ("a",), 7, ["g"]), "a").count() == 6
