@@ -147,3 +147,10 @@ def test_every_pair_is_scored(spark, catalog, people):
         scaled = brute(rows, user, 1)[1]
         want |= {(user[0], i): x for i, x in scaled.items() if i % 50 == 0}
     assert got == pytest.approx(want, abs=1e-9)
+
+
+def test_users_are_dealt_by_count_and_not_by_the_size_of_their_table(spark, catalog, people, monkeypatch):
+    monkeypatch.setattr(threshold, "USERS_PER_TASK", 5)
+    users = utility.relative_shares(people[1]).coalesce(1)
+    asked = threshold.open_blocks(users, threshold.item_blocks(catalog[1]), 3)
+    assert asked.select(F.spark_partition_id()).distinct().count() > 8
