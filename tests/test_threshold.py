@@ -154,3 +154,23 @@ def test_users_are_dealt_by_count_and_not_by_the_size_of_their_table(spark, cata
     users = utility.relative_shares(people[1]).coalesce(1)
     asked = threshold.open_blocks(users, threshold.item_blocks(catalog[1]), 3)
     assert asked.select(F.spark_partition_id()).distinct().count() > 8
+
+
+def test_the_product_of_users_and_items_is_not_shuffled(spark, catalog, people):
+    """Blocks of both are written once and meet where they are read; items without a category or
+    a price are there too."""
+    (rows, items), (users, frame) = catalog, people
+    ranged = external.with_ranges(items, frame)
+    wide = external.best_hidden(items, frame, 40)[1]
+    spans = lambda df: {r.user_id: pytest.approx((r.raw_lo, r.raw_hi), abs=1e-12) for r in df.collect()}
+    assert spans(wide) == {r.user_id: (r.raw_lo, r.raw_hi) for r in ranged.collect()}
+    few = items.filter("item_id >= 3040")
+    pairs = threshold.utility_of_all(few, ranged, user_block=7, item_block=3)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Broadcast" not in plan
+    got = {(r.user_id, r.item_id): r.hidden for r in pairs.collect()}
+    assert len(got) == pairs.count() == 12 * (len(users) - 1)
+    for user in users[:-1]:
+        assert got.pop((user[0], 4000)) == (0.5 if user[0] == 97 else None)  # to whom every item is alike
+        scaled = brute(rows, user, 1)[1]
+        assert {i: got[user[0], i] for i in [*range(3040, 3050), 4001]} == pytest.approx({i: scaled[i] for i in [*range(3040, 3050), 4001]}, abs=1e-9)
