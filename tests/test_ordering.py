@@ -104,3 +104,17 @@ def test_histogram_top_k_equals_top_k(spark, k):
     got = top_k_of_unit_scores(df, "s", k, ["g"], buckets=10)
     assert got.select("g", "item_id", "rank").exceptAll(top_k(df, "s", k, ["g"]).select("g", "item_id", "rank")).count() == 0
     assert got.count() == 2 * min(k, 1500)
+
+
+def test_short_groups_are_summed_in_one_piece_and_long_ones_in_slices(spark):
+    rows = [(0, i, i % 7) for i in range(200)] + [(u, i, u + i) for u in range(1, 40) for i in range(u % 6 + 1)]
+    df = spark.createDataFrame(rows, "u long, o long, a long").repartition(5)
+    key = lambda d: sorted(tuple(sorted(r.asDict().items())) for r in d.collect())
+    for amount in (None, "a"):
+        want = key(o.running_totals(df, ["u"], ["o"], amount))
+        for most in (1, 50, 1000):
+            got = o.grouped_totals(df, ["u"], ["o"], amount, most)
+            assert key(got) == want and len(want) == len(rows)
+            sliced = "_rt_slice" in got._jdf.queryExecution().optimizedPlan().toString()
+            assert sliced == (most < 200)
+    assert o.grouped_totals(df.limit(0), ["u"], ["o"]).count() == 0

@@ -91,3 +91,12 @@ def test_flat_records_are_not_parsed_one_by_one(spark, tmp_path, monkeypatch):
     monkeypatch.undo()
     assert all(readers.pc.match_substring_regex(readers.pa.array(flat), readers.FLAT).to_pylist())
     assert not any(readers.pc.match_substring_regex(readers.pa.array(other), readers.FLAT).to_pylist())
+
+
+def test_users_files_are_read_once(spark, tmp_path):
+    line = {"user_id": "a", "train": [{"asin": "x", "rating": 5.0, "time": 1}, {"asin": "y", "rating": 4.0, "time": 2}], "test": None}
+    (tmp_path / "u.json").write_text("\n".join(json.dumps(r) for r in (line, {"user_id": "b", "train": [], "test": line["train"]})))
+    rows = readers.user_rows(readers.load_users(spark, str(tmp_path / "u.json"), lines=True))
+    assert rows._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert sorted(map(tuple, rows.collect())) == [
+        ("a", "train", 1, "x", 5.0, 1), ("a", "train", 2, "y", 4.0, 2), ("b", "test", 1, "x", 5.0, 1), ("b", "test", 2, "y", 4.0, 2)]
