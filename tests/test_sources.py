@@ -100,3 +100,26 @@ def test_users_files_are_read_once(spark, tmp_path):
     assert rows._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
     assert sorted(map(tuple, rows.collect())) == [
         ("a", "train", 1, "x", 5.0, 1), ("a", "train", 2, "y", 4.0, 2), ("b", "test", 1, "x", 5.0, 1), ("b", "test", 2, "y", 4.0, 2)]
+
+
+def test_reviews_are_of_known_items_and_liked(spark, tmp_path):
+    rows = [("u", "a", 4.0), ("u", "b", 5.0), ("v", "a", 3.9), ("v", "x", 5.0), ("w", "b", None)]
+    lines = [f"{{'reviewerID': '{u}', 'asin': '{i}', 'overall': {r}, 'unixReviewTime': 7}}" for u, i, r in rows]
+    with gzip.open(tmp_path / "reviews.json.gz", "wt") as f:
+        f.write("\n".join(lines))
+    known = spark.createDataFrame([("a",), ("b",), ("b",)], "item_id string")
+    read = lambda *least: sorted(map(tuple, readers.load_reviews(spark, str(tmp_path / "reviews.json.gz"), known, *least).collect()))
+    assert read() == [("u", "a", 4.0, 7), ("u", "b", 5.0, 7)]
+    assert read(3.5) == [("u", "a", 4.0, 7), ("u", "b", 5.0, 7), ("v", "a", 3.9, 7)]
+
+
+def test_load_reviews_query_filters(spark):
+    """The query asks for what the positive reviews are, not for the whole log."""
+    from rankforge.workload import load
+
+    assert " FROM reviews" in load()[1]["load_reviews"]
+    queries = load()[0]
+    sf = "/root/testdata/sf0.001"
+    got = sorted((r.user_id, r.item_id, r.rating, r.ts) for r in queries["load_reviews"](spark, sf).collect())
+    want = sorted((f"U{r.user_id}", f"A{r.item_id}", r.rating, r.ts) for r in queries["positive_reviews"](spark, sf).collect())
+    assert got == want and got
