@@ -256,10 +256,10 @@ def permutation_importance(
 
 def shapley_values(
     model, frame: DataFrame, key: Sequence[str], features: Sequence[str] = SURROGATE_FEATURES,
-    rows: int = 5000, permutations: int = 4, seed: int = 0,
+    rows: int | None = None, permutations: int = 4, seed: int = 0,
 ) -> DataFrame:
-    """Sampled Shapley attributions (key, feature, value, attribution, std_error, base) of at
-    most ``rows`` rows, chosen by a hash of the key; other rows have none.
+    """Sampled Shapley attributions (key, feature, value, attribution, std_error, base) of every
+    row; with ``rows`` of at most that many, chosen by a hash of the key.
 
     Features of the mean row are replaced by the row's own in a random order per
     permutation; the change of the prediction at each step belongs to the feature
@@ -272,7 +272,8 @@ def shapley_values(
     """
     m = len(features)
     means = frame.agg(*[F.avg(f).alias(f"_b_{f}") for f in features])
-    sample = attach(row_sample(frame.select(*key, *features), rows, seed, key), means)
+    asked = frame.select(*key, *features)
+    sample = attach(asked if rows is None else row_sample(asked, rows, seed, key), means)
     grid = with_grid(sample, "permutation", range(permutations))
     order = F.transform(
         F.array_sort(F.array(*[

@@ -122,6 +122,14 @@ def test_antithetic_pairs_and_residuals(spark, surrogate):
     assert all(abs(exact[k] - again[k]) < 1e-9 for k in exact if k in again) and set(exact) & set(again)
 
 
+def test_every_row_has_attributions(spark, surrogate):
+    """No sample by default: rows beyond the 5,000 of the reference are explained as well."""
+    forest = xp.forest_surrogate(surrogate, 1, trees=2, depth=3)
+    many = surrogate.drop("features").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(8))))
+    got = xp.shapley_values(forest, many, ["item_id", "copy"], ["a", "b", "c"], permutations=2)
+    assert got.select("item_id", "copy").distinct().count() == 5400 and got.count() == 5400 * 3
+
+
 def test_exact_signed_ranks(spark):
     from itertools import product
 
