@@ -163,6 +163,33 @@ def test_negatives_exist_for_every_positive(data, spark):
     assert all(r.negative not in own[r.user_id] and r.positive in own[r.user_id] for r in got)
 
 
+def test_draws_walk_the_permutation_in_one_task_per_user(spark, monkeypatch):
+    """The draws are those of the column expression, also where a user's rows cross batches and
+    parts; places that were looked at are not shuffled one by one."""
+    monkeypatch.setattr(sampling, "ASKED", 7)
+    n, k, seed = 40, 3, 5
+    items = spark.range(n).select((F.col("id") * 3).alias("item_id"))
+    seen = spark.createDataFrame([(u, 3 * i) for u in range(4) for i in range(u * 11)] + [(2, 1)], "user_id long, item_id long")
+    asks = spark.createDataFrame([(u, r) for u in range(4) for r in range(3 + 9 * (u % 3))], "user_id long, request long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
+    try:
+        got = sorted(map(tuple, sampling.draw_unseen(asks, seen, sampling.item_index(items), k, seed).collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = math.isqrt(n - 1) + 1
+    columns = -(-n // rows)
+    walk = spark.range(rows * columns).crossJoin(asks).withColumn("idx", sampling.permuted(F.col("id"), sampling.round_keys(seed, F.col("user_id"), F.col("request")), rows, columns))
+    own = baskets([(r.user_id, r.item_id) for r in seen.collect()])
+    want, taken = [], Counter()
+    for r in walk.orderBy("user_id", "request", "id").collect():
+        if r.idx < n and 3 * r.idx not in own.get(r.user_id, ()) and taken[r.user_id, r.request] < k:
+            taken[r.user_id, r.request] += 1
+            want.append((r.user_id, r.request, 3 * r.idx, taken[r.user_id, r.request]))
+    assert got == sorted(want)
+    plan = sampling.draw_unseen(asks, seen, sampling.item_index(items), k, seed)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_place" not in plan and "MapInArrow" in plan
+
+
 def test_user_without_unseen_items_gets_none(spark):
     edges = spark.createDataFrame([(1, i) for i in range(5)] + [(2, 0)], "user_id long, item_id long")
     items = spark.range(5).select(F.col("id").alias("item_id"))
